@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -65,6 +66,7 @@ def difference(spark, con, sf: str, fn, sql: str | None):
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--limit", type=float, default=60.0, help="seconds after which a query is cancelled")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     import __spark_entry__ as entry
@@ -77,10 +79,13 @@ def main() -> int:
         if args.names and not any(name.startswith(n) for n in args.names):
             continue
         began = time.time()
+        watch = threading.Timer(args.limit, spark.sparkContext.cancelAllJobs)
+        watch.start()
         try:
             n, problem = difference(spark, con, args.sf, fn, oracle.get(name))
         except Exception as error:  # noqa: BLE001
             n, problem = 0, f"{type(error).__name__}: {str(error)[:900]}"
+        watch.cancel()
         kind = "sql" if name in oracle else "rows"
         mark = "ok" if problem is None and n else ("EMPTY" if problem is None else "FAIL")
         failed += mark != "ok"

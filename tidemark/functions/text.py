@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +67,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` (or a lambda in it) mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def unbold(text: Column | str) -> Column:
     return F.translate(_col(text), BOLD, BOLD_PLAIN)
 
@@ -100,8 +107,7 @@ def _code_point(code: Column) -> Column:
 
 
 def decode_numeric_entities(text: Column | str) -> Column:
-    """``&#8217;`` and ``&#x2019;`` to characters; texts without ``&#`` skip the work."""
-    text = _col(text)
+    """``&#8217;`` and ``&#x2019;`` to characters."""
 
     def part(piece: Column, index: Column) -> Column:
         dec = F.regexp_extract(piece, r"^([0-9]{1,7});", 1)
@@ -114,8 +120,7 @@ def decode_numeric_entities(text: Column | str) -> Column:
             .otherwise(F.concat(F.lit("&#"), piece))
         )
 
-    decoded = F.array_join(F.transform(F.split(text, "&#", -1), part), "")
-    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+    return F.array_join(F.transform(F.split(_col(text), "&#", -1), part), "")
 
 
 def html_to_text(html: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import words
+from tidemark.functions.text import let, words
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,8 +22,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length))
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))))
 
 
 def word_buckets(text: Column, dim: int) -> Column:
@@ -35,12 +34,12 @@ def word_buckets(text: Column, dim: int) -> Column:
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Normalised word counts per bucket, computed inside the row; null for a text without words."""
-    buckets = word_buckets(text, dim)
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: (F.size(buckets) - F.size(F.array_remove(buckets, d))).cast("double"),
-    )
-    return normalised(counts)
+    axis = F.sequence(F.lit(0), F.lit(dim - 1))
+
+    def counts(buckets: Column) -> Column:
+        return F.transform(axis, lambda d: (F.size(buckets) - F.size(F.array_remove(buckets, d))).cast("double"))
+
+    return normalised(let(word_buckets(text, dim), counts))
 
 
 def has_dimension(vector: Column, dim: int) -> Column:

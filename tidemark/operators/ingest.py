@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.records import content_id, parse_rfc3339
-from tidemark.functions.text import clean_all
+from tidemark.functions.text import clean_all, let
 from tidemark.functions.vectors import has_dimension, hash_embedding
 from tidemark.schemas import METADATA
 
@@ -108,20 +108,23 @@ def chunk_text(
     if not 0 <= buffer < budget:
         raise ValueError("the buffer must be at least 0 and below the budget")
     room = budget - buffer
-    segments = F.split(text, separator, -1)
-    if cost == "words":
-        last = F.floor((F.size(segments) - 1) / F.lit(room)).cast("int")
-        starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * F.lit(room) + F.lit(1))
-    else:
+
+    def starts_of(segments: Column) -> Column:
+        if cost == "words":
+            last = F.floor((F.size(segments) - 1) / F.lit(room)).cast("int")
+            return F.transform(F.sequence(F.lit(0), last), lambda i: i * F.lit(room) + F.lit(1))
         price = F.length if cost == "chars" else cost
-        starts = _greedy_starts(F.transform(segments, lambda s: price(s).cast("bigint")), room, strict)
+        return _greedy_starts(F.transform(segments, lambda s: price(s).cast("bigint")), room, strict)
+
+    def cut(segments: Column, starts: Column) -> Column:
+        def piece(start: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(starts, i + 1), F.size(segments) + 1)
+            tail = F.when(end <= F.size(segments), F.lit(separator)).otherwise(F.lit(""))
+            return F.concat(F.array_join(F.slice(segments, start, end - start), separator), tail)
 
-    def piece(start: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(starts, i + 1), F.size(segments) + 1)
-        tail = F.when(end <= F.size(segments), F.lit(separator)).otherwise(F.lit(""))
-        return F.concat(F.array_join(F.slice(segments, start, end - start), separator), tail)
+        return F.filter(F.transform(starts, piece), lambda c: c != "")
 
-    return F.filter(F.transform(starts, piece), lambda c: c != "")
+    return let(F.split(text, separator, -1), lambda segments: let(starts_of(segments), lambda starts: cut(segments, starts)))
 
 
 def _greedy_starts(costs: Column, room: int, strict: bool) -> Column:

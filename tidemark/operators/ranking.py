@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.freshness import Freshness, age_hours
 from tidemark.functions.fusion import Fusion, in_unit_range
-from tidemark.functions.text import words
+from tidemark.functions.text import let, words
 from tidemark.operators.knn import top_k
 
 METHODS = {
@@ -53,8 +53,12 @@ def rank_fraction(score: Column, group: str) -> Column:
 
 def word_share(query: Column, text: Column) -> Column:
     """Default pair scorer: the share of the query's distinct words that the text holds."""
-    asked = F.array_distinct(words(query))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, words(text))), F.size(asked)), F.lit(0.0))
+    return let(
+        F.array_distinct(words(query)),
+        lambda asked: F.coalesce(
+            F.try_divide(F.size(F.array_intersect(asked, words(text))), F.size(asked)), F.lit(0.0)
+        ),
+    )
 
 
 def rerank(
