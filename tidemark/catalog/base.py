@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize, shared_dir
+from tidemark.session import materialize, shared_dir, widen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,7 +165,7 @@ BUDGET = 384
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as news articles; times come from the event of the same number."""
-    docs = table(spark, sf, "documents")
+    docs = widen(table(spark, sf, "documents"))
     times = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
     return docs.join(times, "doc_id").select(
         F.col("doc_id").alias("id"),

@@ -12,6 +12,7 @@ from tidemark.functions import records, text, vectors
 from tidemark.functions.freshness import age_hours
 from tidemark.operators import ingest
 from tidemark.plans.search import process_queries
+from tidemark.session import widen
 
 Spark, Rows = SparkSession, DataFrame
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -41,7 +42,7 @@ def strip_sql(expr: str) -> str:
 
 
 def quotes_sql(expr: str) -> str:
-    return f"translate({expr}, '{text.QUOTES}', '{text.QUOTES_PLAIN.replace(chr(39), chr(39) * 2)}')"
+    return sub(sub(expr, text.SINGLE_QUOTES, "''"), text.DOUBLE_QUOTES, '"')
 
 
 def clean_sql(expr: str) -> str:
@@ -102,7 +103,8 @@ def _marked():
 
 @query("x5_html_to_text", f"select page_id, {digest_sql('t')} from (select page_id, {html_sql(_MARKED)} t from pages)")
 def html_to_text(spark: Spark, sf: str) -> Rows:
-    return table(spark, sf, "pages").select("page_id", *digest(text.html_to_text(_marked())))
+    pages = widen(table(spark, sf, "pages"))
+    return pages.select("page_id", text.html_to_text(_marked()).alias("t")).select("page_id", *digest("t"))
 
 
 @query("x6_ascii_only", rf"select doc_id, {digest_sql('t')} from (select doc_id, {sub('text', '[^ -~' + chr(92) + 'x00-' + chr(92) + 'x1F' + chr(92) + 'x7F]', '')} t from documents)")
@@ -128,7 +130,8 @@ def strip(spark: Spark, sf: str) -> Rows:
 
 @query("x9_clean_documents", f"select doc_id, {digest_sql('t')} from (select doc_id, {clean_sql('text')} t from documents)")
 def clean_documents(spark: Spark, sf: str) -> Rows:
-    return table(spark, sf, "documents").select("doc_id", *digest(text.clean_all("text")))
+    docs = widen(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", text.clean_all("text").alias("t")).select("doc_id", *digest("t"))
 
 
 @query(
@@ -137,7 +140,8 @@ def clean_documents(spark: Spark, sf: str) -> Rows:
 )
 def clean_pages(spark: Spark, sf: str) -> Rows:
     page = F.concat("html", F.lit("<i>"), "url", F.lit("</i>"))
-    return table(spark, sf, "pages").select("page_id", *digest(text.clean_all(page)))
+    pages = widen(table(spark, sf, "pages"))
+    return pages.select("page_id", text.clean_all(page).alias("t")).select("page_id", *digest("t"))
 
 
 @query("x10_content_id", "select doc_id, md5(text) content_id from documents")

@@ -27,8 +27,10 @@ EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x
 # White space of the Unicode standard, spelled out so that the regex engine's own idea of \s does not matter.
 SPACE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 URL = r"https?://[^\x{9}-\x{D}\x{1C}-\x{20}]+|www\.[^\x{9}-\x{D}\x{1C}-\x{20}]+"
-QUOTES = "‘’‚‛“”„‟′″\x91\x92\x93\x94"
-QUOTES_PLAIN = "''''\"\"\"\"'\"''\"\""
+# Typographic quotes, and the control characters that stand for them in Windows texts.
+SINGLE_QUOTES = "[‘’‚‛′\\x{91}\\x{92}]"
+DOUBLE_QUOTES = "[“”„‟″\\x{93}\\x{94}]"
+BLANKS = r"[ \t\n\r\f]{2,}|[\t\n\r\f]"  # what squeezing has to touch; single spaces stay
 
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
@@ -72,12 +74,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _where(condition: Callable[[Column], Column], change: Callable[[Column], Column], text: Column) -> Column:
+    """``change`` the texts that need it; a cheap test spares the others the work."""
+    return let(text, lambda t: F.when(condition(t), change(t)).otherwise(t))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def unbold(text: Column | str) -> Column:
-    return F.translate(_col(text), BOLD, BOLD_PLAIN)
+    styled = r"[\x{1D5D4}-\x{1D607}\x{1D7EC}-\x{1D7F5}]"
+    return _where(lambda t: t.rlike(styled), lambda t: F.translate(t, BOLD, BOLD_PLAIN), _col(text))
 
 
 def unitalic(text: Column | str) -> Column:
-    return F.translate(_col(text), ITALIC, ITALIC_PLAIN)
+    styled = r"[\x{1D608}-\x{1D63B}]"
+    return _where(lambda t: t.rlike(styled), lambda t: F.translate(t, ITALIC, ITALIC_PLAIN), _col(text))
 
 
 def drop_emoji(text: Column | str) -> Column:
@@ -93,7 +106,7 @@ def strip(text: Column | str) -> Column:
 
 
 def plain_quotes(text: Column | str) -> Column:
-    return F.translate(_col(text), QUOTES, QUOTES_PLAIN)
+    return F.regexp_replace(F.regexp_replace(_col(text), SINGLE_QUOTES, "'"), DOUBLE_QUOTES, '"')
 
 
 def ascii_only(text: Column | str) -> Column:
@@ -125,25 +138,37 @@ def decode_numeric_entities(text: Column | str) -> Column:
 
 def html_to_text(html: Column | str) -> Column:
     """Visible text; block elements are separated by one space, inline tags vanish."""
-    out = _col(html)
+    out = _where(lambda t: F.contains(t, F.lit("<")), _drop_tags, _col(html))
+    out = _where(lambda t: F.contains(t, F.lit("&")), _decode_entities, out)
+    return F.trim(F.regexp_replace(out, BLANKS, " "))
+
+
+def _drop_tags(html: Column) -> Column:
     for pattern, to in ((COMMENT, ""), (SCRIPT, " "), (STYLE, " "), (BLOCK_TAG, " "), (ANY_TAG, "")):
-        out = F.regexp_replace(out, pattern, to)
-    out = decode_numeric_entities(out)
+        html = F.regexp_replace(html, pattern, to)
+    return html
+
+
+def _decode_entities(text: Column) -> Column:
+    text = decode_numeric_entities(text)
     for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def clean_all(text: Column | str) -> Column:
-    """The whole chain, in its fixed order, as one expression."""
-    out = html_to_text(unbold(text))
-    out = drop_emoji(unitalic(out))
-    return mask_urls(ascii_only(plain_quotes(strip(out))))
+    """The whole chain, in its fixed order, as one expression. ASCII texts skip the steps that cannot touch them."""
+    out = html_to_text(_where(lambda t: ~is_ascii(t), unbold, _col(text)))
+    out = let(
+        out,
+        lambda t: F.when(is_ascii(t), strip(t)).otherwise(ascii_only(plain_quotes(strip(drop_emoji(unitalic(t)))))),
+    )
+    return _where(lambda t: t.rlike(r"https?://|www\."), mask_urls, out)
 
 
 def words(text: Column | str) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.regexp_replace(_col(text), "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+    return F.filter(F.transform(F.split(_col(text), "[^A-Za-z0-9]+"), lambda w: F.lower(w)), lambda w: w != "")
 
 
 def split_tokens(text: Column | str) -> Column:
