@@ -119,6 +119,7 @@ def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, ou
     import numpy as np
 
     key_rows = list(zip(*[head.column(c).to_pylist() for c in keys]))
+    key_types = [head.schema.field(c).type for c in keys]
     matrix = np.array(head.column("_qvec").to_pylist(), dtype=float)
     if not key_rows:
         return pool.sparkSession.createDataFrame([], out)
@@ -140,7 +141,7 @@ def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, ou
             merge(best, matrix, batch.column(0).to_pylist(), flat.reshape(batch.num_rows, matrix.shape[1]))
         rows = [(key_rows[q], i, -s) for q, kept in enumerate(best) for s, i in kept]
         if rows:
-            columns = [pa.array([r[0][c] for r in rows]) for c in range(len(names) - 2)]
+            columns = [pa.array([r[0][c] for r in rows], t) for c, t in enumerate(key_types)]
             columns += [pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
