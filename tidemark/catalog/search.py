@@ -423,9 +423,9 @@ def filtered_search(spark: Spark, sf: str) -> Rows:
     return _shown(filtered(spark, sf))
 
 
-@query("b10_min_score", search_sql(FILTER, 3, True, "weighted", SEARCH_AS_OF, _SHOWN + " where score >= 0.35"))
+@query("b10_min_score", search_sql(FILTER, 3, True, "weighted", SEARCH_AS_OF, _SHOWN + " where score >= 0.7"))
 def filtered_min_score(spark: Spark, sf: str) -> Rows:
-    return _shown(filtered(spark, sf, min_score=0.35))
+    return _shown(filtered(spark, sf, min_score=0.7))
 
 
 # --- G: contexts, prompts, sources, score tables ----------------------------------------------------------------------

@@ -102,7 +102,10 @@ def detect_conflicts(
 ) -> DataFrame:
     """Every conflict of every pair: ``seq`` orders them (factual, numerical, temporal, entity), then by entry."""
     factual = F.struct(
-        F.lit(0).alias("detector"), F.lit("").alias("label"), F.col(old).alias("text"), F.lit(None).cast("double").alias("number")
+        F.lit(DETECTORS["factual"]).alias("detector"),
+        F.lit("").alias("label"),
+        F.col("_old").alias("text"),
+        F.lit(None).cast("double").alias("number"),
     )
     prepared = pairs.select(
         pair_id, F.col(old).alias("_old"), F.col(new).alias("_new"), contradiction(F.col(old), F.col(new)).alias("_score")

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import let
+from tidemark.functions.vectors import cosine
+
 MAX_QUERY_VECTORS = 4096  # query vectors shipped to every task; 4096 x 384 doubles are 12 MB
 ROWS_PER_CELL = 200_000  # chunk rows one cell of the two-sided plan holds
 BROADCAST_HITS = 200_000  # hit rows (ids and scores) that may be broadcast
@@ -216,45 +219,38 @@ def diversified(
 ) -> DataFrame:
     """Maximal marginal relevance over a bounded candidate set per query (``nearest`` with ``fetch_k``).
 
-    Each round takes the candidate with the best ``weight * score - (1 - weight) * similarity to the taken``; the rounds
-    are unrolled expressions over one array per query, which holds ``fetch_k`` structs.
+    Each round takes the candidate with the best ``weight * score - (1 - weight) * similarity to the taken``. The rounds
+    are one fold over an array of the query's ``fetch_k`` candidates.
     """
-    from tidemark.functions.vectors import cosine
+    packed = candidates.groupBy(query).agg(
+        F.collect_list(F.struct(F.col("score").alias("score"), F.col(id_col).alias("id"), F.col(vector_col).alias("vec"))).alias("_all")
+    )
 
-    item = F.struct(F.col("score").alias("score"), F.col(id_col).alias("id"), F.col(vector_col).alias("vec"))
-    packed = candidates.groupBy(query).agg(F.collect_list(item).alias("_rest"))
-    packed = packed.withColumn("_taken", F.filter("_rest", lambda x: F.lit(False)))
-    for _ in range(k):
+    def similarity(a: Column, b: Column) -> Column:
+        return F.round(cosine(a["vec"], b["vec"]), SCORE_DIGITS)
 
-        def value(x: Column) -> Column:
-            closest = F.coalesce(
-                F.array_max(F.transform("_taken", lambda t: F.round(cosine(t["vec"], x["vec"]), SCORE_DIGITS))),
-                F.lit(0.0),
-            )
-            return F.round(F.lit(weight) * x["score"] - F.lit(1 - weight) * closest, SCORE_DIGITS)
+    def value(x: Column, taken: Column) -> Column:
+        closest = F.coalesce(F.array_max(F.transform(taken, lambda t: similarity(t, x))), F.lit(0.0))
+        return F.round(F.lit(weight) * x["score"] - F.lit(1 - weight) * closest, SCORE_DIGITS)
 
+    def take_best(state: Column, _: Column) -> Column:
         ranked = F.array_sort(
-            F.transform("_rest", lambda x: F.struct((-value(x)).alias("v"), x["id"].alias("id"), x["score"].alias("s"), x["vec"].alias("vec")))
-        )
-        packed = (
-            packed.withColumn("_best", F.get(ranked, 0))
-            .withColumn(
-                "_taken",
-                F.when(
-                    F.col("_best").isNotNull(),
-                    F.concat(
-                        "_taken",
-                        F.array(
-                            F.struct(
-                                F.col("_best.s").alias("score"), F.col("_best.id").alias("id"), F.col("_best.vec").alias("vec")
-                            )
-                        ),
-                    ),
-                ).otherwise(F.col("_taken")),
+            F.transform(
+                state["rest"],
+                lambda x: F.struct((-value(x, state["taken"])).alias("order"), x["id"].alias("id"), x.alias("item")),
             )
-            .withColumn("_rest", F.filter("_rest", lambda x: x["id"] != F.col("_best.id")))
-            .drop("_best")
         )
-    return packed.select(query, F.posexplode("_taken").alias("_p", "_t")).select(
+        return let(
+            F.slice(ranked, 1, 1),
+            lambda best: F.struct(
+                F.concat(state["taken"], F.transform(best, lambda b: b["item"])).alias("taken"),
+                F.filter(state["rest"], lambda x: ~F.exists(best, lambda b: b["id"] == x["id"])).alias("rest"),
+            ),
+        )
+
+    start = F.struct(F.filter("_all", lambda x: F.lit(False)).alias("taken"), F.col("_all").alias("rest"))
+    rounds = F.sequence(F.lit(1), F.lit(k))
+    taken = F.aggregate(rounds, start, take_best, lambda state: state["taken"])
+    return packed.select(query, F.posexplode(taken).alias("_p", "_t")).select(
         query, (F.col("_p") + 1).alias("rank"), F.col("_t.id").alias(id_col), F.col("_t.score").alias("score")
     )
