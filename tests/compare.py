@@ -19,6 +19,9 @@ TABLES = (
 ).split()
 
 
+LAST = {"spark": 0.0}
+
+
 def duck(sf: str):
     import duckdb
 
@@ -47,8 +50,10 @@ def rows_of(columns, rows):
 
 def difference(spark, con, sf: str, fn, sql: str | None):
     """(row count, None) when equal, else (row count, description)."""
+    began = time.time()
     df = fn(spark, sf)
     got_columns, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    LAST["spark"] = time.time() - began
     if sql is None:
         return len(got), None
     cursor = con.execute(sql)
@@ -58,8 +63,8 @@ def difference(spark, con, sf: str, fn, sql: str | None):
         return len(got), f"columns {got_columns} <> {want_columns}"
     if got == want:
         return len(got), None
-    missing = [w for w in want if w not in set(got)][:2]
-    extra = [g for g in got if g not in set(want)][:2]
+    have, need = set(got), set(want)
+    missing, extra = sorted(need - have)[:2], sorted(have - need)[:2]
     return len(got), f"{len(got)} rows <> {len(want)}; missing {str(missing)[:600]}; extra {str(extra)[:600]}"
 
 
@@ -79,7 +84,7 @@ def main() -> int:
         if args.names and not any(name.startswith(n) for n in args.names):
             continue
         began = time.time()
-        watch = threading.Timer(args.limit, spark.sparkContext.cancelAllJobs)
+        watch = threading.Timer(args.limit, lambda: (spark.sparkContext.cancelAllJobs(), con.interrupt()))
         watch.start()
         try:
             n, problem = difference(spark, con, args.sf, fn, oracle.get(name))
@@ -89,7 +94,7 @@ def main() -> int:
         kind = "sql" if name in oracle else "rows"
         mark = "ok" if problem is None and n else ("EMPTY" if problem is None else "FAIL")
         failed += mark != "ok"
-        print(f"{mark:5} {name:34} {kind:4} {n:7d} rows {time.time() - began:6.2f}s {problem or ''}", flush=True)
+        print(f"{mark:5} {name:34} {kind:4} {n:7d} rows {LAST['spark']:6.2f}s of {time.time() - began:6.2f}s {problem or ''}", flush=True)
     print("failed:", failed)
     return failed
 

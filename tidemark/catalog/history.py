@@ -177,7 +177,7 @@ def as_of_join(spark: Spark, sf: str) -> Rows:
 
 def _sentence(price, day):
     return F.concat(
-        F.col("c_name"), F.lit(" paid "), price.cast("string"), F.lit(" on "), F.date_format(day, "MMMM d, yyyy"), F.lit(" to Clerk "), "o_orderpriority"
+        F.col("c_name"), F.lit(" paid "), price.cast("string"), F.lit(" on "), F.date_format(day, "MMMM d, yyyy"), F.lit(" as "), "status"
     )
 
 
@@ -186,7 +186,7 @@ def order_pairs(spark: Spark, sf: str) -> Rows:
     orders = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     told = orders.select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", F.concat(F.lit("The "), F.initcap(F.lower("c_mktsegment"))).alias("c_name"),
-        F.translate("o_orderpriority", "12345-", "     ").alias("o_orderpriority"),
+        F.when(F.col("o_orderstatus") == "F", "Filled").when(F.col("o_orderstatus") == "O", "Open").otherwise("Pending").alias("status"),
     ).withColumn("told", _sentence(F.col("o_totalprice"), F.col("o_orderdate")))
     placed = with_position(told.select("o_orderkey", "o_custkey", "o_orderdate", "told", "o_totalprice"), ["o_custkey", "o_orderdate", "o_orderkey"])
     nexts = with_neighbour(placed, ["o_custkey"], {"new_content": "told", "next_price": "o_totalprice"})
@@ -198,7 +198,7 @@ def order_pairs(spark: Spark, sf: str) -> Rows:
 ORDER_PAIRS = """told as (
   select o_orderkey, o_custkey, o_orderdate, o_totalprice,
     'The ' || upper(c_mktsegment[1]) || lower(substr(c_mktsegment, 2)) || ' paid ' || o_totalprice::varchar || ' on ' || strftime(o_orderdate, '%B %-d, %Y')
-      || ' to Clerk ' || translate(o_orderpriority, '12345-', '     ') told
+      || ' as ' || case o_orderstatus when 'F' then 'Filled' when 'O' then 'Open' else 'Pending' end told
   from orders join customer on c_custkey = o_custkey),
 op as (
   select o_orderkey pair_id, told old_content, lead(told) over w new_content, o_totalprice, lead(o_totalprice) over w next_price
