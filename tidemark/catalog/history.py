@@ -436,14 +436,14 @@ def filing_feeds(spark: Spark, sf: str) -> Rows:
     named = F.concat(form, F.lit(" - Holder &amp; Co ("), F.lpad(customer, 10, "0"), F.lit(") (Reporting)"))
     xml = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>Latest</title>'),
-        entry(number, named, form), entry(number, named, form), entry(F.concat(number, F.lit("-9")), F.lit("no number"), F.lit("8-K")), F.lit("</feed>"),
+        entry(number, named, form), entry(number, named, form), entry(F.concat(number, F.lit("-N9")), F.lit("no number"), F.lit("8-K")), F.lit("</feed>"),
     )
     return orders.select(F.col("o_orderkey").alias("feed_id"), F.col("o_orderdate").alias("poll_ts"), xml.alias("xml"))
 
 
 _LINK = "'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/00' || o_orderkey || '/00-24-' || o_orderkey || '-index.htm'"
 FILINGS = f"""entries as (
-  select o_orderkey feed_id, unnest([0, 1, 2]) entry_no, unnest(['0024' || o_orderkey, '0024' || o_orderkey, '0024' || o_orderkey || '9']) id,
+  select o_orderkey feed_id, unnest([0, 1, 2]) entry_no, unnest(['0024' || o_orderkey, '0024' || o_orderkey, '0024' || o_orderkey || 'N9']) id,
     unnest([o_orderpriority[1] || ' - Holder & Co (' || lpad(o_custkey::varchar, 10, '0') || ') (Reporting)',
       o_orderpriority[1] || ' - Holder & Co (' || lpad(o_custkey::varchar, 10, '0') || ') (Reporting)', 'no number']) title,
     {_LINK} link, unnest([lpad(o_custkey::varchar, 10, '0'), lpad(o_custkey::varchar, 10, '0'), 'No CIK found']) cik,
@@ -490,11 +490,11 @@ def ticker_lookup(spark: Spark, sf: str) -> Rows:
     return feeds.enrich(_filings(spark, sf), tickers(spark, sf)).select("id", "ticker")
 
 
-_ENRICHED = """, e as (select f.id, f.form_type, f.title, f.link, f.cik, case when t.ticker is not null then t.ticker when f.form_type in ('3', '4', '5') then x.symbol else 'no_ticker' end ticker
+ENRICHED = """, e as (select f.id, f.form_type, f.title, f.link, f.cik, case when t.ticker is not null then t.ticker when f.form_type in ('3', '4', '5') then x.symbol else 'no_ticker' end ticker
     from filings f left join tickers t on t.cik = try_cast(f.cik as bigint) left join texts x on x.c_custkey = f.o_custkey)"""
 
 
-@query("j2_fallback_lookup", f"with {FILINGS}{_ENRICHED} select id, ticker from e where ticker is not null")
+@query("j2_fallback_lookup", f"with {FILINGS}{ENRICHED} select id, ticker from e where ticker is not null")
 def fallback_lookup(spark: Spark, sf: str) -> Rows:
     return feeds.enrich(_filings(spark, sf), tickers(spark, sf), filing_texts(spark, sf)).select("id", "ticker")
 

@@ -72,10 +72,10 @@ def with_running(
     for c in cell:
         match = match & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
     return (
-        valued.withColumn("_inside", fold("_value").over(inside))
+        valued.withColumn("_so_far", fold("_value").over(inside))
         .join(renamed, match, "left")
-        .withColumn(name, combine(F.col("_carry"), F.col("_inside")))
-        .drop("_value", "_inside", "_carry", *[f"_c_{c}" for c in cell])
+        .withColumn(name, combine(F.col("_carry"), F.col("_so_far")))
+        .drop("_value", "_so_far", "_carry", *[f"_c_{c}" for c in cell])
     )
 
 

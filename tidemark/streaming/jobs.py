@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.feeds import first_occurrences
 from tidemark.operators.ordered import with_position, with_row_number
+from tidemark.session import materialize, widen
 from tidemark.sources.ranges import poll_ranges
 from tidemark.sources.sinks import upsert
 
@@ -58,7 +59,7 @@ def ingest_writer(transform: Callable[[DataFrame], DataFrame], path: str, dim: i
     """Endless ingest: transform the micro-batch to points and upsert them."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert(transform(batch), path, batch_id, dim=dim)
+        upsert(transform(widen(batch)), path, batch_id, dim=dim)
 
     return write
 
@@ -68,28 +69,40 @@ def dedupe_within_watermark(stream: DataFrame, keys: Sequence[str], ts: str, del
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def exact_dedupe_writer(key: str, key_type: str, arrival: str, seen_path: str, out_path: str):
-    """First row per key over the whole stream: left-anti against the ids stored by earlier batches."""
+def only_keys_of(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The stored rows whose key occurs in the batch: the batch's keys travel to the long table, not it to them."""
+    return stored.join(batch.select(key).distinct(), key, "left_semi")
+
+
+def fresh_rows(batch: DataFrame, batch_id: int, key: str, arrival: Column, seen_path: str) -> DataFrame:
+    """First row per key that no earlier batch has stored; stores the new keys."""
+    key_type = batch.schema[key].dataType.simpleString()
+    first = first_occurrences(batch, key, arrival)
+    seen = only_keys_of(batches_before(batch.sparkSession, seen_path, batch_id, f"{key} {key_type}"), first, key)
+    fresh = materialize(first.join(seen, key, "left_anti"))
+    put_batch(fresh.select(key), seen_path, batch_id)
+    return fresh
+
+
+def exact_dedupe_writer(key: str, arrival: Column, seen_path: str, out_path: str):
+    """First row per key over the whole stream, however late a copy comes."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first = first_occurrences(batch, key, F.col(arrival))
-        seen = batches_before(batch.sparkSession, seen_path, batch_id, f"{key} {key_type}")
-        fresh = first.join(seen, key, "left_anti")
-        put_batch(fresh, out_path, batch_id)
-        put_batch(batch.sparkSession.read.parquet(f"{out_path}/batch_id={batch_id}").select(key), seen_path, batch_id)
+        put_batch(fresh_rows(batch, batch_id, key, arrival, seen_path), out_path, batch_id)
 
     return write
 
 
-def running_count_writer(key: str, key_type: str, order: Sequence[str], state_path: str, out_path: str):
+def running_count_writer(key: str, order: Sequence[str], state_path: str, out_path: str):
     """Running count per key across batches: the stored counts of earlier batches plus the count inside this one."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        key_type = batch.schema[key].dataType.simpleString()
         before = batches_before(batch.sparkSession, state_path, batch_id, f"{key} {key_type}, n bigint")
-        base = before.groupBy(key).agg(F.sum("n").alias("_base"))
-        inside = with_row_number(with_position(batch, [key, *order]), [key], "_inside")
+        base = only_keys_of(before, batch, key).groupBy(key).agg(F.sum("n").alias("_base"))
+        inside = with_row_number(with_position(batch, [key, *order]), [key], "_here")
         counted = inside.join(base, key, "left").withColumn(
-            "running_count", F.coalesce("_base", F.lit(0)) + F.col("_inside")
+            "running_count", F.coalesce("_base", F.lit(0)) + F.col("_here")
         )
         put_batch(counted.select(*batch.columns, "running_count"), out_path, batch_id)
         put_batch(batch.groupBy(key).agg(F.count(F.lit(1)).alias("n")), state_path, batch_id)
