@@ -117,7 +117,7 @@ def age_sql(ts: str, as_of: str = AS_OF) -> str:
 
 
 def words_sql(text: str) -> str:
-    return f"list_filter(string_split(lower(regexp_replace({text}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
+    return f"list_filter(string_split(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
 def share_sql(asked: str, text: str) -> str:

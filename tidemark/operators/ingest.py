@@ -60,9 +60,9 @@ def parse_messages(batches: DataFrame, payload: str = "payload", keep: tuple[str
     rows = batches.select(*keep, F.col(payload), F.coalesce(articles, broken).alias("_articles")).withColumn(
         "batch_valid", F.forall("_articles", lambda a: a["valid"])
     )
-    return rows.select(*keep, payload, "batch_valid", F.posexplode("_articles").alias("position", "_a")).select(
-        *keep, "position", "batch_valid", "_a.*", payload
-    )
+    # the outer form, because Spark would test a plain explode's array for emptiness below, parsing everything twice
+    exploded = rows.select(*keep, payload, "batch_valid", F.posexplode_outer("_articles").alias("position", "_a"))
+    return exploded.where("position is not null").select(*keep, "position", "batch_valid", "_a.*", payload)
 
 
 def validate(parsed: DataFrame, policy: str = "row") -> tuple[DataFrame, DataFrame]:
@@ -149,7 +149,8 @@ def _greedy_starts(costs: Column, room: int, strict: bool) -> Column:
 
 def compute_chunks(documents: DataFrame, **options) -> DataFrame:
     """One row per chunk: every text part is chunked alone, parts keep their order."""
-    parts = documents.select("*", F.posexplode("text").alias("part_no", "_part")).drop("text")
+    # never empty; the outer form keeps Spark from computing the texts once more to test that
+    parts = documents.select("*", F.posexplode_outer("text").alias("part_no", "_part")).drop("text")
     return (
         parts.select("*", F.posexplode(chunk_text(F.col("_part"), **options)).alias("chunk_no", "text"))
         .drop("_part")
@@ -165,10 +166,15 @@ def compute_embeddings(
     return chunks.withColumn("embedding", embed(F.col(text)))
 
 
-def to_points(chunks: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(points ready to store, rows whose vector is missing or of another size)."""
+def to_points(chunks: DataFrame, dim: int, raw_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(points ready to store, rows whose vector is missing or of another size).
+
+    Points carry the metadata of their article; the raw text, as long as all its chunks together, only on request. It
+    is in the document rows, one ``article_id`` away.
+    """
     fits = has_dimension(F.col("embedding"), dim)
-    columns = ["chunk_id", "text", "embedding", *[c for c in METADATA if c in chunks.columns]]
+    metadata = [c for c in METADATA if c in chunks.columns and (raw_text or c != "full_raw_text")]
+    columns = ["chunk_id", "text", "embedding", *metadata]
     return chunks.where(fits).select(*columns), chunks.where(~fits)
 
 
