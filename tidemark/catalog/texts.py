@@ -38,7 +38,8 @@ def html_sql(expr: str) -> str:
 
 
 def strip_sql(expr: str) -> str:
-    return sub(sub(expr, f"^[{text.SPACE}]+", ""), f"[{text.SPACE}]+$", "")
+    spaces = "[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+    return sub(sub(expr, "^" + spaces, ""), spaces + "$", "")
 
 
 def quotes_sql(expr: str) -> str:

@@ -24,8 +24,13 @@ ITALIC_PLAIN = _UPPER + _LOWER
 
 # Emoticons, pictographs, transport, flags, three arrows.
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2193}\x{21B3}\x{2192}]+"
-# White space of the Unicode standard, spelled out so that the regex engine's own idea of \s does not matter.
-SPACE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# White space of the Unicode standard, spelled out so that no engine's own idea of it matters.
+SPACE = "".join(
+    chr(c)
+    for c in (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+# Where styled letters, emoji, arrows and typographic quotes lie; two ranges, which Java matches fast.
+RARE = r"[\x{91}-\x{94}\x{2018}-\x{10FFFF}]"
 URL = r"https?://[^\x{9}-\x{D}\x{1C}-\x{20}]+|www\.[^\x{9}-\x{D}\x{1C}-\x{20}]+"
 # Typographic quotes, and the control characters that stand for them in Windows texts.
 SINGLE_QUOTES = "[‘’‚‛′\\x{91}\\x{92}]"
@@ -102,7 +107,7 @@ def mask_urls(text: Column | str, placeholder: str = "[URL]") -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(_col(text), f"^[{SPACE}]+", ""), f"[{SPACE}]+$", "")
+    return F.btrim(_col(text), F.lit(SPACE))
 
 
 def plain_quotes(text: Column | str) -> Column:
@@ -159,10 +164,12 @@ def _decode_entities(text: Column) -> Column:
 def clean_all(text: Column | str) -> Column:
     """The whole chain, in its fixed order, as one expression. ASCII texts skip the steps that cannot touch them."""
     out = html_to_text(_where(lambda t: ~is_ascii(t), unbold, _col(text)))
-    out = let(
-        out,
-        lambda t: F.when(is_ascii(t), strip(t)).otherwise(ascii_only(plain_quotes(strip(drop_emoji(unitalic(t)))))),
-    )
+
+    def beyond_ascii(t: Column) -> Column:
+        plain = F.when(t.rlike(RARE), plain_quotes(strip(drop_emoji(unitalic(t))))).otherwise(strip(t))
+        return ascii_only(plain)
+
+    out = let(out, lambda t: F.when(is_ascii(t), strip(t)).otherwise(beyond_ascii(t)))
     return _where(lambda t: t.rlike(r"https?://|www\."), mask_urls, out)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.records import numeric_literal, relative_difference
-from tidemark.functions.text import words
+from tidemark.functions.text import let, words
 
 # Detector order and confidences.
 DETECTORS = {"factual": 0, "numerical": 1, "temporal": 2, "entity": 3}
@@ -36,34 +36,34 @@ def date_phrases(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(DATE), F.lit(0))
 
 
-def _without_dates(text: Column) -> Column:
-    return F.regexp_replace(text, DATE, " | ")
+def _parts(text: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the entity texts of each kind: ``names``, ``dates``, ``numbers``; every pattern runs once."""
+
+    def kinds(t: Column) -> Column:
+        return let(F.regexp_replace(t, DATE, " | "), lambda rest: F.struct(
+            F.regexp_extract_all(rest, F.lit(NAME), F.lit(0)).alias("names"),
+            date_phrases(t).alias("dates"),
+            F.filter(
+                F.regexp_extract_all(rest, F.lit(NUMBER), F.lit(0)), lambda n: numeric_literal(n).isNotNull()
+            ).alias("numbers"),
+        ))
+
+    return let(kinds(text), body)
 
 
 def numbers(text: Column) -> Column:
     """Number texts, dates left out, kept when they are plain numeric literals."""
-    found = F.regexp_extract_all(_without_dates(text), F.lit(NUMBER), F.lit(0))
-    return F.filter(found, lambda n: numeric_literal(n).isNotNull())
+    return _parts(text, lambda p: p["numbers"])
 
 
 def names(text: Column) -> Column:
     """Runs of capitalised words, dates left out."""
-    return F.regexp_extract_all(_without_dates(text), F.lit(NAME), F.lit(0))
+    return _parts(text, lambda p: p["names"])
 
 
 def extract_entities(text: Column) -> Column:
     """All entity texts in the order names, dates, numbers."""
-    return F.concat(names(text), date_phrases(text), numbers(text))
-
-
-def _labelled(text: Column) -> Column:
-    """The distinct (label, text) entities, sorted."""
-
-    def tag(values: Column, label: str) -> Column:
-        return F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("text")))
-
-    both = F.concat(tag(names(text), "NAME"), tag(date_phrases(text), "DATE"), tag(numbers(text), "CARDINAL"))
-    return F.array_sort(F.array_distinct(both))
+    return _parts(text, lambda p: F.concat(p["names"], p["dates"], p["numbers"]))
 
 
 def negation_rule(old: Column, new: Column) -> Column:
@@ -86,11 +86,20 @@ def _entries(text: Column) -> Column:
             value.try_cast("double").alias("number"),
         )
 
-    return F.concat(
-        F.transform(numbers(text), lambda n: entry("numerical", F.lit("CARDINAL"), n)),
-        F.transform(date_phrases(text), lambda d: entry("temporal", F.lit("DATE"), d)),
-        F.transform(_labelled(text), lambda e: entry("entity", e["label"], e["text"])),
-    )
+    def tag(values: Column, label: str) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("text")))
+
+    def offered(p: Column) -> Column:
+        entities = F.concat(tag(p["names"], "NAME"), tag(p["dates"], "DATE"), tag(p["numbers"], "CARDINAL"))
+        return F.concat(
+            F.transform(p["numbers"], lambda n: entry("numerical", F.lit("CARDINAL"), n)),
+            F.transform(p["dates"], lambda d: entry("temporal", F.lit("DATE"), d)),
+            F.transform(
+                F.array_sort(F.array_distinct(entities)), lambda e: entry("entity", e["label"], e["text"])
+            ),
+        )
+
+    return _parts(text, offered)
 
 
 def detect_conflicts(

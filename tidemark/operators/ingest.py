@@ -163,7 +163,9 @@ def compute_embeddings(
 ) -> DataFrame:
     """Add ``embedding``. ``embed`` maps a text column to a vector column; the default needs no model."""
     embed = embed or (lambda t: hash_embedding(t, dim))
-    return chunks.withColumn("embedding", embed(F.col(text)))
+    # through a one-element explode: a filter on the vector is then not pushed below it, where it would be computed twice
+    made = chunks.withColumn("_vector", embed(F.col(text)))
+    return made.select("*", F.explode_outer(F.array("_vector")).alias("embedding")).drop("_vector")
 
 
 def to_points(chunks: DataFrame, dim: int, raw_text: bool = False) -> tuple[DataFrame, DataFrame]:
