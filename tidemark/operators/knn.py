@@ -155,13 +155,15 @@ def _two_sided(
     pool: DataFrame, asked: DataFrame, keys: list[str], k: int, out: T.StructType, block: int
 ) -> DataFrame:
     """More query vectors than fit a task: cells of chunks meet blocks of queries, each of bounded size."""
+    dim = asked.select(F.size("_qvec")).first()[0]
+    pool = pool.where(F.size("_vec") == dim)
     cells = max(1, -(-pool.count() // ROWS_PER_CELL))
     blocks = max(1, -(-asked.count() // block))
     left = pool.withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(cells))).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     right = asked.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")).withColumn(
-        "_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("bigint")
+        "_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint")))
     )
     merge = _make_scorer(k)
     names = out.names
