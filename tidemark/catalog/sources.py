@@ -355,6 +355,14 @@ def rejected_rows(spark: Spark, sf: str) -> Rows:
     return bad.select("batch_id", "position")
 
 
+@query(
+    "a2_valid_counts",
+    f"with {MESSAGES} select batch_id, count(*) filter (where valid) valid_articles, count(*) filter (where not valid) rejected_messages from m group by 1",
+)
+def valid_counts(spark: Spark, sf: str) -> Rows:
+    return ingest.valid_counts(ingest.parse_messages(messages(spark, sf)))
+
+
 @query("d3_map", "select event_id, upper(event_type) kind, round(value * 2, 6) doubled from events")
 def map_rows(spark: Spark, sf: str) -> Rows:
     step = lambda df: df.select("event_id", F.upper("event_type").alias("kind"), r6(F.col("value") * 2).alias("doubled"))

@@ -73,6 +73,13 @@ def validate(parsed: DataFrame, policy: str = "row") -> tuple[DataFrame, DataFra
     return parsed.where(good), parsed.where(~good)
 
 
+def valid_counts(parsed: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Accepted and rejected messages per payload."""
+    return parsed.groupBy(batch).agg(
+        F.count_if("valid").alias("valid_articles"), F.count_if(~F.col("valid")).alias("rejected_messages")
+    )
+
+
 def to_documents(articles: DataFrame, clean: Callable[[Column], Column] = clean_all) -> DataFrame:
     """Article rows to document rows: content id, the three cleaned texts in order, and the metadata."""
     return articles.select(

@@ -102,7 +102,7 @@ def nearest(
     asked = queries if isinstance(queries, QueryVectors) else query_vectors(queries, query_keys, vector_col)
     keys = list(asked.keys)
     pool = chunks.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_vec")
+        F.col(id_col).alias("_id"), F.col(vector_col).alias("_vec")  # as stored; tasks widen to double
     )
     out = T.StructType(
         [
@@ -141,7 +141,8 @@ def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, ou
             if batch.num_rows == 0:
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            merge(best, matrix, batch.column(0).to_pylist(), flat.reshape(batch.num_rows, matrix.shape[1]))
+            block = np.asarray(flat, dtype=float).reshape(batch.num_rows, matrix.shape[1])
+            merge(best, matrix, batch.column(0).to_pylist(), block)
         rows = [(key_rows[q], i, -s) for q, kept in enumerate(best) for s, i in kept]
         if rows:
             columns = [pa.array([r[0][c] for r in rows], t) for c, t in enumerate(key_types)]
@@ -177,7 +178,7 @@ def _two_sided(
         matrix = np.stack(query_part["_qvec"].to_numpy())
         matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
         best = [[] for _ in range(len(query_part))]
-        merge(best, matrix, chunk_part["_id"].tolist(), np.stack(chunk_part["_vec"].to_numpy()))
+        merge(best, matrix, chunk_part["_id"].tolist(), np.stack(chunk_part["_vec"].to_numpy()).astype(float))
         key_rows = list(query_part[list(names[:-2])].itertuples(index=False, name=None))
         return pd.DataFrame(
             [(*key_rows[q], i, -s) for q, kept in enumerate(best) for s, i in kept], columns=list(names)

@@ -41,6 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
     return chosen
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def filesystem(spark: SparkSession, path: str):
+    """(file system, path) of a folder, whatever storage it is on."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Remove what ``materialize`` has written in this application; for the end of a job."""
+    fs, path = filesystem(spark, _tables(spark))
+    fs.delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -48,7 +64,7 @@ def materialize(df: DataFrame) -> DataFrame:
     joins that follow from real numbers.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

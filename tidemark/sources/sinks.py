@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import has_dimension
 from tidemark.operators.versions import latest_by
+from tidemark.session import filesystem
 
 
 def checked(points: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -38,8 +39,12 @@ def upsert(
 
 
 def read_collection(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame:
-    """The last write of every id."""
-    return latest_by(spark.read.parquet(path), [key], ["batch_id"]).drop("batch_id")
+    """The last write of every id. A collection of one batch, as compaction leaves it, is read as it is."""
+    rows = spark.read.parquet(path)
+    fs, folder = filesystem(spark, f"{path}/batch_id=*")
+    if len(fs.globStatus(folder)) > 1:
+        rows = latest_by(rows, [key], ["batch_id"])
+    return rows.drop("batch_id")
 
 
 def compact(spark: SparkSession, path: str, target: str, key: str = "chunk_id") -> None:

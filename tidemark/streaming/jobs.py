@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.feeds import first_occurrences
 from tidemark.operators.ordered import with_position, with_row_number
-from tidemark.session import materialize, widen
+from tidemark.session import filesystem, materialize, widen
 from tidemark.sources.ranges import poll_ranges
 from tidemark.sources.sinks import upsert
 
@@ -45,8 +45,8 @@ def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
 
 def batches_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
     """What earlier batches stored under ``path``; an empty table before the first one."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+    fs, folder = filesystem(spark, path)
+    if not fs.exists(folder):
         return spark.createDataFrame([], schema)
     return spark.read.schema(f"{schema}, batch_id bigint").parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
 
