@@ -21,6 +21,7 @@ def build_session(app: str = "tidemark", cores: int | str = "*", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # keep all cores busy on small tables
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
