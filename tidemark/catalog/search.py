@@ -42,7 +42,7 @@ def over_fetch(spark: Spark, sf: str) -> Rows:
 
 @query("t2_by_similarity", f"with {hits_sql(3)} select query_id, chunk_id, rank, round(score, 6) score from hits")
 def by_similarity(spark: Spark, sf: str) -> Rows:
-    found = candidates(spark, sf)
+    found = knn.nearest(vectors(spark, sf), centroids(spark, sf), 30).drop("rank")
     ranked = ranking.rank_articles(found, 3, scorer=None)
     return ranked.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), r6("score").alias("score"))
 
