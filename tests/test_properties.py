@@ -135,6 +135,12 @@ def test_many_query_vectors_meet_the_chunks_block_by_block(spark, sf, monkeypatc
     assert sorted(map(tuple, knn.nearest(vectors(spark, sf), asked, 5).collect())) == expected
 
 
+def test_scores_are_held_in_bounded_blocks(spark, sf, monkeypatch):
+    expected = sorted(map(tuple, knn.nearest(vectors(spark, sf), centroids(spark, sf), 5).collect()))
+    monkeypatch.setattr(knn, "SCORES_AT_ONCE", 40)
+    assert sorted(map(tuple, knn.nearest(vectors(spark, sf), centroids(spark, sf), 5).collect())) == expected
+
+
 def test_copies_of_one_vector_are_kept_by_id(spark):
     rows = [(i, [1.0, 0.0] if i % 3 else [0.6, 0.8]) for i in range(900)] + [(900, [0.0, 0.0]), (901, None), (902, [1.0])]
     chunks = spark.createDataFrame(rows, "chunk_id int, embedding array<double>").repartition(8)

@@ -20,43 +20,44 @@ from tidemark.functions.vectors import cosine
 MAX_QUERY_VECTORS = 4096  # query vectors shipped to every task; 4096 x 384 doubles are 12 MB
 ROWS_PER_CELL = 200_000  # chunk rows one cell of the two-sided plan holds
 BROADCAST_HITS = 200_000  # hit rows (ids and scores) that may be broadcast
+SCORES_AT_ONCE = 2_000_000  # scores a task holds while it works through a batch, 16 MB
 SCORE_DIGITS = 9  # equal vectors tie whichever batch they were scored in
 
 
 def _make_scorer(k: int):
     """Closure over plain values only, so that workers need numpy but not this package."""
-    digits = SCORE_DIGITS
+    digits, scores_at_once = SCORE_DIGITS, SCORES_AT_ONCE
 
-    def best_per_query(best, matrix, ids, vectors):
-        """Merge a block of vectors into ``best``: per query a list of (-score, id), at most k long, sorted."""
+    def start(n):
+        """State of ``n`` queries: per query the best (-score, id), sorted, and the score a newcomer has to reach."""
+        import numpy as np
+
+        return [[] for _ in range(n)], np.full(n, -np.inf)
+
+    def merge(state, matrix, ids, vectors):
+        """Take a block of vectors into the state; the scores held at a time are bounded."""
         import heapq
 
         import numpy as np
 
+        best, edge = state
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
-        usable = lengths > 0
-        if not usable.all():
-            vectors, lengths = vectors[usable], lengths[usable]
-            ids = [i for i, u in zip(ids, usable) if u]
-        if not len(ids):
-            return
-        scores = np.round((vectors / lengths[:, None]) @ matrix.T, digits)
-        top = scores.max(axis=0)
-        for q in range(matrix.shape[0]):
-            kept = best[q]
-            if len(kept) == k and top[q] < -kept[-1][0]:
-                continue
-            column = scores[:, q]
-            if len(kept) == k:
-                rows = np.nonzero(column >= -kept[-1][0])[0]
-            elif len(column) > k:
-                edge = np.partition(column, len(column) - k)[len(column) - k]
-                rows = np.nonzero(column >= edge)[0]
-            else:
-                rows = range(len(column))
-            best[q] = heapq.nsmallest(k, kept + [(-float(column[r]), ids[r]) for r in rows])
-
-    return best_per_query
+        rows = np.nonzero(lengths > 0)[0]
+        step = max(1, scores_at_once // len(best))
+        for low in range(0, len(rows), step):
+            part = rows[low : low + step]
+            scores = np.round((vectors[part] / lengths[part, None]) @ matrix.T, digits)
+            for q in np.nonzero(scores.max(axis=0) >= edge)[0]:
+                column = scores[:, q]
+                limit = edge[q]
+                if len(column) > k:
+                    limit = max(limit, np.partition(column, len(column) - k)[len(column) - k])
+                found = [(-float(column[r]), ids[part[r]]) for r in np.nonzero(column >= limit)[0]]
+                best[q] = heapq.nsmallest(k, best[q] + found)
+                if len(best[q]) == k:
+                    edge[q] = -best[q][-1][0]
+
+    return start, merge
 
 
 @dataclass(frozen=True)
@@ -127,14 +128,14 @@ def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, ou
     if not key_rows:
         return pool.sparkSession.createDataFrame([], out)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    merge = _make_scorer(k)
+    start, merge = _make_scorer(k)
     names = out.names
 
     def score(batches):
         import numpy as np
         import pyarrow as pa
 
-        best = [[] for _ in key_rows]
+        state = start(len(key_rows))
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -142,8 +143,8 @@ def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, ou
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             block = np.asarray(flat, dtype=float).reshape(batch.num_rows, matrix.shape[1])
-            merge(best, matrix, batch.column(0).to_pylist(), block)
-        rows = [(key_rows[q], i, -s) for q, kept in enumerate(best) for s, i in kept]
+            merge(state, matrix, batch.column(0).to_pylist(), block)
+        rows = [(key_rows[q], i, -s) for q, kept in enumerate(state[0]) for s, i in kept]
         if rows:
             columns = [pa.array([r[0][c] for r in rows], t) for c, t in enumerate(key_types)]
             columns += [pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64())]
@@ -166,7 +167,7 @@ def _two_sided(
     right = asked.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")).withColumn(
         "_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint")))
     )
-    merge = _make_scorer(k)
+    start, merge = _make_scorer(k)
     names = out.names
 
     def score(chunk_part, query_part):
@@ -177,11 +178,11 @@ def _two_sided(
             return pd.DataFrame({n: [] for n in names})
         matrix = np.stack(query_part["_qvec"].to_numpy())
         matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        best = [[] for _ in range(len(query_part))]
-        merge(best, matrix, chunk_part["_id"].tolist(), np.stack(chunk_part["_vec"].to_numpy()).astype(float))
+        state = start(len(query_part))
+        merge(state, matrix, chunk_part["_id"].tolist(), np.stack(chunk_part["_vec"].to_numpy()).astype(float))
         key_rows = list(query_part[list(names[:-2])].itertuples(index=False, name=None))
         return pd.DataFrame(
-            [(*key_rows[q], i, -s) for q, kept in enumerate(best) for s, i in kept], columns=list(names)
+            [(*key_rows[q], i, -s) for q, kept in enumerate(state[0]) for s, i in kept], columns=list(names)
         )
 
     cell = ["_cell", "_block"]

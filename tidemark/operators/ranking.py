@@ -22,12 +22,6 @@ METHODS = {
 }
 
 
-def softmax(score: Column, group: str) -> Column:
-    w = Window.partitionBy(group)
-    shifted = F.exp(score - F.max(score).over(w))
-    return shifted / F.sum(shifted).over(w)
-
-
 def softmax_scores(df: DataFrame, score: str, group: str, name: str) -> DataFrame:
     """Softmax per group, shifted by the largest score."""
     w = Window.partitionBy(group)

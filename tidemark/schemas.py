@@ -35,4 +35,3 @@ FEED = (
     "entry array<struct<id:string,title:string,link:array<struct<_type:string,_href:string>>,"
     "category:array<struct<_term:string>>>>"
 )
-FILING = ("id", "title", "link", "cik", "form_type")
