@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
-    AS_OF, CANDIDATES, CONFIDENCE, DIM, PAIRS, PAYLOAD, age_sql, at, candidates, centroids, collection, hits_sql, payload,
+    AS_OF, CANDIDATES, CONFIDENCE, PAYLOAD, age_sql, at, candidates, centroids, collection, hits_sql, payload,
     query, questions, r6, scored_candidates, share_sql, stamp_sql, table, vectors,
 )
 from tidemark.catalog.texts import chunks_sql, clean_sql, counts_sql, buckets_sql
@@ -14,7 +14,7 @@ from tidemark.functions.freshness import Freshness, age_hours, boost, freshness_
 from tidemark.functions.fusion import Fusion, variance
 from tidemark.operators import knn, ranking, reports
 from tidemark.operators.ordered import with_position
-from tidemark.plans.search import process_queries, search, search_by_filters
+from tidemark.plans.search import search, search_by_filters
 
 Spark, Rows = SparkSession, DataFrame
 LIFE = Freshness()
