@@ -192,7 +192,7 @@ def test_ftrl_learns_and_stays_sparse():
         w = model.weights(slice(None))
         assert w[4001] > 3 * np.abs(w[2:4000]).max()
         share[l1] = (w != 0).mean()
-    assert share[0.0] > share[1.0] > share[4.0] and share[4.0] < 0.05
+    assert share[0.0] > share[1.0] > share[4.0] and share[4.0] < 0.1
 
 
 def test_bias_parts_the_labels():
