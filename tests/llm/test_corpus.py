@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, minhash, quality, sharding, toxicity
-from tidemark.llm.common import WordIds, held_out
+from tidemark.llm.common import held_out
 from tidemark.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -275,11 +275,10 @@ def variants(seed=0, families=12, n=120):
 
 
 def test_similarity_is_probability_jaccard():
-    numbers = WordIds()
     rng = np.random.default_rng(4)
     for _ in range(40):
         a, b = (" ".join(rng.choice(list("abc"), rng.integers(1, 60))) for _ in range(2))
-        got = minhash.similarity(minhash.shingles(a, numbers), minhash.shingles(b, numbers))
+        got = minhash.similarity(minhash.shingles(a), minhash.shingles(b))
         assert got == pytest.approx(plain_similarity(bag(a), bag(b)), abs=1e-9)
 
 
@@ -303,12 +302,13 @@ def test_classes_equal_all_pairs(spark):
 
 
 def test_open_members_of_a_bucket_are_all_compared(spark, monkeypatch):
-    """One bucket holds everything: star rounds and the last pairing must find what all pairs find."""
+    """One bucket holds everything, in blocks and chunks of a few rows: the links must find what all pairs find."""
     rows = variants(1, 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     buckets = docs.select(F.lit(1).cast("long").alias("key"), "doc_id")
-    for rounds in (1, 2):
-        monkeypatch.setattr(minhash, "STAR_ROUNDS", rounds)
+    for block, chunk in ((5, 7), (1000, 1000)):
+        monkeypatch.setattr(minhash, "OPEN_BLOCK", block)
+        monkeypatch.setattr(minhash, "MEMBER_CHUNK", chunk)
         labels = {r.doc_id: r.class_id for r in minhash.components(minhash.links(buckets, docs, 0.8, "doc_id", "text")).collect()}
         assert {d: labels.get(d, d) for d, _ in rows} == plain_classes(rows)
 

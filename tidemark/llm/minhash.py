@@ -6,9 +6,10 @@ soon as its next arrival comes later than every component's first one. Two texts
 probability Jaccard similarity of their shingles. Texts that agree on a whole band of components are candidates, and
 candidates are verified on their texts.
 
-Candidates in a bucket are not paired with each other. All are compared with the bucket's smallest document, the centre;
-since 1 - similarity is a metric, the known distances to the centre prove most other pairs to be too far apart or already
-in one class, and only what they leave open goes on to the next round with another centre.
+Candidates in a bucket are not paired with each other. All are compared with the bucket's centre, the document that meets
+most others in its buckets, and so the likeliest origin of a group of copies. What is then neither near its centre nor
+already in one class with the rest of the group is compared by longer signatures, in blocks and inside the tasks; only
+pairs whose estimate comes near the threshold are verified on their texts.
 """
 
 from __future__ import annotations
@@ -19,20 +20,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from tidemark.llm.common import WordIds, arrow_map, mix, slices, worker_cache
+from tidemark.llm.common import arrow_map, mix, slices
 from tidemark.session import materialize
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability 3e-6
-STAR_ROUNDS = 3
+DEEP = 512  # components of the signatures that decide which open pairs are verified
+SIGMAS = 4.5  # an estimate this many deviations below the threshold rules a pair out
+OPEN_BLOCK, MEMBER_CHUNK = 2048, 16384  # signatures that meet in one task
 
 
-def shingles(text: str, numbers: WordIds, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashed shingles of ``size`` words, ascending, and how often each occurs; a shorter text is one shingle."""
-    words = numbers.of(text.encode().split())
+    parts = text.encode().split()
+    words = np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts))
     if not len(words):
         return words, np.zeros(0)
     n = max(1, len(words) - size + 1)
@@ -95,11 +100,10 @@ def sketch(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -
     """``doc_id, copy_key, keys`` of every text with a word; equal texts have one copy key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        numbers = worker_cache("minhash words", WordIds)
         for ids, copy, texts in slices(batches):
             out = {"doc_id": [], "copy_key": [], "keys": []}
             for doc_id, key, text in zip(ids, copy, texts, strict=True):
-                found, counts = shingles(text or "", numbers)
+                found, counts = shingles(text or "")
                 if len(found):
                     out["doc_id"].append(doc_id)
                     out["copy_key"].append(key)
@@ -110,20 +114,23 @@ def sketch(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -
     return arrow_map(named.filter("doc_id is not null"), run, "doc_id long, copy_key binary, keys array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``a, b, similarity`` of pairs ``a, b`` of documents; only the texts of documents in a pair are kept."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def texts_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stored ``doc_id, text`` of the wanted documents; the only shuffle of texts, the same at every size."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = materialize(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]))
+    return materialize(texts.join(wanted.select("doc_id").hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of pairs ``a, b`` of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        numbers, known, held = worker_cache("minhash words", WordIds), None, None
+        known, held = None, None
         for a, b, text_a, text_b in slices(batches, 64):
             found = []
             for i in range(len(a)):
                 if a[i] != known:
-                    known, held = a[i], shingles(text_a[i], numbers)
-                found.append(similarity(held, shingles(text_b[i], numbers)))
+                    known, held = a[i], shingles(text_a[i])
+                found.append(similarity(held, shingles(text_b[i])))
             yield {"a": a, "b": b, "similarity": found}
 
     of = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
@@ -131,41 +138,97 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     return materialize(arrow_map(joined, run, "a long, b long, similarity double"))
 
 
+def deep_signatures(texts: DataFrame) -> DataFrame:
+    """``doc_id, deep``: the low byte of each of ``DEEP`` components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for ids, parts in slices(batches):
+            deep = [(signature(*shingles(t), DEEP) & np.uint64(255)).astype(np.uint8).tobytes() for t in parts]
+            yield {"doc_id": ids, "deep": deep}
+
+    return arrow_map(texts.select("doc_id", "text"), run, "doc_id long, deep binary")
+
+
+def open_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: open members with members of other classes of their group whose estimated similarity is near enough.
+
+    ``members``: grp, doc_id, class_id, open, far (distance to the centre), deep. Open members are dealt to blocks and all
+    members to chunks of bounded size, and every block meets every chunk of its group in one task, block first.
+    """
+    reach = 1.0 - threshold + 1e-9
+    least = DEEP * (threshold - SIGMAS * float(np.sqrt(threshold * (1 - threshold) / DEEP)))
+    counts = members.groupBy("grp").agg(F.count(F.when(F.col("open"), 1)).alias("opens"), F.count(F.lit(1)).alias("n"))
+    dealt = members.join(counts.filter("opens > 0"), "grp")
+    blocks, chunks = (F.ceil(F.col(c) / s).cast("int") for c, s in (("opens", OPEN_BLOCK), ("n", MEMBER_CHUNK)))
+    pick = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n).cast("int")
+    columns = ["grp", "doc_id", "class_id", "far", "deep"]
+    left = dealt.filter("open").select(*columns, F.lit(0).alias("side"), pick(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    right = dealt.select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), pick(chunks, 2).alias("chunk"))
+    cell = ["grp", "block", "chunk"]
+    met = left.unionByName(right).repartition(*cell).sortWithinPartitions(*cell, "side", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        key, held, ready = None, [], None
+        for *where, side, ids, classes, fars, deep in slices(batches, 512):
+            rows = list(zip(zip(*where, strict=True), side, ids, classes, fars, deep, strict=True))
+            start = 0
+            while start < len(rows):
+                now, kind = rows[start][0], rows[start][1]
+                end = start
+                while end < len(rows) and rows[end][0] == now and rows[end][1] == kind:
+                    end += 1
+                part = [np.array(x) for x in zip(*[r[2:5] for r in rows[start:end]], strict=True)]
+                part.append(np.frombuffer(b"".join(r[5] for r in rows[start:end]), np.uint8).reshape(-1, DEEP))
+                start = end
+                if now != key:
+                    key, held, ready = now, [], None
+                if kind == 0:
+                    held.append(part)
+                    continue
+                if ready is None:
+                    ready = [np.concatenate(x) for x in zip(*held, strict=True)] if held else []
+                if ready:
+                    yield near_pairs(ready, part, least, reach)
+
+    rows = met.select(*cell, "side", "doc_id", "class_id", "far", "deep")
+    return arrow_map(rows, run, "a long, b long")
+
+
+def near_pairs(left: list[np.ndarray], right: list[np.ndarray], least: float, reach: float) -> dict[str, list]:
+    out: dict[str, list] = {"a": [], "b": []}
+    for i in range(len(left[0])):
+        at = np.flatnonzero((right[1] != left[1][i]) & (np.abs(right[2] - left[2][i]) <= reach))
+        at = at[(right[3][at] == left[3][i]).sum(axis=1) >= least]
+        out["a"] += np.minimum(right[0][at], left[0][i]).tolist()
+        out["b"] += np.maximum(right[0][at], left[0][i]).tolist()
+    return out
+
+
 def links(buckets: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """Verified links ``a, b`` that connect all candidates of similarity ``threshold`` or more.
 
-    ``buckets``: key, doc_id, with two or more documents to a key. A round compares every member of a bucket with its
-    centre. Members at a distance above ``1 - threshold`` stay open. A linked member stays only if the triangle
-    inequality allows an open one to be near it. What is open after the last round is paired within its bucket where the
-    distances to the last centre differ by at most ``1 - threshold``; this is exact, and no candidate is dropped.
+    ``buckets``: key, doc_id, with two or more documents to a key. The members of all buckets with one centre form a group.
+    A member is open if its similarity to the centre is below the threshold. Every open member is compared with all members
+    of its groups that are in another class, unless the triangle inequality for 1 - similarity, a metric, or the estimate
+    from ``DEEP`` components rules the pair out (for a pair at the threshold with a probability of 4e-6). There is no cap.
     """
-    reach = 1.0 - threshold + 1e-9
-    members = buckets.withColumn("open", F.lit(True))
-    found = None
-    for _ in range(STAR_ROUNDS):
-        centre = members.groupBy("key").agg(F.min(F.when(F.col("open"), F.col("doc_id"))).alias("a"), F.count(F.lit(1)).alias("n"))
-        spokes = members.join(centre.filter("n > 1 and a is not null"), "key").filter("doc_id <> a")
-        spokes = materialize(spokes.select("key", "a", F.col("doc_id").alias("b"), "open"))
-        pairs = materialize(spokes.select("a", "b").distinct())
-        if pairs.isEmpty():
-            return found if found is not None else pairs
-        checked = verify(pairs, docs, id_col, text_col)
-        linked = checked.filter(F.col("similarity") >= threshold).select("a", "b")
-        found = linked if found is None else found.unionByName(linked)
-        known = spokes.join(checked, ["a", "b"]).withColumn("far", 1 - F.col("similarity"))
-        known = known.withColumn("open", F.col("open") & (F.col("far") > reach))
-        nearest = known.filter("open").groupBy("key").agg(F.min("far").alias("nearest"))
-        left = known.join(nearest, "key").filter(F.col("open") | (F.col("far") + reach >= F.col("nearest")))
-        members = materialize(left.select("key", F.col("b").alias("doc_id"), "open", "far"))
-    one, other = members.alias("x"), members.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & F.col("x.open")
-    near = near & (F.abs(F.col("x.far") - F.col("y.far")) <= reach)
-    rest = one.join(other, near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-    rest = materialize(rest.distinct())
-    if rest.isEmpty():
-        return found
-    checked = verify(rest, docs, id_col, text_col)
-    return found.unionByName(checked.filter(F.col("similarity") >= threshold).select("a", "b"))
+    met = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
+    score = buckets.join(met, "key").groupBy("doc_id").agg(F.sum("met").alias("score"))
+    scored = buckets.join(score, "doc_id").select("key", "doc_id", F.struct("score", (-F.col("doc_id")).alias("low")).alias("rank"))
+    centre = scored.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.low")).alias("a"))
+    pairs = materialize(buckets.join(centre, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    texts = texts_of(buckets.select("doc_id").distinct(), docs, id_col, text_col)
+    checked = verify(pairs, texts)
+    found = checked.filter(F.col("similarity") >= threshold).select("a", "b")
+    labels = components(found)
+    members = checked.select(
+        F.col("a").alias("grp"), F.col("b").alias("doc_id"), (F.col("similarity") < threshold).alias("open"), (1 - F.col("similarity")).alias("far")
+    ).join(labels, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    mixed = members.groupBy("grp").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("open").alias("any"))
+    members = materialize(members.join(mixed.filter("any and low < high").select("grp"), "grp", "left_semi"))
+    deep = deep_signatures(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    rest = materialize(open_pairs(members.join(materialize(deep), "doc_id"), threshold).distinct())
+    return found.unionByName(verify(rest, texts).filter(F.col("similarity") >= threshold).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
