@@ -6,6 +6,8 @@ import os
 import re
 import struct
 
+import public_tokenizers
+
 from tidemark.llm.common import worker_cache
 
 # White space of the vocabularies' splitting pattern (the Unicode property), as fixed values.
@@ -17,7 +19,7 @@ UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 class Units(dict):
     """Unit to its ids as little-endian unsigned 32-bit bytes; emptied once it holds ``limit`` units."""
 
-    limit = 400_000
+    limit = 1_000_000  # about 200 MB
 
     def ids(self, text: str) -> bytes:
         if len(self) > self.limit:
@@ -25,23 +27,41 @@ class Units(dict):
         return b"".join(map(self.__getitem__, UNIT.findall(text)))
 
 
+def byte_characters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes as characters: printable ones as themselves, the others, in order, from 256
+    on. Keys are the code points of a text whose bytes were read as Latin-1."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class LibraryUnits(Units):
-    """Ids by a byte-level vocabulary of the tokenizers library; special tokens in a text are ordinary text."""
+    """Ids by a byte-level vocabulary of the tokenizers library; special tokens in a text are ordinary text.
 
-    def __init__(self, path: str):
+    The library's model encodes each match of the splitting pattern once.
+    """
+
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        if whole.normalizer is not None or "ByteLevel" not in repr(whole.pre_tokenizer):
+        if whole.normalizer is not None or "ByteLevel(add_prefix_space=False" not in repr(whole.pre_tokenizer):
             raise ValueError("units are independent for byte-level vocabularies without a normalizer only")
-        self._whole = whole
+        self._split, self._model, self._words = regex.compile(pattern).findall, whole.model, {}
+        self._characters = byte_characters()
 
     def __missing__(self, unit: str) -> bytes:
-        found = self._whole.encode_batch_fast([unit], add_special_tokens=False)[0].ids
-        value = self[unit] = struct.pack(f"<{len(found)}I", *found)
+        value = self[unit] = b"".join(self._words.get(w) or self._word(w) for w in self._split(unit))
+        return value
+
+    def _word(self, word: str) -> bytes:
+        if len(self._words) > self.limit // 2:
+            self._words.clear()
+        found = [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._characters))]
+        value = self._words[word] = struct.pack(f"<{len(found)}I", *found)
         return value
 
 
