@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import freshness, fusion, records, text
-from tidemark.operators import conflicts, feeds, ingest, ranking, threads
+from tidemark.operators import conflicts, feeds, ingest, ranking, threads, versions
 from tidemark.operators.ordered import with_position, with_row_number
-from tidemark.sources import news, ranges
+from tidemark.sources import news, ranges, sinks
 
 
 def values(spark, rows, schema):
@@ -125,8 +125,8 @@ def test_greedy_chunks(spark):
 
 def message(**changes):
     base = {
-        "T": "n", "id": 7, "headline": "h", "summary": "s", "author": "a", "created_at": "2023-05-22T12:06:20Z",
-        "updated_at": "2023-05-22T12:06:21Z", "url": None, "content": "<p>c</p>", "symbols": ["X"], "source": "feed",
+        "T": "n", "id": 7, "headline": "h", "summary": "s", "author": "a", "created_at": "2021-03-04T05:06:07Z",
+        "updated_at": "2021-03-04T05:08:09Z", "url": None, "content": "<p>c</p>", "symbols": ["X"], "source": "feed",
     }
     base.update(changes)
     return {k: v for k, v in base.items() if v != "drop"}
@@ -162,7 +162,7 @@ def test_batch_policy_and_broken_payloads(spark):
     assert sorted(r["batch_id"] for r in bad.collect()) == [1, 3]
     assert [r["batch_id"] for r in by_batch.collect()] == [2]
     article = by_batch.first()
-    assert (article["id"], article["symbols"], str(article["created_at"])) == (7, ["X"], "2023-05-22 12:06:20")
+    assert (article["id"], article["symbols"], str(article["created_at"])) == (7, ["X"], "2021-03-04 05:06:07")
 
 
 def test_interval_split(spark):
@@ -199,22 +199,22 @@ def test_small_expressions(spark):
     assert one(spark, records.first_or_null(F.array().cast("array<string>"))) is None
 
 
-REVENUE = ("The company reported revenue of $10.5 million in Q2.", "The company reported revenue of $12.8 million in Q2.")
-CHIEF = ("Sarah Johnson was appointed as the new chief.", "Michael Chen was appointed as the new chief.")
+REVENUE = ("Harbour fees brought in 41.2 million crowns.", "Harbour fees brought in 55.7 million crowns.")
+CHIEF = ("the pilots are led by Amara Okafor.", "the pilots are led by Lena Fischer.")
 
 
 def test_conflicts(spark):
     pairs = values(spark, [(1, *REVENUE), (2, *CHIEF), (3, "same text", "same text")], "pair_id int, old_content string, new_content string")
     found = conflicts.detect_conflicts(pairs)
     rows = {(r["pair_id"], r["type"], r["old_content"], r["new_content"], r["confidence"]) for r in found.collect()}
-    assert (1, "numerical", "10.5", "12.8", 0.8) in rows
-    assert (2, "entity", "Sarah Johnson", "Michael Chen", 0.7) in rows
+    assert (1, "numerical", "41.2", "55.7", 0.8) in rows
+    assert (2, "entity", "Amara Okafor", "Lena Fischer", 0.7) in rows
     assert all(r[0] != 3 for r in rows)
     resolved = {r["pair_id"]: r for r in conflicts.resolve_conflicts(found.where("type = 'numerical'"), "merge").collect()}
-    assert resolved[1]["resolved_content"] == "12.8 (previously reported as 10.5)"
+    assert resolved[1]["resolved_content"] == "55.7 (previously reported as 41.2)"
     assert resolved[1]["confidence_score"] == 0.5
     kept = conflicts.resolve_conflicts(found.where("pair_id = 2"), "confidence_based").first()
-    assert kept["resolved_content"] == "Sarah Johnson" and kept["confidence_score"] == pytest.approx(0.3)
+    assert kept["resolved_content"] == "Amara Okafor" and kept["confidence_score"] == pytest.approx(0.3)
     assert kept["resolution_metadata"] == {"strategy": "confidence_based", "confidence_threshold": "0.7"}
     assert set(resolved) == {1}  # no conflict, no row
     with pytest.raises(ValueError):
@@ -273,3 +273,53 @@ def test_mock_feed(spark, tmp_path):
     points, rejects = ingest.ingest(rows, 64)
     assert points.count() == 6 and rejects.count() == 0
     assert all(math.isclose(sum(x * x for x in r["embedding"]), 1.0) for r in points.collect())
+
+
+def test_feeds_keep_every_entry(spark):
+    entry = "<entry><id>urn:tag:x,accession-number=000-{n}</id><title>4 - A ({n}) (Issuer)</title></entry>"
+    xml = "<feed>" + "".join(entry.format(n=n) for n in range(14)) + "</feed>"
+    frame = values(spark, [(xml,)], "xml string")
+    assert feeds.parse_atom(frame).count() == 14 and feeds.parse_atom(frame, at_most=3).count() == 3
+
+
+def test_all_named_and_long_numeric_entities(spark):
+    frame = values(spark, [("caf&eacute; &rarr; &frac12; &#00008217;x &amp;lt; &nosuch; a & b &#x0002019;&NotEqualTilde;",)], "t string")
+    assert frame.select(text.html_to_text("t").alias("t")).first()["t"] == "café → ½ ’x &lt; &nosuch; a & b ’≂̸"
+
+
+def test_later_map_wins(spark):
+    frame = spark.sql("select map('a', 1, 'b', 2) as x, map('b', 3, 'c', 4) as y")
+    assert frame.select(records.merge_maps(F.col("x"), F.col("y")).alias("m")).first()["m"] == {"a": 1, "b": 3, "c": 4}
+
+
+def test_a_new_stream_keeps_a_compacted_collection(spark, tmp_path):
+    first, folded = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks.upsert(spark.range(20).select(F.col("id").alias("chunk_id"), F.lit(0).alias("v")), first, 0, ["v"])
+    sinks.compact(spark, first, folded)
+    for _ in range(2):
+        sinks.upsert(spark.createDataFrame([(3, 1), (3, 2), (99, 1)], "chunk_id long, v int"), folded, 0, ["v"])
+    rows = {r["chunk_id"]: r["v"] for r in sinks.read_collection(spark, folded).collect()}
+    assert len(rows) == 21 and rows[3] == 2 and rows[99] == 1 and rows[4] == 0
+
+
+def test_interval_edges_agree_with_the_split(spark):
+    bounds = values(spark, [("2024-01-01 00:00:00", "2024-01-01 00:00:01.000001")], "start string, end string")
+    bounds = bounds.select(*[F.col(c).cast("timestamp").alias(c) for c in ("start", "end")])
+    for n in (2, 3, 7):
+        cut = ranges.split_intervals(bounds, n)
+        found = cut.select("interval_no", ranges.interval_of(F.col("interval_start"), F.col("start"), F.col("end"), n).alias("i")).collect()
+        assert all(r["interval_no"] == r["i"] for r in found)
+
+
+def test_versions_of_one_time_are_told_apart(spark):
+    frame = values(spark, [(1, "2024-01-01", "b"), (1, "2024-01-01", "a")], "doc_id int, ts string, content string")
+    assert versions.new_versions(frame, "doc_id", "ts").select("version_id").distinct().count() == 2
+    assert versions.add_documents(frame).first()["content"] == "a"
+
+
+def test_repeated_filing_texts_do_not_multiply_filings(spark):
+    frame = values(spark, [("1", "http://h/a-index.htm", None, "4")], "id string, link string, cik string, form_type string")
+    address = frame.select(records.filing_text_url(F.col("link")).alias("u")).first()["u"]
+    told = "<issuerTradingSymbol>ABC</issuerTradingSymbol>"
+    found = feeds.enrich(frame, values(spark, [(1, "T")], "cik_str long, ticker string"), values(spark, [(address, told)] * 2, "url string, text string"))
+    assert found.count() <= 1

@@ -35,10 +35,10 @@ def test_chunks_give_the_text_back(spark, sf):
 def test_upsert_twice_equals_once(spark, sf, tmp_path):
     points, _ = ingest.ingest(articles(spark, sf), 64)
     path = str(tmp_path / "points")
-    sinks.upsert(points, path, 0, dim=64)
+    sinks.upsert(points, path, 0, ["updated_at", "article_id"], dim=64)
     once = sinks.read_collection(spark, path).count()
-    sinks.upsert(points, path, 0, dim=64)
-    sinks.upsert(points, path, 1, dim=64)
+    sinks.upsert(points, path, 0, ["updated_at", "article_id"], dim=64)
+    sinks.upsert(points, path, 1, ["updated_at", "article_id"], dim=64)
     assert sinks.read_collection(spark, path).count() == once
     with pytest.raises(Exception, match="vector size is not 32"):
         sinks.upsert(points, path, 2, dim=32)

@@ -27,13 +27,13 @@ def edits(spark: Spark, sf: str) -> Rows:
     return versions.new_versions(rows, "doc_id", "ts")
 
 
-_ID = "md5(user_id || '|' || regexp_replace(ts::varchar, '0+$', ''))"
+_ID = "md5(user_id || '|' || regexp_replace(ts::varchar, '0+$', '') || '|' || event_type || ':' || event_id)"
 EDITS = f"edits as (select user_id doc_id, ts, event_type || ':' || event_id as content, event_id, {_ID} version_id from events)"
 
 
 @query(
     "v1_first_versions",
-    f"with {EDITS} select doc_id, min_by(content, ts) as content, min_by(version_id, ts) version_id, true is_active from edits group by doc_id",
+    f"with {EDITS} select doc_id, min_by(content, (ts, content)) as content, min_by(version_id, (ts, content)) version_id, true is_active from edits group by doc_id",
 )
 def first_versions(spark: Spark, sf: str) -> Rows:
     rows = versions.add_documents(edits(spark, sf).select("doc_id", "ts", "content"))

@@ -251,10 +251,28 @@ def compacted(spark: Spark, sf: str) -> Rows:
     return sinks.read_collection(spark, target)
 
 
+@query(
+    "k1_compacted_then_streamed",
+    """select md5(text) chunk_id, coalesce(max(doc_id) filter (where lang = 'en'), max(doc_id)) doc_id,
+      case when count(*) filter (where lang = 'en') > 0 then 'stream' else 'before' end pass,
+      max_by(lang, (lang = 'en', doc_id)) lang, max_by(source, (lang = 'en', doc_id)) source
+    from documents group by 1""",
+)
+def compacted_then_streamed(spark: Spark, sf: str) -> Rows:
+    """A new stream starts at batch 0 on a compacted collection, and its batch is delivered twice."""
+    path, target = scratch(spark, "collection"), scratch(spark, "compacted")
+    rows = table(spark, sf, "documents").select(F.md5("text").alias("chunk_id"), "doc_id", "lang", "source")
+    sinks.upsert(rows.withColumn("pass", F.lit("before")), path, 0, order=["doc_id"])
+    sinks.compact(spark, path, target)
+    for _ in range(2):
+        sinks.upsert(rows.where("lang = 'en'").withColumn("pass", F.lit("stream")), target, 0, order=["doc_id"])
+    return sinks.read_collection(spark, target).select("chunk_id", "doc_id", "pass", "lang", "source")
+
+
 @query("k2_checked_vectors", "select vec_id, len(embedding)::bigint dims, label::bigint label from embeddings")
 def checked_vectors(spark: Spark, sf: str) -> Rows:
     path = scratch(spark, "vectors")
-    sinks.upsert(table(spark, sf, "embeddings"), path, 0, key="vec_id", dim=64)
+    sinks.upsert(table(spark, sf, "embeddings"), path, 0, ["label"], key="vec_id", dim=64)
     rows = sinks.read_collection(spark, path, "vec_id")
     return rows.select("vec_id", F.size("embedding").cast("bigint").alias("dims"), F.col("label").cast("bigint").alias("label"))
 
@@ -510,13 +528,14 @@ def form_types(spark: Spark, sf: str) -> Rows:
 
 @query(
     "f9_score_range",
-    """select vec_id, case when s between 0 and 1 then round(s, 6) end dropped, round(greatest(0, least(1, s)), 6) clamped
-    from (select vec_id, embedding[1]::double s from embeddings)""",
+    """select vec_id, part, case when s between 0 and 1 then round(s, 6) end dropped, round(greatest(0, least(1, s)), 6) clamped
+    from (select vec_id, unnest(range(0, len(embedding))) part, unnest(embedding)::double s from embeddings)""",
 )
 def score_range(spark: Spark, sf: str) -> Rows:
-    score = F.get("embedding", 0).cast("double")
-    return table(spark, sf, "embeddings").select(
-        "vec_id", r6(in_unit_range(score)).alias("dropped"), r6(in_unit_range(score, "clamp")).alias("clamped")
+    score = F.col("score").cast("double")
+    parts = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("part", "score"))
+    return parts.select(
+        "vec_id", F.col("part").cast("bigint").alias("part"), r6(in_unit_range(score)).alias("dropped"), r6(in_unit_range(score, "clamp")).alias("clamped")
     )
 
 

@@ -15,7 +15,7 @@ from tidemark.catalog.texts import buckets_sql, chunks_sql, clean_sql, counts_sq
 from tidemark.operators import feeds, ingest, ranking
 from tidemark.plans.filings import filings_writer
 from tidemark.plans.search import process_queries
-from tidemark.sources import news, range_source, ranges
+from tidemark.sources import news, ranges
 from tidemark.sources.sinks import read_collection, upsert
 from tidemark.streaming import jobs
 
@@ -70,7 +70,7 @@ def poll_stream(spark: Spark, sf: str) -> Rows:
 )
 def ingest_stream(spark: Spark, sf: str) -> Rows:
     path = scratch(spark, "collection")
-    write = jobs.ingest_writer(lambda batch: ingest.ingest(batch, DIM, budget=BUDGET)[0], path, DIM)
+    write = jobs.ingest_writer(lambda batch: ingest.ingest(batch, DIM, budget=BUDGET)[0], path, ["updated_at", "article_id"], DIM)
     jobs.drain(landed(spark, articles(spark, sf)), write, scratch(spark, "progress"))
     return read_collection(spark, path).select("chunk_id", F.length("text").cast("bigint").alias("size"))
 
@@ -109,7 +109,7 @@ def replayed_batches(spark: Spark, sf: str) -> Rows:
 
     def write(batch: Rows, batch_id: int) -> None:
         for _ in range(2):  # a batch that is delivered again
-            upsert(batch, path, batch_id)
+            upsert(batch, path, batch_id, order=["doc_id"])
 
     jobs.drain(landed(spark, docs), write, scratch(spark, "progress"))
     return read_collection(spark, path).select("chunk_id").join(copies, "chunk_id")
@@ -219,9 +219,6 @@ def pair_scorer(spark: Spark, sf: str) -> Rows:
     "select event_id, event_type from events where ts >= timestamp '2024-01-03' and ts <= timestamp '2024-01-25 12:00:00'",
 )
 def range_scan(spark: Spark, sf: str) -> Rows:
-    name = range_source.register(spark)
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).select("event_id", "event_type", "ts").schema
-    reader = spark.read.format(name).schema(schema).option("path", path).option("ts", "ts").option("n", "6")
-    rows = reader.option("start", "2024-01-03T00:00:00").option("end", "2024-01-25T12:00:00").load()
+    """Spark's own scan: the bounds are pushed down, splits follow size and not time, and any storage works."""
+    rows = news.time_range(table(spark, sf, "events"), "ts", at("2024-01-03 00:00:00"), at("2024-01-25 12:00:00"))
     return rows.select("event_id", "event_type")

@@ -17,6 +17,30 @@ from tidemark.session import widen
 Spark, Rows = SparkSession, DataFrame
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
+# The named character entities of the test pages; the ampersand comes last, so nothing is decoded twice.
+ENTITIES = {
+    "&nbsp;": " ",
+    "&lt;": "<",
+    "&gt;": ">",
+    "&quot;": '"',
+    "&apos;": "'",
+    "&middot;": "·",
+    "&copy;": "©",
+    "&reg;": "®",
+    "&trade;": "™",
+    "&hellip;": "…",
+    "&ndash;": "–",
+    "&mdash;": "—",
+    "&lsquo;": "‘",
+    "&rsquo;": "’",
+    "&ldquo;": "“",
+    "&rdquo;": "”",
+    "&bull;": "•",
+    "&euro;": "€",
+    "&pound;": "£",
+    "&amp;": "&",
+}
+
 
 def sub(expr: str, pattern: str, to: str) -> str:
     quoted = pattern.replace("'", "''")
@@ -32,7 +56,7 @@ def html_sql(expr: str) -> str:
       when regexp_matches(p, '^[xX][0-9a-fA-F]{{1,6}};') then chr(('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]+);', 1))::int)
         || regexp_replace(p, '^[xX][0-9a-fA-F]+;', '')
       else '&#' || p end), '')"""
-    for entity, char in text.ENTITIES.items():
+    for entity, char in ENTITIES.items():
         out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return f"trim({sub(out, '[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 'f]+', ' ')})"
 
@@ -279,11 +303,12 @@ def json_fields(spark: Spark, sf: str) -> Rows:
     )
 
 
-@query("x23_merge_maps", "select doc_id, lang || '|' || doc_id || '|' || source merged from documents")
-def merge_maps(spark: Spark, sf: str) -> Rows:
+@query("x23_merge_maps", "select doc_id, 'later ' || lang || '|' || doc_id || '|' || source merged from documents")
+def merged_maps(spark: Spark, sf: str) -> Rows:
     base = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
-    more = F.create_map(F.lit("text_id"), F.col("doc_id").cast("string"))
-    both = F.map_concat(base, more)
+    later = F.concat(F.lit("later "), "lang")
+    more = F.create_map(F.lit("text_id"), F.col("doc_id").cast("string"), F.lit("lang"), later)
+    both = records.merge_maps(base, more)
     merged = F.concat_ws("|", both["lang"], both["text_id"], both["source"])
     return table(spark, sf, "documents").select("doc_id", merged.alias("merged"))
 
@@ -443,12 +468,12 @@ def exact_duplicates(spark: Spark, sf: str) -> Rows:
     """select vec_id, i, id, round(x, 6) x, piece from (
       select vec_id, unnest(range(0, n)) i, unnest(range(0, n)) + 100 id, unnest(list_slice(embedding, 1, n))::double x,
         unnest(list_slice(string_split('a-b-c-d-e-f', '-'), 1, n)) piece
-      from (select *, least(label + 2, 6, 5) n from embeddings))""",
+      from (select *, least(label + 2, 6, len(embedding)) n from embeddings))""",
 )
 def positional_zip(spark: Spark, sf: str) -> Rows:
     ids = F.sequence(F.lit(100), F.col("label") + 101).cast("array<bigint>")
     payloads_ = F.split(F.lit("a-b-c-d-e-f"), "-")
-    zipped = ingest.zip_points(ids, F.slice("embedding", 1, 5), payloads_)
+    zipped = ingest.zip_points(ids, F.col("embedding"), payloads_)
     rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(zipped).alias("i", "z"))
     return rows.select(
         "vec_id", F.col("i").cast("bigint").alias("i"), "z.id", r6(F.col("z.vector").cast("double")).alias("x"), F.col("z.payload").alias("piece")

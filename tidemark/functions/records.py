@@ -57,3 +57,8 @@ def first_or_null(values: Column) -> Column:
 
 def or_na(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("N/A"))
+
+
+def merge_maps(base: Column, more: Column) -> Column:
+    """Both maps as one; the value of ``more`` wins for a key that both have."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(more, k)), more)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -45,29 +47,8 @@ BLOCK_TAG = (
     r"|hr|html|li|link|main|meta|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
 )
 ANY_TAG = r"</?[a-zA-Z!][^>]*>"
-# Named character entities; the ampersand comes last so that no text is decoded twice.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&middot;": "·",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&trade;": "™",
-    "&hellip;": "…",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&lsquo;": "‘",
-    "&rsquo;": "’",
-    "&ldquo;": "“",
-    "&rdquo;": "”",
-    "&bull;": "•",
-    "&euro;": "€",
-    "&pound;": "£",
-    "&amp;": "&",
-}
+# Every named character reference of HTML, by name; a no-break space counts as a blank.
+NAMED = {name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")} | {"nbsp": " "}
 
 
 def _col(c: Column | str) -> Column:
@@ -124,41 +105,38 @@ def _code_point(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(F.when(usable, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
 
 
-def decode_numeric_entities(text: Column | str) -> Column:
-    """``&#8217;`` and ``&#x2019;`` to characters."""
+def decode_entities(text: Column | str) -> Column:
+    """``&#8217;``, ``&#x2019;`` and ``&rsquo;`` to characters, in one pass, so that nothing is decoded twice. Unknown names
+    stay as they are."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")  # folded into a constant
 
     def part(piece: Column, index: Column) -> Column:
-        dec = F.regexp_extract(piece, r"^([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        rest = F.regexp_replace(piece, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", "")
+        dec = F.regexp_extract(piece, r"^#0*([0-9]{1,7});", 1)
+        hexa = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]{1,6});", 1)
+        named = F.try_element_at(names, F.regexp_extract(piece, r"^([a-zA-Z][a-zA-Z0-9]*);", 1))
+        rest = F.regexp_replace(piece, r"^[^;]*;", "")
         return (
             F.when(index == 0, piece)
             .when(dec != "", F.concat(_code_point(dec.try_cast("bigint")), rest))
             .when(hexa != "", F.concat(_code_point(F.conv(hexa, 16, 10).try_cast("bigint")), rest))
-            .otherwise(F.concat(F.lit("&#"), piece))
+            .when(named.isNotNull(), F.concat(named, rest))
+            .otherwise(F.concat(F.lit("&"), piece))
         )
 
-    return F.array_join(F.transform(F.split(_col(text), "&#", -1), part), "")
+    return F.array_join(F.transform(F.split(_col(text), "&", -1), part), "")
 
 
-def html_to_text(html: Column | str) -> Column:
+def html_to_text(page: Column | str) -> Column:
     """Visible text; block elements are separated by one space, inline tags vanish."""
-    out = _where(lambda t: F.contains(t, F.lit("<")), _drop_tags, _col(html))
-    out = _where(lambda t: F.contains(t, F.lit("&")), _decode_entities, out)
+    out = _where(lambda t: F.contains(t, F.lit("<")), _drop_tags, _col(page))
+    out = _where(lambda t: F.contains(t, F.lit("&")), decode_entities, out)
     return F.trim(F.regexp_replace(out, BLANKS, " "))
 
 
-def _drop_tags(html: Column) -> Column:
+def _drop_tags(page: Column) -> Column:
     for pattern, to in ((COMMENT, ""), (SCRIPT, " "), (STYLE, " "), (BLOCK_TAG, " "), (ANY_TAG, "")):
-        html = F.regexp_replace(html, pattern, to)
-    return html
-
-
-def _decode_entities(text: Column) -> Column:
-    text = decode_numeric_entities(text)
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        page = F.regexp_replace(page, pattern, to)
+    return page
 
 
 def clean_all(text: Column | str) -> Column:

@@ -12,8 +12,8 @@ NO_TICKER = "no_ticker"
 SPREAD = 1024  # rows without a join key are spread over this many keys that match nothing
 
 
-def parse_atom(feeds: DataFrame, xml: str = "xml", keep: tuple[str, ...] = (), at_most: int | None = 10) -> DataFrame:
-    """Feed documents to filing entries; ``at_most`` entries per document, None for all."""
+def parse_atom(feeds: DataFrame, xml: str = "xml", keep: tuple[str, ...] = (), at_most: int | None = None) -> DataFrame:
+    """Feed documents to filing entries: all of them, or the first ``at_most`` of each document."""
     entries = F.from_xml(F.col(xml), FEED)["entry"]
     if at_most is not None:
         entries = F.slice(entries, 1, at_most)
@@ -62,8 +62,8 @@ def lookup_tickers(filings: DataFrame, tickers: DataFrame) -> DataFrame:
 def enrich(filings: DataFrame, tickers: DataFrame, filing_texts: DataFrame | None = None) -> DataFrame:
     """Filings with ``ticker``: from the table, for ownership forms from the filing's own text, else ``no_ticker``.
 
-    An ownership form whose text is missing or names no symbol is dropped. ``filing_texts`` has ``url, text``, one row
-    per address.
+    An ownership form whose text is missing or names no symbol is dropped. ``filing_texts`` has ``url, text``; of
+    several texts of an address the smallest symbol counts.
     """
     found = lookup_tickers(filings, tickers)
     if filing_texts is None:
@@ -74,6 +74,7 @@ def enrich(filings: DataFrame, tickers: DataFrame, filing_texts: DataFrame | Non
         "_url", F.coalesce(F.when(F.col("_asks"), filing_text_url(F.col("link"))), nowhere)
     )
     symbols = filing_texts.select(F.col("url").alias("_url"), issuer_symbol(F.col("text")).alias("_symbol"))
+    symbols = symbols.groupBy("_url").agg(F.min("_symbol").alias("_symbol"))
     joined = keyed.join(symbols.where(F.col("_symbol").isNotNull()), "_url", "left")
     label = F.coalesce("ticker", F.when(F.col("_asks"), F.col("_symbol")).otherwise(F.lit(NO_TICKER)))
     return joined.withColumn("ticker", label).where(F.col("ticker").isNotNull()).drop("_asks", "_url", "_symbol")

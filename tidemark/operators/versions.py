@@ -15,20 +15,20 @@ from tidemark.operators.knn import nearest
 from tidemark.operators.ordered import page_of, with_neighbour, with_position, with_row_number, with_running
 
 
-def version_id(doc_id: Column, ts: Column) -> Column:
-    return F.md5(F.concat_ws("|", doc_id.cast("string"), ts.cast("string")))
+def version_id(doc_id: Column, ts: Column, content: Column) -> Column:
+    return F.md5(F.concat_ws("|", doc_id.cast("string"), ts.cast("string"), content))
 
 
-def new_versions(df: DataFrame, doc_id: str, ts: str) -> DataFrame:
-    """Stamp content rows as versions; the same document and time give the same id again."""
-    return df.withColumn("version_id", version_id(F.col(doc_id), F.col(ts)))
+def new_versions(df: DataFrame, doc_id: str, ts: str, content: str = "content") -> DataFrame:
+    """Stamp content rows as versions; the same document, time and content give the same id again."""
+    return df.withColumn("version_id", version_id(F.col(doc_id), F.col(ts), F.col(content)))
 
 
-def add_documents(df: DataFrame, doc_id: str = "doc_id", ts: str = "ts") -> DataFrame:
-    """The first version of every document."""
+def add_documents(df: DataFrame, doc_id: str = "doc_id", ts: str = "ts", content: str = "content") -> DataFrame:
+    """The first version of every document; of several at one time the one with the smallest content."""
     rest = [c for c in df.columns if c != doc_id]
-    first = df.groupBy(doc_id).agg(F.min_by(F.struct(*rest), F.col(ts)).alias("_v")).select(doc_id, "_v.*")
-    return new_versions(first, doc_id, ts).withColumn("is_active", F.lit(True))
+    first = df.groupBy(doc_id).agg(F.min_by(F.struct(*rest), F.struct(ts, content)).alias("_v")).select(doc_id, "_v.*")
+    return new_versions(first, doc_id, ts, content).withColumn("is_active", F.lit(True))
 
 
 def split_unknown(updates: DataFrame, known: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ def filings_writer(
     seen_path: str,
     out_path: str,
     order: str = "poll_ts",
-    at_most: int | None = 10,
+    at_most: int | None = None,
 ):
     """Writer for a stream of feed documents ``(order column, xml)``; the output is ``key, value`` JSON lines, keyed by
     ticker. Reference tables are plain batch tables, read once per micro-batch."""

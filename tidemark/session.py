@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
         chosen = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, chosen, ignore_errors=True)  # nothing reads it after the session's process
         spark._tidemark_shared_dir = chosen
     return chosen
 

@@ -28,12 +28,12 @@ def read_news(
     ts: str = "created_at",
     max_files: int = 1000,
 ) -> DataFrame:
-    """Articles from ``path``. ``mock``: one JSON payload per line, each a list of messages or one message; ``batch``:
-    article files within ``[start, end]``; ``stream``: the same files as they land."""
+    """Articles from ``path``. ``mock``: one JSON payload per line, each a list of messages or one message (``read_mock``
+    has the rejected ones); ``batch``: article files within ``[start, end]``; ``stream``: the same files as they land."""
     if mode == "mock":
-        lines = spark.read.text(path).withColumn("batch_id", F.monotonically_increasing_id())
-        accepted, _ = validate(parse_messages(lines, "value"))
-        return accepted.select(*[f.name for f in NEWS])
+        accepted, _ = read_mock(spark, path)
+        rows = accepted.select(*[f.name for f in NEWS])
+        return subscribe(time_range(rows, ts, start, end), symbols)
     if mode == "batch":
         if start is None or end is None:
             raise ValueError("a batch scan needs both bounds")
@@ -45,6 +45,12 @@ def read_news(
     raise ValueError(f"unknown mode: {mode}")
 
 
+def read_mock(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(valid messages, rejected ones) of payload lines."""
+    lines = spark.read.text(path).withColumn("batch_id", F.monotonically_increasing_id())
+    return validate(parse_messages(lines, "value"))
+
+
 def mock_payloads(batches: DataFrame, messages: str = "messages") -> DataFrame:
     """Lists of messages to one row per message."""
     return batches.select("batch_id", F.posexplode(messages).alias("position", "m")).select("batch_id", "position", "m.*")

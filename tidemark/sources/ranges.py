@@ -35,10 +35,12 @@ def interval_of(ts: Column, start: Column, end: Column, n: int, gap: bool = Fals
     """Number of the interval that holds ``ts``, by arithmetic and not by a range join; null outside (or in a gap)."""
     offset = _micros(ts) - _micros(start)
     total = _micros(end) - _micros(start)
-    number = F.least(F.floor(offset * F.lit(n) / total), F.lit(n - 1)).cast("bigint")
+    near = F.least(F.floor(offset * F.lit(n) / total), F.lit(n - 1)).cast("bigint")
+    edge = lambda i: F.round(i * (total / F.lit(n))).cast("bigint")  # noqa: E731  the rounded edges of split_intervals
+    number = F.when(offset < edge(near), near - 1).when((offset >= edge(near + 1)) & (near < n - 1), near + 1).otherwise(near)
     inside = (offset >= 0) & (offset <= total)
     if gap:
-        closes = F.round((number + 1) * total / F.lit(n)).cast("bigint") - F.lit(60_000_000)
+        closes = edge(number + 1) - F.lit(60_000_000)
         inside = inside & ((number == n - 1) | (offset <= closes))
     return F.when(inside, number)
 

@@ -2,7 +2,8 @@
 
 A collection is a Parquet folder with one ``batch_id=`` folder per write. Writing costs what the batch costs, whatever
 the collection holds; a replayed batch overwrites its own folder, so at-least-once delivery leaves the same table.
-Readers take the last write of every id, ``compact`` folds the batches when they have become many.
+Readers take the last write of every id, ``compact`` folds the batches when they have become many. What it leaves has a
+number below those of all streams, so a stream that starts anew at batch 0 adds to the collection.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from tidemark.operators.versions import latest_by
 from tidemark.session import filesystem
 
 
+SNAPSHOT = -1  # batch number of a compacted collection
+
+
 def checked(points: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
     """Stop the job on a vector of another size."""
     problem = F.raise_error(F.lit(f"vector size is not {dim}")).cast(points.schema[vector].dataType)
@@ -27,15 +31,16 @@ def upsert(
     points: DataFrame,
     path: str,
     batch_id: int,
+    order: Sequence[str],
     key: str = "chunk_id",
     dim: int | None = None,
-    order: Sequence[str] = (),
 ) -> None:
-    """Store one batch; the folder is created on first use. Within the batch the last row per ``key`` in ``order``
-    stays, or any one when no order is given."""
+    """Store one batch; the folder is created on first use. Within the batch the last row per ``key`` in ``order`` stays;
+    the order must tell rows of a key apart, so that a replayed batch stores the same rows."""
+    if batch_id < 0:
+        raise ValueError("batch numbers start at 0")
     rows = (checked(points, dim) if dim is not None else points).drop("batch_id")
-    rows = latest_by(rows, [key], order) if order else rows.dropDuplicates([key])
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    latest_by(rows, [key], order).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_collection(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame:
@@ -49,7 +54,7 @@ def read_collection(spark: SparkSession, path: str, key: str = "chunk_id") -> Da
 
 def compact(spark: SparkSession, path: str, target: str, key: str = "chunk_id") -> None:
     """The collection as one batch at ``target``, which replaces ``path`` for readers once it is complete."""
-    read_collection(spark, path, key).write.mode("overwrite").parquet(f"{target}/batch_id=0")
+    read_collection(spark, path, key).write.mode("overwrite").parquet(f"{target}/batch_id={SNAPSHOT}")
 
 
 def merge_latest(target: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:

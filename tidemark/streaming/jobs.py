@@ -55,11 +55,11 @@ def put_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def ingest_writer(transform: Callable[[DataFrame], DataFrame], path: str, dim: int | None = None):
-    """Endless ingest: transform the micro-batch to points and upsert them."""
+def ingest_writer(transform: Callable[[DataFrame], DataFrame], path: str, order: Sequence[str], dim: int | None = None):
+    """Endless ingest: transform the micro-batch to points and upsert them, the last of an id in ``order``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert(transform(widen(batch)), path, batch_id, dim=dim)
+        upsert(transform(widen(batch)), path, batch_id, order, dim=dim)
 
     return write
 
@@ -71,7 +71,8 @@ def dedupe_within_watermark(stream: DataFrame, keys: Sequence[str], ts: str, del
 
 def only_keys_of(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """The stored rows whose key occurs in the batch: the batch's keys travel to the long table, not it to them."""
-    return stored.join(batch.select(key).distinct(), key, "left_semi")
+    asked = batch.select(F.col(key).alias("_asked")).distinct()
+    return stored.join(asked, F.col(key).eqNullSafe(F.col("_asked")), "left_semi")
 
 
 def fresh_rows(batch: DataFrame, batch_id: int, key: str, arrival: Column, seen_path: str) -> DataFrame:
@@ -79,7 +80,8 @@ def fresh_rows(batch: DataFrame, batch_id: int, key: str, arrival: Column, seen_
     key_type = batch.schema[key].dataType.simpleString()
     first = first_occurrences(batch, key, arrival)
     seen = only_keys_of(batches_before(batch.sparkSession, seen_path, batch_id, f"{key} {key_type}"), first, key)
-    fresh = materialize(first.join(seen, key, "left_anti"))
+    known = seen.select(F.col(key).alias("_known"))
+    fresh = materialize(first.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti"))
     put_batch(fresh.select(key), seen_path, batch_id)
     return fresh
 
@@ -99,9 +101,9 @@ def running_count_writer(key: str, order: Sequence[str], state_path: str, out_pa
     def write(batch: DataFrame, batch_id: int) -> None:
         key_type = batch.schema[key].dataType.simpleString()
         before = batches_before(batch.sparkSession, state_path, batch_id, f"{key} {key_type}, n bigint")
-        base = only_keys_of(before, batch, key).groupBy(key).agg(F.sum("n").alias("_base"))
+        base = only_keys_of(before, batch, key).groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("_base"))
         inside = with_row_number(with_position(batch, [key, *order]), [key], "_here")
-        counted = inside.join(base, key, "left").withColumn(
+        counted = inside.join(base, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
             "running_count", F.coalesce("_base", F.lit(0)) + F.col("_here")
         )
         put_batch(counted.select(*batch.columns, "running_count"), out_path, batch_id)
