@@ -41,7 +41,7 @@ def test_upsert_twice_equals_once(spark, sf, tmp_path):
     sinks.upsert(points, path, 1, ["updated_at", "article_id"], dim=64)
     assert sinks.read_collection(spark, path).count() == once
     with pytest.raises(Exception, match="vector size is not 32"):
-        sinks.upsert(points, path, 2, dim=32)
+        sinks.upsert(points, path, 2, ["updated_at", "article_id"], dim=32)
 
 
 def skewed(spark, n=5000):
