@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SLICE, arrow_map, slices
+from tidemark.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 LONGEST = 4
-FIT_ROWS = 20_000  # labelled rows that the model is fitted on
+FIT_ROWS = 10_000  # labelled rows that the model is fitted on
 WORDS, GRAMS = 60_000, 60_000  # entries kept in the model
 
 
@@ -100,7 +101,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, words: int = WORDS, grams: in
     chosen = usable.select("id").orderBy(F.xxhash64(F.lit("langid"), "id"), "id").limit(fit_rows)
     sample = usable.join(F.broadcast(chosen.distinct()), "id", "left_semi")  # at most fit_rows ids
     table = counts(sample).groupBy("size", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    table = table.filter("n > 1 or size < 3")
+    table = materialize(table.filter("n > 1 or size < 3"))  # read once for every size
     kept = None
     for size in range(LONGEST + 1):
         top = table.filter(F.col("size") == size).orderBy(F.desc("n"), "gram").limit(words if size == 0 else grams)
