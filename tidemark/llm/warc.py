@@ -57,7 +57,7 @@ def one_line(value: str) -> str:
 
 def html_to_text(page: str) -> str:
     """Text of a page: no markup, scripts or styles; block elements break lines, other white space is one blank."""
-    flat = re.sub(r"\s+", " ", page)
+    flat = one_line(page)
     lines = entities.unescape(MARKUP.sub(lambda m: "\n" if m[2] else "", flat)).split("\n")
     return "\n".join(line for line in (one_line(x) for x in lines) if line)
 
