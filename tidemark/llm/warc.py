@@ -30,13 +30,17 @@ from tidemark.session import materialize
 VERSION = "WARC/1.1"
 RECORD = "record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, headers string, block binary"
 FIELDS = tuple(f.split()[0] for f in RECORD.split(", "))
+NAMED = ("WARC-Record-ID", "WARC-Type", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type")
 FILE_BYTES = 1 << 24
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tidemark:warc")
 
 # Fixed values of HTML: elements whose content is no text, and elements that start a new line.
 SILENT = "script|style|template|noscript|head"
 BREAKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|(</?(?:{BREAKS})\b[^>]*>)|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
+MARKUP = re.compile(  # begins with one plain character, which lets the search skip text quickly
+    rf"<(?:!--.*?(?:-->|\Z)|({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|(/?(?:{BREAKS})\b[^>]*>)|[/!?a-zA-Z][^>]*(?:>|\Z))", re.S | re.I
+)
+BROKEN = re.compile(r"\r[^\n]*\n")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 TEXTS = ("text/html", "application/xhtml+xml", "text/plain")
@@ -57,9 +61,11 @@ def one_line(value: str) -> str:
 
 def html_to_text(page: str) -> str:
     """Text of a page: no markup, scripts or styles; block elements break lines, other white space is one blank."""
-    flat = one_line(page)
-    lines = entities.unescape(MARKUP.sub(lambda m: "\n" if m[2] else "", flat)).split("\n")
-    return "\n".join(line for line in (one_line(x) for x in lines) if line)
+    # The flat page holds neither \r nor \n, so they can mark what was markup: a breaking tag stays between the two, of all
+    # other markup the empty pair is left.
+    marked = MARKUP.sub("\r\\2\n", one_line(page)).replace("\r\n", "")
+    lines = entities.unescape(BROKEN.sub("\n", marked)).split("\n")
+    return "\n".join(" ".join(words) for words in map(str.split, lines) if words)
 
 
 def record(kind: str, record_id: str, block: bytes, content_type: str, fields: dict[str, str | None]) -> tuple:
@@ -72,13 +78,12 @@ def record(kind: str, record_id: str, block: bytes, content_type: str, fields: d
         "Content-Type": content_type,
         "Content-Length": str(len(block)),
     }
-    return of_headers("\n".join(f"{k}: {v}" for k, v in named.items()), block)
+    return (*map(named.get, NAMED), "\n".join(f"{k}: {v}" for k, v in named.items()), block)
 
 
 def of_headers(headers: str, block: bytes) -> tuple:
     by = fields_of(headers)
-    names = ("warc-record-id", "warc-type", "warc-refers-to", "warc-target-uri", "warc-date", "content-type")
-    return (*map(by.get, names), headers, block)
+    return (*(by.get(name.lower()) for name in NAMED), headers, block)
 
 
 def fields_of(headers: str) -> dict[str, str]:
