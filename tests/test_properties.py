@@ -198,3 +198,14 @@ def test_no_cross_joins_in_registered_queries(spark, sf):
     for name in ("c1_all_conflicts", "j2_fallback_lookup", "v2_history", "s6_pages", "s9_key_shares", "u1_union_of_hits"):
         plan = plan_of(QUERIES[name](spark, sf))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_hits_without_a_row_stay(spark):
+    """A bounded set of hits is broadcast, a larger one is joined as it is; both keep every hit."""
+    hits = spark.createDataFrame([(1, 7, 0.9), (1, 8, 0.8), (2, 7, 0.7), (2, None, 0.1)], "query_id long, chunk_id long, score double")
+    rows = spark.createDataFrame([(7, "seven"), (9, "nine")], "chunk_id long, text string")
+    want = {(1, 7, "seven"), (1, 8, None), (2, 7, "seven"), (2, None, None)}
+    for bound in (4, None):
+        got = knn.attach_payload(hits, rows, max_hits=bound).select("query_id", "chunk_id", "text").collect()
+        assert len(got) == 4 and {tuple(r) for r in got} == want
+    assert knn.attach_payload(hits, rows, how="inner", max_hits=4).count() == 2

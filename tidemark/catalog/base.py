@@ -77,12 +77,18 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def payload(spark: SparkSession, sf: str) -> DataFrame:
-    """Text and time of every vector: documents and events of the same number."""
+    """Text and, where there is one, time of every document: the event of the same number."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
     times = table(spark, sf, "events").select(
         F.col("event_id").alias("chunk_id"), F.col("ts").alias("updated_at"), "event_type"
     )
-    return docs.join(times, "chunk_id")
+    return docs.join(times, "chunk_id", "left")
+
+
+def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The query vector of every question: the stored vector of the same number."""
+    known = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return questions(spark, sf).join(known, "query_id")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,8 +114,8 @@ def hits_sql(k: int) -> str:
 
 PAYLOAD = """payload as (
   select d.doc_id chunk_id, d.text, d.lang, d.source, e.ts updated_at, e.event_type
-  from documents d join events e on e.event_id = d.doc_id)"""
-CONFIDENCE = "case when age <= 4 then 1.0 else greatest(exp(-0.15 * (age - 4)), 0.1) end"
+  from documents d left join events e on e.event_id = d.doc_id)"""
+CONFIDENCE = "case when age <= 4 then 1.0 when age is not null then greatest(exp(-0.15 * (age - 4)), 0.1) end"
 
 
 def age_sql(ts: str, as_of: str = AS_OF) -> str:
@@ -126,13 +132,17 @@ def share_sql(asked: str, text: str) -> str:
 
 
 CANDIDATES = (
-    hits_sql(30)
-    + ", "
-    + PAYLOAD
-    + f""", cand0 as (
-  select h.query_id, h.chunk_id, h.score, p.text, b.text query, p.updated_at,
-    {share_sql('b.text', 'p.text')} pair, {age_sql('p.updated_at')} age
-  from hits h join payload p using (chunk_id) join benchmark b on b.item_id = h.query_id),
+    PAYLOAD
+    + f""", asked as (
+  select b.item_id query_id, b.text query, e.embedding::double[] v from benchmark b join embeddings e on e.vec_id = b.item_id),
+pairs as (
+  select a.query_id, a.query, e.vec_id chunk_id, round(list_cosine_similarity(e.embedding::double[], a.v), 9) score
+  from asked a, embeddings e),
+hits as (select * from pairs qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 30),
+cand0 as (
+  select h.query_id, h.chunk_id, h.score, p.text, h.query, p.updated_at,
+    {share_sql('h.query', 'p.text')} pair, {age_sql('p.updated_at')} age
+  from hits h left join payload p using (chunk_id)),
 cand as (
   select *, exp(pair - max(pair) over (partition by query_id)) / sum(exp(pair - mx)) over (partition by query_id) rerank_score,
     {CONFIDENCE} decay_score
@@ -141,10 +151,10 @@ cand as (
 
 
 def candidates(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
-    """Hits of every centroid with text, time and a question."""
+    """Hits of every question, with text and time where they have any."""
     from tidemark.operators.knn import attach_payload, nearest, query_vectors
 
-    asked = query_vectors(centroids(spark, sf))
+    asked = query_vectors(question_vectors(spark, sf))
     found = nearest(vectors(spark, sf), asked, k).drop("rank")
     rows = attach_payload(found, payload(spark, sf), max_hits=asked.max_hits(k))
     return rows.join(questions(spark, sf), "query_id")

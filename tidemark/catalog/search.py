@@ -79,13 +79,13 @@ def _mmr() -> str:
 def diversified(spark: Spark, sf: str) -> Rows:
     asked = knn.query_vectors(centroids(spark, sf))
     found = knn.nearest(vectors(spark, sf), asked, 20)
-    rows = knn.attach_payload(found, vectors(spark, sf), max_hits=asked.max_hits(20))
+    rows = knn.attach_payload(found, vectors(spark, sf), how="inner", max_hits=asked.max_hits(20))
     return knn.diversified(rows, 3).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id")
 
 
 @query(
     "j10_late_payload",
-    f"with {hits_sql(10)}, {PAYLOAD} select query_id, chunk_id, lang, md5(text) digest from hits join payload using (chunk_id)",
+    f"with {hits_sql(10)}, {PAYLOAD} select query_id, chunk_id, lang, md5(text) digest from hits left join payload using (chunk_id)",
 )
 def late_payload(spark: Spark, sf: str) -> Rows:
     asked = knn.query_vectors(centroids(spark, sf))
@@ -220,7 +220,8 @@ def min_max(spark: Spark, sf: str) -> Rows:
 
 @query(
     "a6_score_variance",
-    f"""with {CANDIDATES} select query_id, chunk_id, round((select var_pop(x) from unnest([score, rerank_score, decay_score]) t(x)), 6) variance from cand""",
+    f"""with {CANDIDATES} select query_id, chunk_id, round(case when score + rerank_score + decay_score is not null
+      then (select var_pop(x) from unnest([score, rerank_score, decay_score]) t(x)) end, 6) variance from cand""",
 )
 def score_variance(spark: Spark, sf: str) -> Rows:
     spread = variance(F.col("score"), F.col("rerank_score"), F.col("decay_score"))

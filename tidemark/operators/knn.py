@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.text import let
 from tidemark.functions.vectors import cosine
+from tidemark.session import materialize
 
 MAX_QUERY_VECTORS = 4096  # query vectors shipped to every task; 4096 x 384 doubles are 12 MB
 ROWS_PER_CELL = 200_000  # chunk rows one cell of the two-sided plan holds
@@ -196,14 +197,19 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 
 def attach_payload(
-    hits: DataFrame, table: DataFrame, id_col: str = "chunk_id", how: str = "inner", max_hits: int | None = None
+    hits: DataFrame, table: DataFrame, id_col: str = "chunk_id", how: str = "left", max_hits: int | None = None
 ) -> DataFrame:
-    """Join hits to their rows, so that the top-k carries ids only.
+    """Join hits to their rows, so that the top-k carries ids only. A hit without a row stays, with nulls.
 
-    ``max_hits`` is a proven bound on the hit rows; within ``BROADCAST_HITS`` they travel to the table, not it to them.
+    ``max_hits`` is a proven bound on the hit rows; within ``BROADCAST_HITS`` they travel to the table, not it to them. As
+    an outer join cannot broadcast the side that it keeps whole, the hits are then stored and the wanted rows picked first.
     """
-    small = max_hits is not None and max_hits <= BROADCAST_HITS and how == "inner"
-    return (F.broadcast(hits) if small else hits).join(table, id_col, how)
+    if max_hits is None or max_hits > BROADCAST_HITS:
+        return hits.join(table, id_col, how)
+    if how == "inner":
+        return F.broadcast(hits).join(table, id_col, how)
+    hits = materialize(hits)
+    return hits.join(table.join(F.broadcast(hits.select(id_col).distinct()), id_col, "left_semi"), id_col, how)
 
 
 def union_hits(hits: DataFrame, keys: Sequence[str] = ("query_id", "chunk_id"), strict: bool = False) -> DataFrame:

@@ -56,7 +56,8 @@ def search(
     hits = union_hits(nearest(collection, vectors, fetch), strict=strict_union)
     if floor is not None:
         hits = hits.where(F.col("score") >= floor)
-    candidates = attach_payload(hits, collection.drop("embedding"), max_hits=vectors.max_hits(fetch))
+    # every hit is a row of the collection, so an inner join keeps them all
+    candidates = attach_payload(hits, collection.drop("embedding"), how="inner", max_hits=vectors.max_hits(fetch))
     asked = candidates.join(queries.select("query_id", "query"), "query_id")
     return rank_articles(asked, limit, scoring_method, scorer, use_time_decay, as_of, fusion=fusion)
 
