@@ -256,7 +256,7 @@ _COLUMNS = ("pair_id", "type", "old_content", "new_content", "confidence")
 
 
 def _of(spark: Spark, sf: str, kind: str) -> Rows:
-    return _detected(spark, sf).where(F.col("type") == kind).select(*_COLUMNS)
+    return conflicts.detect_conflicts(order_pairs(spark, sf), detectors=[kind]).select(*_COLUMNS)
 
 
 @query(
@@ -291,8 +291,8 @@ _TURNS = f"{TURN_PAIRS}, {detected_sql('tp')}"
 
 @query("j6_entity_changes", f"with {_TURNS} select pair_id, old_content, new_content from found where type = 'entity'")
 def entity_changes(spark: Spark, sf: str) -> Rows:
-    rows = conflicts.detect_conflicts(turn_pairs(spark, sf))
-    return rows.where("type = 'entity'").select("pair_id", "old_content", "new_content")
+    rows = conflicts.detect_conflicts(turn_pairs(spark, sf), detectors=["entity"])
+    return rows.select("pair_id", "old_content", "new_content")
 
 
 @query("u2_entity_sets", f"select conv_id, turn, len({entities_sql('text')})::bigint entities, array_to_string(list_sort(list_distinct({names_sql('text')})), '|') names from conversations")
@@ -345,7 +345,7 @@ def denials(spark: Spark, sf: str) -> Rows:
     from orders where o_orderpriority = '1-URGENT'""",
 )
 def factual(spark: Spark, sf: str) -> Rows:
-    rows = conflicts.detect_conflicts(denials(spark, sf)).where("type = 'factual'")
+    rows = conflicts.detect_conflicts(denials(spark, sf), detectors=["factual"])
     return rows.select("pair_id", "type", r6("confidence").alias("confidence"), "new_content", F.array_join("entities_involved", "|").alias("entities"))
 
 

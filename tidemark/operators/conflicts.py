@@ -6,7 +6,7 @@ exchange: the old side is exploded, then the new entries that clash with it. Man
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +75,7 @@ def negation_rule(old: Column, new: Column) -> Column:
     return F.when(one_sided & (overlap >= 0.5), overlap)
 
 
-def _entries(text: Column) -> Column:
+def _entries(text: Column, detectors: Sequence[str]) -> Column:
     """What one text offers to the detectors: (detector, label, text, number)."""
 
     def entry(detector: str, label: Column, value: Column) -> Column:
@@ -90,14 +90,17 @@ def _entries(text: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("text")))
 
     def offered(p: Column) -> Column:
-        entities = F.concat(tag(p["names"], "NAME"), tag(p["dates"], "DATE"), tag(p["numbers"], "CARDINAL"))
-        return F.concat(
-            F.transform(p["numbers"], lambda n: entry("numerical", F.lit("CARDINAL"), n)),
-            F.transform(p["dates"], lambda d: entry("temporal", F.lit("DATE"), d)),
-            F.transform(
-                F.array_sort(F.array_distinct(entities)), lambda e: entry("entity", e["label"], e["text"])
-            ),
-        )
+        parts = []
+        if "numerical" in detectors:
+            parts.append(F.transform(p["numbers"], lambda n: entry("numerical", F.lit("CARDINAL"), n)))
+        if "temporal" in detectors:
+            parts.append(F.transform(p["dates"], lambda d: entry("temporal", F.lit("DATE"), d)))
+        if "entity" in detectors:
+            entities = F.concat(tag(p["names"], "NAME"), tag(p["dates"], "DATE"), tag(p["numbers"], "CARDINAL"))
+            found = F.array_sort(F.array_distinct(entities))
+            parts.append(F.transform(found, lambda e: entry("entity", e["label"], e["text"])))
+        none = F.filter(F.array(entry("factual", F.lit(""), F.lit(""))), lambda x: F.lit(False))
+        return F.concat(none, *parts)
 
     return _parts(text, offered)
 
@@ -108,20 +111,27 @@ def detect_conflicts(
     old: str = "old_content",
     new: str = "new_content",
     contradiction: Callable[[Column, Column], Column] = negation_rule,
+    detectors: Sequence[str] = tuple(DETECTORS),
 ) -> DataFrame:
-    """Every conflict of every pair: ``seq`` orders them (factual, numerical, temporal, entity), then by entry."""
+    """Every conflict of every pair: ``seq`` orders them (factual, numerical, temporal, entity), then by entry.
+
+    Only the named ``detectors`` run.
+    """
+    if unknown := set(detectors) - set(DETECTORS):
+        raise ValueError(f"unknown detectors: {sorted(unknown)}")
     factual = F.struct(
         F.lit(DETECTORS["factual"]).alias("detector"),
         F.lit("").alias("label"),
         F.col("_old").alias("text"),
         F.lit(None).cast("double").alias("number"),
     )
+    score = contradiction(F.col(old), F.col(new)) if "factual" in detectors else F.lit(None).cast("double")
     prepared = pairs.select(
-        pair_id, F.col(old).alias("_old"), F.col(new).alias("_new"), contradiction(F.col(old), F.col(new)).alias("_score")
-    ).withColumn("_theirs", _entries(F.col("_new")))
+        pair_id, F.col(old).alias("_old"), F.col(new).alias("_new"), score.alias("_score")
+    ).withColumn("_theirs", _entries(F.col("_new"), detectors))
     mine = F.concat(
         F.when(F.col("_score").isNotNull(), F.array(factual)).otherwise(F.filter(F.array(factual), lambda x: F.lit(False))),
-        _entries(F.col("_old")),
+        _entries(F.col("_old"), detectors),
     )
     exploded = prepared.select("*", F.posexplode(mine).alias("_i", "_e"))
 

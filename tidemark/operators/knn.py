@@ -20,6 +20,7 @@ from tidemark.session import materialize
 
 MAX_QUERY_VECTORS = 4096  # query vectors shipped to every task; 4096 x 384 doubles are 12 MB
 ROWS_PER_CELL = 200_000  # chunk rows one cell of the two-sided plan holds
+TASKS_PER_MERGE = 256  # scoring tasks whose hits are merged before the last step
 BROADCAST_HITS = 200_000  # hit rows (ids and scores) that may be broadcast
 SCORES_AT_ONCE = 2_000_000  # scores a task holds while it works through a batch, 16 MB
 SCORE_DIGITS = 9  # equal vectors tie whichever batch they were scored in
@@ -117,7 +118,10 @@ def nearest(
         hits = _against_matrix(pool, asked.rows, keys, k, out)
     else:
         hits = _two_sided(pool, asked.frame, keys, k, out, MAX_QUERY_VECTORS)
-    return top_k(hits, keys, [F.col("score").desc(), F.col(id_col)], k)
+    best = [F.col("score").desc(), F.col(id_col)]
+    merged = hits.withColumn("_part", F.floor(F.spark_partition_id() / F.lit(TASKS_PER_MERGE)))
+    merged = top_k(merged, [*keys, "_part"], best, k).drop("_part", "rank")  # no task takes the hits of all others
+    return top_k(merged, keys, best, k)
 
 
 def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, out: T.StructType) -> DataFrame:

@@ -2,8 +2,8 @@
 
 ``Window.partitionBy(key)`` puts a whole key in one task, and a key may hold a third of the table. The functions here
 number the rows of a total order instead: one range-partitioned sort (equal slices whatever the keys are), stored once,
-plus one small row per slice. Running values work inside ``(slice, key)`` cells and are joined to what earlier slices
-carry over; neighbours are found by equality on the position.
+plus one small row per slice. One exchange then brings every slice together; windows work inside it, and the row per slice
+tells what lies beyond its edges: the neighbour, or what earlier slices carry over. Several such windows share the exchange.
 """
 
 from __future__ import annotations
@@ -36,46 +36,55 @@ def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos
     )
 
 
+def _key(keys: Sequence[str]) -> Column:
+    return F.struct(F.lit(0).alias("_"), *keys)
+
+
 def with_neighbour(
     positioned: DataFrame, keys: Sequence[str], columns: dict[str, str], step: int = 1, pos: str = "pos"
 ) -> DataFrame:
-    """Lead (``step=1``) or lag (``step=-1``) of ``columns`` (new name -> source) inside ``keys``."""
-    other = positioned.select(
-        (F.col(pos) - F.lit(step)).alias(pos),
-        *[F.col(k).alias(f"_n_{k}") for k in keys],
-        *[F.col(src).alias(f"_v_{new}") for new, src in columns.items()],
-    )
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
-    joined = positioned.join(other, pos, "left")
-    return joined.withColumns({new: F.when(same, F.col(f"_v_{new}")) for new in columns}).drop(
-        *[f"_n_{k}" for k in keys], *[f"_v_{new}" for new in columns]
+    """Lead (``step=1``) or lag (``step=-1``) of ``columns`` (new name -> source) inside ``keys``, which lead the order."""
+    if step not in (1, -1):
+        raise ValueError("a neighbour is one step away")
+    shifted, end = (F.lead, F.min_by) if step == 1 else (F.lag, F.max_by)
+    row = F.struct(_key(keys).alias("key"), *[F.col(src).alias(new) for new, src in columns.items()])
+    edges = (  # what lies just beyond each slice
+        positioned.groupBy(SLICE)
+        .agg(end(row, F.col(pos)).alias("_edge"))
+        .select(SLICE, shifted("_edge").over(Window.orderBy(SLICE)).alias("_edge"))
     )
+    inside = Window.partitionBy(SLICE).orderBy(pos)
+    joined = positioned.repartition(SLICE).withColumn("_near", shifted(row).over(inside)).join(edges, SLICE, "left")
+    near = joined.withColumn("_near", F.coalesce("_near", "_edge"))
+    same = F.col("_near.key").eqNullSafe(_key(keys))
+    return near.withColumns({new: F.when(same, F.col("_near")[new]) for new in columns}).drop("_near", "_edge")
 
 
 def with_running(
     positioned: DataFrame, keys: Sequence[str], value: Column, name: str, how: str = "sum", pos: str = "pos"
 ) -> DataFrame:
-    """Running ``sum`` or ``max`` of ``value`` per key, up to and including the row itself."""
-    fold = {"sum": F.sum, "max": F.max}[how]
-    combine = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + b, "max": F.greatest}[how]
-    cell = [SLICE, *keys]
-    inside = Window.partitionBy(*cell).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    valued = positioned.withColumn("_value", value)
-    carry = (  # a key has at most one row per slice here
-        valued.groupBy(*cell).agg(fold("_value").alias("_cell")).select(*cell, fold("_cell").over(before).alias("_carry"))
-    )
-    renamed = carry.select(*[F.col(c).alias(f"_c_{c}") for c in cell], "_carry")
-    match = F.lit(True)
-    for c in cell:
-        match = match & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    """Running ``sum``, ``max`` or ``last`` (that is not null) of ``value`` per key, up to and including the row itself.
+
+    ``keys`` lead the order, so only the last key of a slice goes on in the next one.
+    """
+    fold = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    combine = {
+        "sum": lambda carry, here: F.coalesce(carry + here, carry, here),
+        "max": F.greatest,
+        "last": lambda carry, here: F.coalesce(here, carry),
+    }[how]
+    inside = Window.partitionBy(SLICE, *keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    valued = positioned.repartition(SLICE).withColumn("_value", value).withColumn("_so_far", fold("_value").over(inside))
+    tails = valued.groupBy(SLICE).agg(F.max_by(F.struct(_key(keys).alias("key"), "_so_far"), F.col(pos)).alias("_tail"))
+    along = Window.partitionBy("_tail.key").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carries = tails.select(
+        SLICE, F.struct(F.col("_tail.key").alias("key"), fold("_tail._so_far").over(along).alias("value")).alias("_sum")
+    ).select(SLICE, F.lag("_sum").over(Window.orderBy(SLICE)).alias("_carry"))
+    carry = F.when(F.col("_carry.key").eqNullSafe(_key(keys)), F.col("_carry.value"))
     return (
-        valued.withColumn("_so_far", fold("_value").over(inside))
-        .join(renamed, match, "left")
-        .withColumn(name, combine(F.col("_carry"), F.col("_so_far")))
-        .drop("_value", "_so_far", "_carry", *[f"_c_{c}" for c in cell])
+        valued.join(carries, SLICE, "left")
+        .withColumn(name, combine(carry, F.col("_so_far")))
+        .drop("_value", "_so_far", "_carry")
     )
 
 

@@ -82,8 +82,8 @@ def as_of_join(
 ) -> DataFrame:
     """For every probe the version of its document valid at its time, nulls when there is none.
 
-    Both sides are sorted together once; a running maximum of version positions tells each probe which version precedes
-    it, and that one is fetched by position. No probe is ever paired with versions it does not need.
+    Both sides are sorted together once; the last version before a probe is the running last value of its document. No
+    probe is ever paired with versions, and probes without one meet nowhere.
     """
     marks = versions.select(
         F.col(doc_id),
@@ -102,10 +102,9 @@ def as_of_join(
         allowMissingColumns=True,
     )
     placed = with_position(marks, [doc_id, "_at", "_kind", "_tie"])
-    seen = with_running(placed, [doc_id], F.when(F.col("_kind") == 0, F.col("pos")), "_from", "max")
-    found = placed.where("_kind = 0").select(F.col("pos").alias("_from"), *[F.col(f"_o_{c}").alias(c) for c in columns])
-    asked = seen.where("_kind = 1").select(probe_id, doc_id, F.col("_at").alias(probe_ts), "_from")
-    return asked.join(found, "_from", "left").drop("_from")
+    version_row = F.when(F.col("_kind") == 0, F.struct(*[F.col(f"_o_{c}").alias(c) for c in columns]))
+    seen = with_running(placed, [doc_id], version_row, "_valid", "last")
+    return seen.where("_kind = 1").select(probe_id, doc_id, F.col("_at").alias(probe_ts), *[F.col("_valid")[c].alias(c) for c in columns])
 
 
 def search_at(
