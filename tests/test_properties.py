@@ -128,7 +128,6 @@ def test_neighbours_equal_brute_force(spark, sf):
 def test_many_query_vectors_meet_the_chunks_block_by_block(spark, sf, monkeypatch):
     small = knn.nearest(vectors(spark, sf), centroids(spark, sf), 5)
     expected = sorted(map(tuple, small.collect()))
-    monkeypatch.setattr(knn, "MAX_QUERY_VECTORS", 3)
     monkeypatch.setattr(knn, "ROWS_PER_CELL", 120)
     asked = knn.query_vectors(centroids(spark, sf), at_most=3)
     assert asked.rows is None and asked.max_hits(5) is None
@@ -186,6 +185,30 @@ def test_search_plan(spark, sf):
     assert "WindowGroupLimit" in plan and first_scan
 
 
+def test_running_last_skips_nulls_and_crosses_slices(spark, many_slices):
+    rows, df = skewed(spark)
+    placed = with_position(df, ["key", "ts", "id"])
+    out = with_running(placed, ["key"], F.when(F.col("id") % 7 == 0, F.col("id")), "marked", "last")
+    got = {r["id"]: r["marked"] for r in out.select("id", "marked").collect()}
+    seen = {}
+    for key, _, i in sorted(rows):
+        if i % 7 == 0:
+            seen[key] = i
+        assert got[i] == seen.get(key)
+
+
+def test_detectors_are_chosen(spark):
+    from tidemark.operators.conflicts import detect_conflicts
+
+    pairs = spark.createDataFrame([(1, "Ann paid 10 on Monday", "Bob paid 20 on Friday")], "pair_id int, old_content string, new_content string")
+    whole = detect_conflicts(pairs).select("type", "old_content", "new_content").collect()
+    for kind in ("numerical", "temporal", "entity"):
+        alone = detect_conflicts(pairs, detectors=[kind]).select("type", "old_content", "new_content").collect()
+        assert alone and sorted(alone) == sorted(r for r in whole if r["type"] == kind)
+    with pytest.raises(ValueError):
+        detect_conflicts(pairs, detectors=["tone"])
+
+
 def test_candidates_are_bounded(spark, sf):
     counts = candidates(spark, sf).groupBy("query_id").count().collect()
     assert all(r["count"] <= 30 for r in counts)

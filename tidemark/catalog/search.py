@@ -29,6 +29,21 @@ def all_pairs_top(spark: Spark, sf: str) -> Rows:
     return found.select("query_id", "chunk_id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    "j3_every_vector_asks",
+    """select query_id, chunk_id, round(score, 6) score, rank from (
+      select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from (
+        select q.vec_id query_id, e.vec_id chunk_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) score
+        from embeddings q, embeddings e))
+    where rank <= 3""",
+)
+def every_vector_asks(spark: Spark, sf: str) -> Rows:
+    """More query vectors than a task takes at once: blocks of queries meet cells of chunks."""
+    asked = knn.query_vectors(vectors(spark, sf).withColumnRenamed("chunk_id", "query_id"), at_most=128)
+    found = knn.nearest(vectors(spark, sf), asked, 3)
+    return found.select("query_id", "chunk_id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     "t1_over_fetch",
     f"with {hits_sql(30)} select query_id, count(*) n, round(min(score), 6) worst, sum(chunk_id)::bigint ids from hits group by 1",

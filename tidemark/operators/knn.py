@@ -64,11 +64,12 @@ def _make_scorer(k: int):
 
 @dataclass(frozen=True)
 class QueryVectors:
-    """Query vectors with, when they fit a task, their rows at hand."""
+    """Query vectors with, when they fit a task, their rows at hand; else they are met ``block`` at a time."""
 
     frame: DataFrame
     keys: tuple[str, ...]
     rows: pa.Table | None
+    block: int
 
     def max_hits(self, k: int) -> int | None:
         """Proven bound on the hits of a top-k, None when the query table is large."""
@@ -86,7 +87,7 @@ def query_vectors(
         *keys, F.col(vector_col).cast("array<double>").alias("_qvec")
     )
     head = asked.limit(at_most + 1).toArrow()
-    return QueryVectors(asked, tuple(keys), head if head.num_rows <= at_most else None)
+    return QueryVectors(asked, tuple(keys), head if head.num_rows <= at_most else None, at_most)
 
 
 def nearest(
@@ -117,7 +118,7 @@ def nearest(
     if asked.rows is not None:
         hits = _against_matrix(pool, asked.rows, keys, k, out)
     else:
-        hits = _two_sided(pool, asked.frame, keys, k, out, MAX_QUERY_VECTORS)
+        hits = _two_sided(pool, asked.frame, keys, k, out, asked.block)
     best = [F.col("score").desc(), F.col(id_col)]
     merged = hits.withColumn("_part", F.floor(F.spark_partition_id() / F.lit(TASKS_PER_MERGE)))
     merged = top_k(merged, [*keys, "_part"], best, k).drop("_part", "rank")  # no task takes the hits of all others

@@ -74,15 +74,20 @@ def with_running(
         "last": lambda carry, here: F.coalesce(here, carry),
     }[how]
     inside = Window.partitionBy(SLICE, *keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    valued = positioned.repartition(SLICE).withColumn("_value", value).withColumn("_so_far", fold("_value").over(inside))
-    tails = valued.groupBy(SLICE).agg(F.max_by(F.struct(_key(keys).alias("key"), "_so_far"), F.col(pos)).alias("_tail"))
-    along = Window.partitionBy("_tail.key").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carries = tails.select(
-        SLICE, F.struct(F.col("_tail.key").alias("key"), fold("_tail._so_far").over(along).alias("value")).alias("_sum")
-    ).select(SLICE, F.lag("_sum").over(Window.orderBy(SLICE)).alias("_carry"))
-    carry = F.when(F.col("_carry.key").eqNullSafe(_key(keys)), F.col("_carry.value"))
+    ends = positioned.groupBy(SLICE).agg(F.max_by(_key(keys), F.col(pos)).alias("_end"))  # one key per slice
+    last = positioned.withColumn("_value", value).join(F.broadcast(ends), SLICE).where(F.col("_end").eqNullSafe(_key(keys)))
+    whole = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(pos))) if how == "last" else fold("_value")
+    tails = last.groupBy(SLICE).agg(F.any_value("_end").alias("_end"), whole.alias("_tail"))
+    along = Window.partitionBy("_end").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carries = tails.select(SLICE, F.struct("_end", fold("_tail").over(along).alias("value")).alias("_sum")).select(
+        SLICE, F.lag("_sum").over(Window.orderBy(SLICE)).alias("_carry")
+    )
+    carry = F.when(F.col("_carry._end").eqNullSafe(_key(keys)), F.col("_carry.value"))
     return (
-        valued.join(carries, SLICE, "left")
+        positioned.repartition(SLICE)
+        .withColumn("_value", value)
+        .withColumn("_so_far", fold("_value").over(inside))
+        .join(carries, SLICE, "left")
         .withColumn(name, combine(carry, F.col("_so_far")))
         .drop("_value", "_so_far", "_carry")
     )

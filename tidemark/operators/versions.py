@@ -40,9 +40,9 @@ def split_unknown(updates: DataFrame, known: DataFrame, doc_id: str = "doc_id")
 def history(versions: DataFrame, doc_id: str = "doc_id", ts: str = "ts", version: str = "version_id") -> DataFrame:
     """Validity of every version: ``version_no``, ``valid_from``, ``valid_to`` (null while current), ``is_active``."""
     placed = with_position(versions, [doc_id, ts, version])
-    numbered = with_row_number(placed, [doc_id], "version_no")
+    followed = with_neighbour(placed, [doc_id], {"valid_to": ts})
     return (
-        with_neighbour(numbered, [doc_id], {"valid_to": ts})
+        with_row_number(followed, [doc_id], "version_no")
         .withColumn("valid_from", F.col(ts))
         .withColumn("is_active", F.col("valid_to").isNull())
         .drop("pos", "_slice")

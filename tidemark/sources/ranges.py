@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import page_of, with_neighbour, with_position, with_running
+from tidemark.session import materialize
 
 PAGE_SIZE = 20
 FIRST_POLL_ITEMS = 150
@@ -95,7 +96,7 @@ def batch_numbers(
     pause = (_micros(F.col(ts)) - _micros(F.col("_before"))) / F.lit(1e6)
     opens = F.col("_before").isNull() | (pause > F.lit(max_gap_seconds))
     # position of the row that opened the run this row belongs to
-    runs = with_running(placed, [key], F.when(opens, F.col("pos")), "_opened", "max")
+    runs = materialize(with_running(placed, [key], F.when(opens, F.col("pos")), "_opened", "max"))
     opens_batch = F.pmod(F.col("pos") - F.col("_opened"), F.lit(max_items)) == 0
     numbered = with_running(runs, [key], opens_batch.cast("bigint"), "batch_no", "sum")
     return numbered.withColumn("batch_no", F.col("batch_no") - 1).drop("_before", "_opened", "_slice", "pos")
