@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents in sequences of a fixed number of tokens."""
-    return packing.pack(docs, public_tokenizers.path(BPE_JSON), PACK_END, SEQUENCE)
+    return packing.pack(docs, public_tokenizers.path(BPE_JSON), PACK_END, SEQUENCE, encode_special_tokens=False)
 
 
 STAGES = [

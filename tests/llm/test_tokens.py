@@ -184,3 +184,35 @@ def test_bpe_query(spark, sf, documents, reference):
         ids = reference.encode_ordinary(r.text or "")
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(raw(ids)).hexdigest() and got[r.doc_id].n_tokens == len(ids)
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+# --- added tokens, as the unmodified library matches them --------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def unmodified():
+    t = Tokenizer.from_file(JSON)
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_units_equal_the_unmodified_library(unmodified):
+    units = LibraryUnits(JSON, encode_special_tokens=False)
+    assert units.ids("a <|endoftext|> b") == raw([64, 220, 50256, 275])
+    for text in [*odd_texts(), "<|endoftext|>", "<|endoftext|><|endoftext|> \n<|endoftext", "x<|endoftext|>'s"]:
+        assert units.ids(text) == raw(unmodified(text)), text
+
+
+def test_queries_match_added_tokens(spark, unmodified):
+    import corpus_pipeline
+
+    sf = scratch(spark, "added")
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 3000), (3, "plain words"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    for pieces in (QUERIES["op1_packing"](spark, sf), corpus_pipeline.pack_documents(spark, docs, sf)):
+        check_packing(pieces.collect(), docs.collect(), unmodified, 2048, 1)
+    start = 0
+    for r in sorted(QUERIES["op6_bit_planes"](spark, sf).collect()):
+        ids = unmodified(rows[r.doc_id - 1][1]) + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(raw(ids)))
+        start += len(ids)

@@ -158,18 +158,20 @@ def write_ids(
     mode: str = "bit",
     id_col: str = "doc_id",
     text_col: str = "text",
+    encode_special_tokens: bool = True,
 ) -> DataFrame:
     """Write ids of all texts, each closed by ``end_id``, in ascending order of id; returns one row per file.
 
     A null text counts as empty and leaves its end id. Null ids come first; rows with one id are ordered by text. An empty
     table writes no file. The texts are range-partitioned by id once; a task holds one file of bounded size at a time.
+    Added tokens of the vocabulary are matched in the texts if ``encode_special_tokens`` is false.
     """
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        task, units = TaskContext.get().partitionId(), library_units(tokenizer)
+        task, units = TaskContext.get().partitionId(), library_units(tokenizer, encode_special_tokens)
         number, out = 0, PlaneFile(mode)
 
         def close() -> dict:

@@ -109,11 +109,13 @@ def pack(
     tasks_per_merge: int = 16,
     id_col: str = "doc_id",
     text_col: str = "text",
+    encode_special_tokens: bool = True,
 ) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most ``size`` tokens.
 
     A null text counts as empty; an empty text is its end token alone. Rows that repeat are packed as often as they
-    occur; a null id is carried. An empty table gives no rows. Columns other than the two named are ignored.
+    occur; a null id is carried. An empty table gives no rows. Columns other than the two named are ignored. Added tokens of
+    the vocabulary are matched in the texts if ``encode_special_tokens`` is false, and ordinary text otherwise.
     One scan encodes and packs; only the pieces (no ids) are stored, and only windows that a task left open are shuffled,
     ``open_windows * tasks_per_merge`` of them to a group at most.
     """
@@ -123,7 +125,7 @@ def pack(
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        units, windows = library_units(tokenizer), Windows(size, open_windows, task << TASK_BITS)
+        units, windows = library_units(tokenizer, encode_special_tokens), Windows(size, open_windows, task << TASK_BITS)
         for ids, texts in slices(batches):
             for doc_id, text in zip(ids, texts, strict=True):
                 place_document(windows, doc_id, units.ids(text or "") + end, least)

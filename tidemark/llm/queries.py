@@ -38,7 +38,8 @@ def query(name: str):
 
 @query("op1_packing")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(BPE_JSON), PACK_END, SEQUENCE)
+    docs = table(spark, sf, "documents")
+    return packing.pack(docs, public_tokenizers.path(BPE_JSON), PACK_END, SEQUENCE, encode_special_tokens=False)
 
 
 @query("op2_near_duplicates")
@@ -70,7 +71,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_bit_planes")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "planes")
-    bitplane.write_ids(table(spark, sf, "documents"), path, public_tokenizers.path(BPE_JSON), FILE_END)
+    docs = table(spark, sf, "documents")
+    bitplane.write_ids(docs, path, public_tokenizers.path(BPE_JSON), FILE_END, encode_special_tokens=False)
     return bitplane.read_ids(spark, path)
 
 

@@ -36,12 +36,14 @@ def byte_characters() -> dict[int, str]:
 
 
 class LibraryUnits(Units):
-    """Ids by a byte-level vocabulary of the tokenizers library; special tokens in a text are ordinary text.
+    """Ids by a byte-level vocabulary of the tokenizers library.
 
-    The library's model encodes each match of the splitting pattern once.
+    The library's model encodes each match of the splitting pattern once. With ``encode_special_tokens`` (the library's
+    name for it) added tokens in a text are ordinary text; without it, as the library does by default, they are cut out
+    of the whole text first and what lies between is encoded.
     """
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, encode_special_tokens: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         import regex
         from tokenizers import Tokenizer
@@ -52,6 +54,23 @@ class LibraryUnits(Units):
             raise ValueError("units are independent for byte-level vocabularies without a normalizer only")
         self._split, self._model, self._words = regex.compile(pattern).findall, whole.model, {}
         self._characters = byte_characters()
+        self._added, self._added_ids = None, {}
+        added = whole.get_added_tokens_decoder()
+        if added and not encode_special_tokens:
+            if any(t.lstrip or t.rstrip or t.single_word or t.normalized or not t.special for t in added.values()):
+                raise ValueError("added tokens are matched as plain special strings only")
+            self._added_ids = {t.content: struct.pack("<I", i) for i, t in added.items()}
+            longest_first = sorted(self._added_ids, key=len, reverse=True)
+            self._added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split
+
+    def ids(self, text: str) -> bytes:
+        if self._added is None:
+            return super().ids(text)
+        parts = self._added(text)  # texts and added tokens by turns
+        found = [super().ids(parts[0])]
+        for token, rest in zip(parts[1::2], parts[2::2], strict=True):
+            found += self._added_ids[token], super().ids(rest)
+        return b"".join(found)
 
     def __missing__(self, unit: str) -> bytes:
         value = self[unit] = b"".join(self._words.get(w) or self._word(w) for w in self._split(unit))
@@ -65,5 +84,6 @@ class LibraryUnits(Units):
         return value
 
 
-def library_units(path: str) -> LibraryUnits:
-    return worker_cache(f"units:{path}", lambda: LibraryUnits(path))
+def library_units(path: str, encode_special_tokens: bool = True) -> LibraryUnits:
+    name = f"units:{path}:{encode_special_tokens}"
+    return worker_cache(name, lambda: LibraryUnits(path, encode_special_tokens=encode_special_tokens))
