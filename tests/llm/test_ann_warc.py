@@ -147,3 +147,15 @@ def test_warc_query(spark, sf):
     for r in rows:
         if r.warc_type == "conversion":
             assert r.block == warc.html_to_text(source[r.page_id].html) and r.target_uri == source[r.page_id].url
+
+
+def test_head_and_custom_elements():
+    text = warc.html_to_text
+    assert text("<html><head><title>t</title><body><p>whole text here</body></html>") == "whole text here"
+    assert text("<head><meta charset=utf-8><title>t</title><p>first<p>second") == "first\nsecond"
+    assert text("<title>t</title>words") == "words" and text("<html><head>\n<body>words") == "words"
+    assert text("<head-line>real words</head-line> and rest") == "real words and rest"
+    assert text("<template-x>a</template-x> <style-x>b</style-x> <p-x>c</p-x> d") == "a b c d"
+    assert text("<head><script>var s='</head>'; code()</script><title>t</title></head><body>words") == "words"
+    assert text("<script>a</script-x>b</script >words") == "words" and text("<style/>p{}</style\n>words") == "words"
+    assert warc.TITLE.search("<title-bar>no</title-bar><title lang=en>yes</title >")[1] == "yes"

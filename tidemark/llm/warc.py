@@ -35,13 +35,15 @@ FILE_BYTES = 1 << 24
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tidemark:warc")
 
 # Fixed values of HTML: elements whose content is no text, and elements that start a new line.
-SILENT = "script|style|template|noscript|head"
+SILENT = "script|style|template|noscript|title"  # a head has no other text, and its end tag may be left out
 BREAKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+NAMED_SO = r"(?=[\s/>])"  # ends the name of an element; a custom element's goes on with a hyphen
 MARKUP = re.compile(  # begins with one plain character, which lets the search skip text quickly
-    rf"<(?:!--.*?(?:-->|\Z)|({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|(/?(?:{BREAKS})\b[^>]*>)|[/!?a-zA-Z][^>]*(?:>|\Z))", re.S | re.I
+    rf"<(?:!--.*?(?:-->|\Z)|({SILENT}){NAMED_SO}[^>]*>.*?(?:</\1{NAMED_SO}[^>]*>|\Z)|(/?(?:{BREAKS}){NAMED_SO}[^>]*>)|[/!?a-zA-Z][^>]*(?:>|\Z))",
+    re.S | re.I,
 )
 BROKEN = re.compile(r"\r[^\n]*\n")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
+TITLE = re.compile(rf"<title{NAMED_SO}[^>]*>(.*?)(?:</title{NAMED_SO}[^>]*>|\Z)", re.S | re.I)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 TEXTS = ("text/html", "application/xhtml+xml", "text/plain")
 
