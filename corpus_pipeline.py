@@ -12,9 +12,9 @@ from tidemark.llm.queries import BPE_JSON, PACK_END, SEQUENCE
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5. It learns from the labels outside the held-out fold. Null and empty
-    texts score as texts without words; repeated rows share their fate."""
+    texts score as texts without words; repeated rows share their fate. With too few labels to tell texts apart all stay."""
     weights = toxicity.fit_labels(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", toxicity.score(weights, "text")).filter("_score < 0.5").select(docs.columns)
+    return docs.withColumn("_score", toxicity.score(weights, "text", unknown=0.0)).filter("_score < 0.5").select(docs.columns)
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -364,3 +364,36 @@ def test_pipeline_stages_on_edge_cases(spark, edge, empty, sf):
     for docs in (edge, empty):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, sf).collect()
+
+
+# --- toxicity with few or no usable labels ----------------------------------------------------------------------------
+
+
+def test_labels_of_other_documents_do_not_starve_the_fit(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "if(id % 2 = 0, 'vile awful words', 'kind calm lines') AS text")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 = 0 AS int) AS toxic")
+    alone = toxicity.fit_labels(docs, labels.filter("doc_id < 400"), fit_rows=100)
+    among = toxicity.fit_labels(docs, labels, fit_rows=100)
+    assert among.tells() and among.at.tolist() == alone.at.tolist() and among.value.tolist() == alone.value.tolist()
+    scores = docs.select("doc_id", toxicity.score(among, "text").alias("s")).collect()
+    assert all((r.s >= 0.5) == (r.doc_id % 2 == 0) for r in scores)
+
+
+def test_pipeline_keeps_all_documents_without_a_toxic_label(spark, edge, no_labels, tmp_path):
+    import corpus_pipeline
+
+    docs = edge.filter("doc_id is not null")
+    marks = {
+        "none": no_labels,
+        "others": spark.createDataFrame([(i, 1, i % 2) for i in range(1000, 1100)], no_labels.schema),
+        "clean": spark.createDataFrame([(i, 1, 0) for i in range(10)], no_labels.schema),
+    }
+    for name, labels in marks.items():
+        sf = f"{tmp_path}/{name}"
+        labels.write.parquet(f"{sf}/labels.parquet")
+        docs.write.parquet(f"{sf}/documents.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == docs.count(), name
+        assert {r.predicted for r in QUERIES["op9_toxicity"](spark, sf).collect()} == {0}, name
+    many = spark.range(600).selectExpr("id AS doc_id", "'calm words ' || id % 7 AS text")
+    weights = toxicity.fit_labels(many, many.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    assert many.filter(toxicity.score(weights, "text", unknown=0.0) >= 0.5).count() == 0

@@ -98,7 +98,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     weights = toxicity.fit_labels(docs, table(spark, sf, "labels"))
-    found = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity.score(weights, "text").alias("score"))
+    found = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity.score(weights, "text", unknown=0.0).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

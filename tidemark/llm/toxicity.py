@@ -84,6 +84,10 @@ class Weights:
     def __init__(self, at: np.ndarray, value: np.ndarray, bits: int):
         self.at, self.value, self.bits = at, value, bits
 
+    def tells(self) -> bool:
+        """Whether any feature has a weight; the bias alone gives all texts one score."""
+        return bool((self.at != 0).any())
+
     def dense(self) -> np.ndarray:
         out = np.zeros(1 << self.bits, np.float32)
         out[self.at] = self.value
@@ -108,7 +112,7 @@ def fit(
     order, ``epochs`` times, in one task. Features of fewer than ``least`` rows are left out. Label 1 weighs ``positive``
     times as much as label 0. A first training without every fifth row finds the cut of the best F1 on these; it is taken
     off the bias of the second, over all rows, so that 0.5 is that cut. Without a usable row all weights are zero and
-    every score is 0.5.
+    every score is 0.5; with rows but no label 1 the bias keeps every score below 0.5.
     """
     usable = rows.filter("label in (0, 1)").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"))
     order = F.xxhash64(F.lit("toxicity"), "id")
@@ -137,6 +141,8 @@ def fit(
         cut = best_cut(np.array([w[a].sum() for a, _ in seen[::5]]), np.array([y for _, y in seen[::5]]))
         w = trained(seen)
         w[0] -= cut
+        if seen and not any(y for _, y in seen):
+            w[0] = min(w[0], -1.0)  # no other weight is above 0
         at = np.flatnonzero(w)
         yield {"at": at, "value": w[at]}
 
@@ -145,8 +151,11 @@ def fit(
     return Weights(found["at"].to_numpy(np.int64), found["value"].to_numpy(np.float64), bits)
 
 
-def score(weights: Weights, text: Column | str) -> Column:
-    """Probability of label 1 for a whole text; a null text scores as an empty one."""
+def score(weights: Weights, text: Column | str, unknown: float | None = None) -> Column:
+    """Probability of label 1 for a whole text; a null text scores as an empty one. Where the labels were too few to give
+    any feature a weight, every text scores ``unknown``, if that is given."""
+    if unknown is not None and not weights.tells():
+        return F.lit(float(unknown))
     from pyspark.sql import SparkSession
 
     held = SparkSession.active().sparkContext.broadcast(weights)
@@ -173,10 +182,12 @@ def _dense(held, _kept: dict = {}) -> np.ndarray:  # noqa: B006
 
 def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> Weights:
     """Weights from the ``toxic`` labels of documents outside the held-out fold; a document with several labels counts
-    as toxic if one of them says so."""
+    as toxic if one of them says so. Labels of other documents do not count towards ``fit_rows``."""
     marks = labels.filter(f"{id_col} is not null").groupBy(id_col).agg(F.max("toxic").alias("label"))
     marks = marks.filter(~held_out(id_col)).withColumnRenamed(id_col, "id")
     order = F.xxhash64(F.lit("toxicity"), "id")
-    marks = marks.filter("label in (0, 1)").orderBy(order, "id").limit(4 * options.get("fit_rows", FIT_ROWS))
+    here = docs.select(F.col(id_col).alias("id")).distinct()
+    marks = marks.filter("label in (0, 1)").join(here, "id", "left_semi")
+    marks = marks.orderBy(order, "id").limit(options.get("fit_rows", FIT_ROWS))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id")
     return fit(rows, **options)
