@@ -9,11 +9,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bitplane, bpe, langid, minhash, packing, quality, sharding, toxicity, warc
+from tidemark.llm import (
+    ann,
+    bitplane,
+    bpe,
+    langid,
+    minhash,
+    packing,
+    quality,
+    quality_net,
+    resampling,
+    sharding,
+    toxicity,
+    warc,
+    whitening,
+)
 from tidemark.llm.common import held_out, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}  # none of the ten can be written in SQL; tests/llm holds them against plain versions
+ORACLE: dict[str, str] = {}  # none of them can be written in SQL; tests/llm holds them against plain versions
 
 BPE_JSON = "byte_bpe_50k.json"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -108,3 +122,22 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return ann.search(index, index.rows.filter("vec_id % 100 = 0"), 10)
+
+
+@query("op11_quality_classifier")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality_net.fit(docs, table(spark, sf, "labels"))
+    found = docs.select("doc_id", held_out("doc_id").alias("held_out"), quality_net.score(model, "text").alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op12_importance_resampling")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
