@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import AS_OF, articles, at, candidates, centroids, collection, scored_candidates, vectors
 from tidemark.operators import ingest, knn, threads, versions
-from tidemark.operators.ordered import with_neighbour, with_position, with_row_number, with_running
+from tidemark.operators.ordered import dealt, with_neighbour, with_position, with_row_number, with_running
 from tidemark.session import shared_dir
 from tidemark.sources import ranges, sinks
 
@@ -87,6 +87,28 @@ def test_ordered_windows_on_a_hot_key(spark, many_slices):
     assert sorted(r["pos"] for r in out.collect()) == list(range(len(rows)))
 
 
+def test_every_slice_has_a_task_of_its_own(spark, many_slices):
+    _, df = skewed(spark)
+    placed = with_position(df, ["key", "ts", "id"])
+    slices = placed.select("_slice").distinct().count()
+    tasks = [[r["_slice"] for r in part] for part in dealt(placed).select("_slice").rdd.glom().collect()]
+    assert len(tasks) == slices > 4 and all(len(set(part)) == 1 for part in tasks)
+    out = with_running(with_neighbour(placed, ["key"], {"after": "id"}), ["key"], F.col("id"), "biggest", "max")
+    main = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert out.schema["_slice"].metadata == {"slices": slices, "dealt": True} and "SortMergeJoin" not in plan_of(out)
+    assert out.rdd.getNumPartitions() == slices and "Join" not in main
+    assert with_position(df.limit(0), ["key", "ts", "id"]).transform(dealt).count() == 0
+
+
+def test_exploded_conflicts_hold_no_texts(spark):
+    from tidemark.operators.conflicts import detect_conflicts
+
+    pairs = spark.createDataFrame([(1, "Ann paid 10", "Bob paid 20")], "pair_id int, old_content string, new_content string")
+    plan = detect_conflicts(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.rindex("Generate")]  # the first explode stands last
+    assert plan.count("Generate") == 2 and "old_content#" not in above.replace("AS old_content#", "") and "_new#" not in above
+
+
 def test_as_of_join_on_a_hot_key(spark, many_slices):
     rng = random.Random(3)
     stored = [("hot" if rng.random() < 0.5 else f"d{rng.randrange(20)}", rng.randrange(10_000), f"v{i}") for i in range(2000)]

@@ -1,7 +1,9 @@
 """Conflicts between an old and a new text, and their resolution.
 
 A pair of texts is one row, and everything the detectors compare comes from that row, so detection needs no join and no
-exchange: the old side is exploded, then the new entries that clash with it. Many-row pairs therefore stay streamed.
+exchange. The entries of the old side are exploded, each meets the new side's entries of its own kind, and those that
+clash are exploded in turn. Both texts stay behind: exploded rows hold entries, and the two texts only where the conflict is
+between the texts themselves.
 """
 
 from __future__ import annotations
@@ -75,36 +77,65 @@ def negation_rule(old: Column, new: Column) -> Column:
     return F.when(one_sided & (overlap >= 0.5), overlap)
 
 
-def _entries(text: Column, detectors: Sequence[str]) -> Column:
-    """What one text offers to the detectors: (detector, label, text, number)."""
+def _distinct(texts: Column) -> Column:
+    return F.array_sort(F.array_distinct(texts))
 
-    def entry(detector: str, label: Column, value: Column) -> Column:
-        return F.struct(
-            F.lit(DETECTORS[detector]).alias("detector"),
-            label.alias("label"),
-            value.alias("text"),
-            value.try_cast("double").alias("number"),
-        )
 
-    def tag(values: Column, label: str) -> Column:
-        return F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("text")))
+def _mine(text: Column, factual: Column, detectors: Sequence[str]) -> Column:
+    """What the old text offers to the detectors, in their order. ``factual``: the entry for a clash of the whole texts."""
+
+    def entries(texts: Column, detector: str, label: str) -> Column:
+        return F.transform(texts, lambda t: _entry(detector, label, t))
 
     def offered(p: Column) -> Column:
-        parts = []
+        parts = [F.filter(F.array(factual), lambda e: e["other"].isNotNull())]
         if "numerical" in detectors:
-            parts.append(F.transform(p["numbers"], lambda n: entry("numerical", F.lit("CARDINAL"), n)))
+            parts.append(entries(p["numbers"], "numerical", "CARDINAL"))
         if "temporal" in detectors:
-            parts.append(F.transform(p["dates"], lambda d: entry("temporal", F.lit("DATE"), d)))
-        if "entity" in detectors:
-            entities = F.concat(tag(p["names"], "NAME"), tag(p["dates"], "DATE"), tag(p["numbers"], "CARDINAL"))
-            found = F.array_sort(F.array_distinct(entities))
-            parts.append(F.transform(found, lambda e: entry("entity", e["label"], e["text"])))
-        none = F.filter(F.array(entry("factual", F.lit(""), F.lit(""))), lambda x: F.lit(False))
-        return F.concat(none, *parts)
+            parts.append(entries(p["dates"], "temporal", "DATE"))
+        if "entity" in detectors:  # labels in alphabetical order
+            parts += [entries(_distinct(p[c]), "entity", n) for c, n in (("numbers", "CARDINAL"), ("dates", "DATE"), ("names", "NAME"))]
+        return F.concat(*parts)
 
     return _parts(text, offered)
 
 
+def _entry(detector: str, label: str, text: Column, other: Column | None = None, entities: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(DETECTORS[detector]).alias("detector"),
+        F.lit(label).alias("label"),
+        text.alias("text"),
+        (F.lit(None).cast("string") if other is None else other).alias("other"),
+        (F.lit(None).cast("array<string>") if entities is None else entities).alias("entities"),
+    )
+
+
+def _theirs(text: Column) -> Column:
+    """What the new text holds against them: numbers and dates as they stand, and each label's entities once."""
+    return _parts(text, lambda p: F.struct(
+        F.transform(p["numbers"], lambda n: F.struct(n.alias("text"), n.try_cast("double").alias("number"))).alias("numbers"),
+        p["dates"].alias("dates"),
+        F.create_map(
+            F.lit("CARDINAL"), _distinct(p["numbers"]), F.lit("DATE"), _distinct(p["dates"]), F.lit("NAME"), _distinct(p["names"])
+        ).alias("entities"),
+    ))
+
+
+def _opposing(e: Column, theirs: Column) -> Column:
+    """Texts of the new side that clash with an entry."""
+    number = e["text"].try_cast("double")
+
+    def far(n: Column) -> Column:
+        return F.coalesce(relative_difference(number, n["number"]) > NUMERIC_THRESHOLD, F.lit(False))
+
+    return (
+        F.when(e["detector"] == DETECTORS["factual"], F.array(e["other"]))
+        .when(e["detector"] == DETECTORS["numerical"], F.filter(theirs["numbers"], far)["text"])
+        .when(e["detector"] == DETECTORS["temporal"], F.array_remove(theirs["dates"], e["text"]))
+        .otherwise(F.array_remove(theirs["entities"][e["label"]], e["text"]))
+    )
+
+
 def detect_conflicts(
     pairs: DataFrame,
     pair_id: str = "pair_id",
@@ -119,41 +150,17 @@ def detect_conflicts(
     """
     if unknown := set(detectors) - set(DETECTORS):
         raise ValueError(f"unknown detectors: {sorted(unknown)}")
-    factual = F.struct(
-        F.lit(DETECTORS["factual"]).alias("detector"),
-        F.lit("").alias("label"),
-        F.col("_old").alias("text"),
-        F.lit(None).cast("double").alias("number"),
-    )
     score = contradiction(F.col(old), F.col(new)) if "factual" in detectors else F.lit(None).cast("double")
-    prepared = pairs.select(
-        pair_id, F.col(old).alias("_old"), F.col(new).alias("_new"), score.alias("_score")
-    ).withColumn("_theirs", _entries(F.col("_new"), detectors))
-    mine = F.concat(
-        F.when(F.col("_score").isNotNull(), F.array(factual)).otherwise(F.filter(F.array(factual), lambda x: F.lit(False))),
-        _entries(F.col("_old"), detectors),
-    )
-    exploded = prepared.select("*", F.posexplode(mine).alias("_i", "_e"))
-
-    def clashes(n: Column) -> Column:
-        e = F.col("_e")
-        differs = F.when(
-            e["detector"] == DETECTORS["numerical"],
-            F.coalesce(relative_difference(e["number"], n["number"]) > NUMERIC_THRESHOLD, F.lit(False)),
-        ).otherwise(e["text"] != n["text"])
-        return (n["detector"] == e["detector"]) & (n["label"] == e["label"]) & differs
-
-    opposing = F.when(F.col("_e.detector") == 0, F.array(F.col("_new"))).otherwise(
-        F.transform(F.filter("_theirs", clashes), lambda n: n["text"])
-    )
-    flat = exploded.select(pair_id, "_old", "_new", "_score", "_i", "_e", F.posexplode(opposing).alias("_j", "_other"))
+    scored = pairs.select(pair_id, F.col(old).alias("_old"), F.col(new).alias("_new"), score.alias("_score"))
+    when = lambda value: F.when(F.col("_score").isNotNull(), value)
+    factual = _entry("factual", "", F.col("_old"), when(F.col("_new")), when(extract_entities(F.concat_ws(" ", "_old", "_new"))))
+    entries = scored.select(pair_id, "_score", _mine(F.col("_old"), factual, detectors).alias("_mine"), _theirs(F.col("_new")).alias("_theirs"))
+    exploded = entries.select(pair_id, "_score", "_theirs", F.posexplode("_mine").alias("_i", "_e"))
+    flat = exploded.select(pair_id, "_score", "_i", "_e", F.posexplode(_opposing(F.col("_e"), F.col("_theirs"))).alias("_j", "_other"))
     kind = F.element_at(F.array(*[F.lit(d) for d in DETECTORS]), F.col("_e.detector") + 1)
     confidence = F.col("_score")
     for name, value in CONFIDENCE.items():
         confidence = F.when(F.col("_e.detector") == DETECTORS[name], F.lit(value)).otherwise(confidence)
-    involved = F.when(
-        F.col("_e.detector") == 0, extract_entities(F.concat_ws(" ", "_old", "_new"))
-    ).otherwise(F.array("_e.text", "_other"))
     return flat.select(
         pair_id,
         F.struct(F.col("_e.detector").alias("detector"), F.col("_i").alias("old_no"), F.col("_j").alias("new_no")).alias("seq"),
@@ -161,7 +168,7 @@ def detect_conflicts(
         F.col("_e.text").alias("old_content"),
         F.col("_other").alias("new_content"),
         confidence.alias("confidence"),
-        involved.alias("entities_involved"),
+        F.coalesce(F.col("_e.entities"), F.array("_e.text", "_other")).alias("entities_involved"),
         F.lit("newest_wins").alias("resolution_strategy"),
     )
 

@@ -2,13 +2,15 @@
 
 ``Window.partitionBy(key)`` puts a whole key in one task, and a key may hold a third of the table. The functions here
 number the rows of a total order instead: one range-partitioned sort (equal slices whatever the keys are), stored once,
-plus one small row per slice. One exchange then brings every slice together; windows work inside it, and the row per slice
-tells what lies beyond its edges: the neighbour, or what earlier slices carry over. Several such windows share the exchange.
+plus one small row per slice. One exchange then sends every slice to a task of its own, by its number and not by a hash of
+it; windows work inside the slice, and the row per slice tells what lies beyond its edges: the neighbour, or what earlier
+slices carry over. Several such windows share the exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,23 +19,33 @@ from tidemark.session import materialize
 
 SLICE = "_slice"
 _LOW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits, the partition above
+_COUNT, _DEALT = "slices", "dealt"  # metadata of the slice column: how many there are, whether each has its task
+
+
+def _slice(**notes) -> Column:
+    return F.col(SLICE).alias(SLICE, metadata=notes)
 
 
 def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos") -> DataFrame:
     """Add the dense 0-based position in ``order``, which must be total (end it with a unique column)."""
     stored = materialize(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
-    sliced = stored.withColumn(SLICE, F.shiftright("_mid", _LOW_BITS)).withColumn(
-        "_offset", F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
-    )
-    earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (  # one row per sort partition, so this window and the broadcast are as small as the partition count
-        sliced.groupBy(SLICE)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    )
-    return sliced.join(F.broadcast(starts), SLICE).withColumn(name, F.col("_start") + F.col("_offset")).drop(
-        "_mid", "_offset", "_start"
-    )
+    sliced = stored.withColumn(SLICE, F.shiftright("_mid", _LOW_BITS).cast("int"))
+    sizes = sorted(tuple(r) for r in sliced.groupBy(SLICE).count().collect())  # one row per sort partition
+    starts = accumulate((n for _, n in sizes), initial=0)
+    first = df.sparkSession.createDataFrame([(s, at) for (s, _), at in zip(sizes, starts)], f"{SLICE} int, _start long")
+    offset = F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
+    placed = sliced.join(F.broadcast(first), SLICE).withColumn(name, F.col("_start") + offset).drop("_mid", "_start")
+    return placed.withColumn(SLICE, _slice(**{_COUNT: sizes[-1][0] + 1 if sizes else 1}))
+
+
+def dealt(positioned: DataFrame) -> DataFrame:
+    """Every slice in a task of its own; rows that are dealt already stay where they are."""
+    notes = positioned.schema[SLICE].metadata
+    if notes.get(_DEALT):
+        return positioned
+    count = notes.get(_COUNT)
+    out = positioned.repartitionById(count, SLICE) if count else positioned.repartition(SLICE)
+    return out.withColumn(SLICE, _slice(**notes, **{_DEALT: True}))
 
 
 def _key(keys: Sequence[str]) -> Column:
@@ -54,7 +66,7 @@ def with_neighbour(
         .select(SLICE, shifted("_edge").over(Window.orderBy(SLICE)).alias("_edge"))
     )
     inside = Window.partitionBy(SLICE).orderBy(pos)
-    joined = positioned.repartition(SLICE).withColumn("_near", shifted(row).over(inside)).join(edges, SLICE, "left")
+    joined = dealt(positioned).withColumn("_near", shifted(row).over(inside)).join(F.broadcast(edges), SLICE, "left")
     near = joined.withColumn("_near", F.coalesce("_near", "_edge"))
     same = F.col("_near.key").eqNullSafe(_key(keys))
     return near.withColumns({new: F.when(same, F.col("_near")[new]) for new in columns}).drop("_near", "_edge")
@@ -84,10 +96,10 @@ def with_running(
     )
     carry = F.when(F.col("_carry._end").eqNullSafe(_key(keys)), F.col("_carry.value"))
     return (
-        positioned.repartition(SLICE)
+        dealt(positioned)
         .withColumn("_value", value)
         .withColumn("_so_far", fold("_value").over(inside))
-        .join(carries, SLICE, "left")
+        .join(F.broadcast(carries), SLICE, "left")
         .withColumn(name, combine(carry, F.col("_so_far")))
         .drop("_value", "_so_far", "_carry")
     )
