@@ -297,11 +297,39 @@ def test_a_new_stream_keeps_a_compacted_collection(spark, tmp_path):
     sinks.upsert(spark.range(20).select(F.col("id").alias("chunk_id"), F.lit(0).alias("v")), first, 0, ["v"])
     sinks.compact(spark, first, folded)
     for _ in range(2):
-        sinks.upsert(spark.createDataFrame([(3, 1), (3, 2), (99, 1)], "chunk_id long, v int"), folded, 0, ["v"])
+        sinks.upsert(spark.createDataFrame([(3, 1), (3, 2), (99, 1)], "chunk_id long, v int"), folded, 0, ["v"], writer="second")
     rows = {r["chunk_id"]: r["v"] for r in sinks.read_collection(spark, folded).collect()}
     assert len(rows) == 21 and rows[3] == 2 and rows[99] == 1 and rows[4] == 0
 
 
+def test_writers_share_a_collection(spark, tmp_path):
+    path, folded = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "chunk_id long, v int")
+    read = lambda p: {r["chunk_id"]: r["v"] for r in sinks.read_collection(spark, p).collect()}
+    first, other, late = rows(*[(i, 0) for i in range(20)], (None, 0)), rows((3, 1), (30, 1)), rows((3, 2), (None, 2))
+    sinks.upsert(first, path, 0, ["v"], writer="one")
+    sinks.upsert(other, path, 0, ["v"], writer="two")
+    assert len(read(path)) == 22 and read(path)[3] == 1
+    sinks.upsert(first, path, 0, ["v"], writer="one")  # comes again: it keeps its place before the other
+    assert read(path)[3] == 1 and sinks.commits(spark, path).places == {("one", 0): 1, ("two", 0): 2}
+    sinks.upsert(late, path, 1, ["v"], writer="one")
+    want = read(path)
+    assert want[3] == 2 and want[None] == 2 and want[30] == 1
+    sinks.compact(spark, path, folded)
+    for _ in range(2):
+        sinks.upsert(other, folded, 0, ["v"], writer="two")  # folded already
+    assert read(folded) == want and sinks.commits(spark, folded).folded == {"one": 1, "two": 0}
+    sinks.upsert(rows((3, 9)), folded, 1, ["v"], writer="two")
+    assert read(folded) == want | {3: 9}
+    sinks.compact(spark, folded, str(tmp_path / "c"))
+    assert read(str(tmp_path / "c")) == want | {3: 9} and sinks.commits(spark, str(tmp_path / "c")).folded == {"one": 1, "two": 1}
+    rows((7, 7)).write.parquet(f"{folded}/part=w.three.0")  # a batch that was cut off before its commit
+    assert read(folded) == want | {3: 9}
+    for name in ("", "_x", "a.b", "a/b"):
+        with pytest.raises(ValueError):
+            sinks.upsert(late, path, 1, ["v"], writer=name)
+
+
 def test_interval_edges_agree_with_the_split(spark):
     bounds = values(spark, [("2024-01-01 00:00:00", "2024-01-01 00:00:01.000001")], "start string, end string")
     bounds = bounds.select(*[F.col(c).cast("timestamp").alias(c) for c in ("start", "end")])

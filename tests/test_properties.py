@@ -150,7 +150,6 @@ def test_neighbours_equal_brute_force(spark, sf):
 def test_many_query_vectors_meet_the_chunks_block_by_block(spark, sf, monkeypatch):
     small = knn.nearest(vectors(spark, sf), centroids(spark, sf), 5)
     expected = sorted(map(tuple, small.collect()))
-    monkeypatch.setattr(knn, "ROWS_PER_CELL", 120)
     asked = knn.query_vectors(centroids(spark, sf), at_most=3)
     assert asked.rows is None and asked.max_hits(5) is None
     assert sorted(map(tuple, knn.nearest(vectors(spark, sf), asked, 5).collect())) == expected
@@ -254,3 +253,77 @@ def test_hits_without_a_row_stay(spark):
         got = knn.attach_payload(hits, rows, max_hits=bound).select("query_id", "chunk_id", "text").collect()
         assert len(got) == 4 and {tuple(r) for r in got} == want
     assert knn.attach_payload(hits, rows, how="inner", max_hits=4).count() == 2
+
+
+def test_pruned_search_is_exact_and_skips_groups(spark):
+    """Vectors in clumps: the answer is that of plain search, and most (query, group) cells are never scored."""
+    from tidemark.operators import clusters
+
+    draw = np.random.default_rng(3)
+    middles = draw.standard_normal((30, 16))
+    rows = [(i, (middles[i % 30] + 0.05 * draw.standard_normal(16)).tolist()) for i in range(3000)]
+    rows += [(5000, None), (5001, [0.0] * 16), (5002, [1.0, 2.0]), (5003, rows[7][1]), (5004, rows[7][1])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(5)
+    asked = [(q, (middles[q % 30] + 0.05 * draw.standard_normal(16)).tolist()) for q in range(40)] + [(99, rows[7][1])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    index = clusters.build(chunks, groups=64)
+    want = sorted(map(tuple, knn.nearest(chunks, queries, 10).collect()))
+    assert sorted(map(tuple, clusters.nearest(index, queries, 10).collect())) == want
+    blocks = knn.query_vectors(queries, at_most=8)
+    assert blocks.rows is None and sorted(map(tuple, clusters.nearest(index, blocks, 10).collect())) == want
+    assert sorted(map(tuple, knn.nearest(chunks, blocks, 10).collect())) == want
+    matrix = clusters.unit(np.array([v for _, v in asked]))
+    apart = clusters.angles(matrix, index.centres)
+    edge = np.array([min(r[2] for r in want if r[0] == q) for q, _ in asked])
+    read = clusters.home_groups(apart, index.size, 10) | clusters.reachable(apart, index.radius, index.size, edge)
+    assert read.sum() < 0.25 * read[:, index.size > 0].size
+    assert clusters.nearest(index, queries.limit(0), 10).count() == 0
+    assert clusters.build(chunks.where("chunk_id = 5000")) is None and clusters.nearest(None, queries, 3).count() == 0
+    assert len(clusters.nearest(index, queries, 4000).where("query_id = 0").collect()) == 3002
+
+
+def test_diversified_against_plain_rounds(spark):
+    draw = np.random.default_rng(6)
+    rows = [(q, i, float(np.round(draw.random(), 3)), draw.standard_normal(8).tolist()) for q in range(5) for i in range(25)]
+    frame = spark.createDataFrame(rows, "query_id long, chunk_id long, score double, embedding array<double>")
+    got = {}
+    for r in knn.diversified(frame, 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    for q in range(5):
+        rest, taken = {r[1]: r for r in rows if r[0] == q}, []
+        for _ in range(6):
+            best = min(rest.values(), key=lambda r: (-round(0.5 * r[2] - 0.5 * max([cos(t[3], r[3]) for t in taken], default=0.0), 9), r[1]))
+            taken.append(rest.pop(best[1]))
+        assert got[q] == [t[1] for t in taken]
+
+
+def test_first_rows_of_a_stream(spark, tmp_path):
+    """The first row per key, whatever later batches bring; the state is Spark's, and a batch reads no earlier output."""
+    from tidemark.streaming import jobs
+
+    batches = [[(1, 5, "a"), (1, 3, "b"), (None, 9, "c")], [(1, 1, "d"), (2, 8, "e"), (2, 7, "f")], [(None, 1, "g"), (2, 1, "h"), (3, 0, None)]]
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "k long, at long, v string")
+        frame.coalesce(1).write.mode("append").parquet(landing)
+        stream = jobs.first_rows(jobs.read_landing(spark, landing, frame.schema, max_files=1), ["k"], ["at"])
+        jobs.drain_updates(stream, lambda batch, i: jobs.put_batch(batch, out, i), str(tmp_path / "progress"))
+    got = {r["k"]: (r["at"], r["v"]) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (3, "b"), None: (9, "c"), 2: (7, "f"), 3: (0, None)} and spark.read.parquet(out).count() == 4
+
+
+def test_totals_are_folded(spark, tmp_path, monkeypatch):
+    from tidemark.streaming import jobs
+
+    monkeypatch.setattr(jobs, "FOLD", 4)
+    path, want = str(tmp_path / "totals"), {}
+    for n in range(11):
+        rows = spark.createDataFrame([(None, 1), (n % 3, n)], "k long, n long")
+        for _ in range(2):  # a replay changes nothing
+            before = jobs.totals_before(spark, path, n, rows.schema)
+            got = {r["k"]: r["n"] for r in before.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+            assert got == want and len({f.split("/totals/")[1].rsplit("/", 1)[0] for f in before.inputFiles()}) <= 4
+            jobs.put_totals(rows, path, n, "k")
+        for k, v in ((None, 1), (n % 3, n)):
+            want[k] = want.get(k, 0) + v

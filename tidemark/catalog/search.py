@@ -12,7 +12,7 @@ from tidemark.catalog.base import (
 from tidemark.catalog.texts import chunks_sql, clean_sql, counts_sql, buckets_sql
 from tidemark.functions.freshness import Freshness, age_hours, boost, freshness_columns
 from tidemark.functions.fusion import Fusion, variance
-from tidemark.operators import knn, ranking, reports
+from tidemark.operators import clusters, knn, ranking, reports
 from tidemark.operators.ordered import with_position
 from tidemark.plans.search import search, search_by_filters
 
@@ -33,17 +33,28 @@ def all_pairs_top(spark: Spark, sf: str) -> Rows:
     "j3_every_vector_asks",
     """select query_id, chunk_id, round(score, 6) score, rank from (
       select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from (
-        select q.vec_id query_id, e.vec_id chunk_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) score
-        from embeddings q, embeddings e))
+        select q.query_id, e.vec_id chunk_id, round(list_cosine_similarity(e.embedding::double[], q.v), 9) score
+        from (select vec_id * 10 + s query_id, list_transform(embedding::double[], lambda x: x + s / 100.0::double) v
+          from embeddings, range(10) r(s)) q, embeddings e))
     where rank <= 3""",
 )
 def every_vector_asks(spark: Spark, sf: str) -> Rows:
-    """More query vectors than a task takes at once: blocks of queries meet cells of chunks."""
-    asked = knn.query_vectors(vectors(spark, sf).withColumnRenamed("chunk_id", "query_id"), at_most=128)
+    """Every vector and nine shifted forms of it ask: more query vectors than a task takes at once."""
+    shifted = vectors(spark, sf).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    moved = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.col("s") / F.lit(100.0))
+    asked = shifted.select((F.col("chunk_id") * 10 + F.col("s")).alias("query_id"), moved.alias("embedding"))
     found = knn.nearest(vectors(spark, sf), asked, 3)
     return found.select("query_id", "chunk_id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("j3_pruned_search", f"with {hits_sql(30)} select query_id, chunk_id, round(score, 6) score, rank from hits")
+def pruned_search(spark: Spark, sf: str) -> Rows:
+    """The same answer from groups of near vectors, of which those that are out of every query's reach are not read."""
+    index = clusters.build(vectors(spark, sf), groups=32)
+    found = clusters.nearest(index, centroids(spark, sf), 30)
+    return found.select("query_id", "chunk_id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     "t1_over_fetch",
     f"with {hits_sql(30)} select query_id, count(*) n, round(min(score), 6) worst, sum(chunk_id)::bigint ids from hits group by 1",

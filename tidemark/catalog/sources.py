@@ -13,6 +13,7 @@ from tidemark.functions.vectors import has_dimension
 from tidemark.operators import feeds, ingest
 from tidemark.operators.ordered import with_position, with_row_number
 from tidemark.operators.threads import branch
+from tidemark.session import materialize
 from tidemark.sources import news, ranges, sinks
 
 Spark, Rows = SparkSession, DataFrame
@@ -265,7 +266,33 @@ def compacted_then_streamed(spark: Spark, sf: str) -> Rows:
     sinks.upsert(rows.withColumn("pass", F.lit("before")), path, 0, order=["doc_id"])
     sinks.compact(spark, path, target)
     for _ in range(2):
-        sinks.upsert(rows.where("lang = 'en'").withColumn("pass", F.lit("stream")), target, 0, order=["doc_id"])
+        sinks.upsert(rows.where("lang = 'en'").withColumn("pass", F.lit("stream")), target, 0, order=["doc_id"], writer="stream")
+    return sinks.read_collection(spark, target).select("chunk_id", "doc_id", "pass", "lang", "source")
+
+
+@query(
+    "k1_two_writers",
+    """select md5(text) chunk_id, max_by(doc_id, (pass, doc_id)) doc_id, ['old', 'english', 'long', 'new'][max(pass)] pass,
+      max_by(lang, (pass, doc_id)) lang, max_by(source, (pass, doc_id)) source
+    from (select *, unnest([1, case when lang = 'en' then 2 end, case when n_chars > 2000 then 3 end, case when source = 'src1' then 4 end]) pass
+      from documents)
+    where pass is not null group by 1""",
+)
+def two_writers(spark: Spark, sf: str) -> Rows:
+    """Two streams, each from batch 0 on, share a collection. It is compacted in between, and every batch comes again."""
+    path, target = scratch(spark, "collection"), scratch(spark, "compacted")
+    rows = table(spark, sf, "documents").select(F.md5("text").alias("chunk_id"), "doc_id", "lang", "source", "n_chars")
+
+    def put(writer: str, batch: int, name: str, where: str, folder: str) -> None:
+        sinks.upsert(rows.where(where).withColumn("pass", F.lit(name)), folder, batch, order=["doc_id"], writer=writer)
+
+    early = [("one", 0, "old", "true"), ("two", 0, "english", "lang = 'en'")]
+    late = [("one", 1, "long", "n_chars > 2000"), ("two", 1, "new", "source = 'src1'")]
+    for batch in [*early, *early]:
+        put(*batch, path)
+    sinks.compact(spark, path, target)
+    for batch in [*early, *late, *late, *early]:  # what compaction has folded changes nothing any more
+        put(*batch, target)
     return sinks.read_collection(spark, target).select("chunk_id", "doc_id", "pass", "lang", "source")
 
 
@@ -298,10 +325,17 @@ def keyed_json(spark: Spark, sf: str) -> Rows:
     return back.select("key", parsed.alias("v")).select("key", "v.event_id", "v.user_id")
 
 
-@query("k5_tap", "select event_type, count(*) n from events group by event_type")
+@query(
+    "k5_tap",
+    """select event_type, count(*) n, any_value(total) seen, any_value(largest) largest
+    from events, (select count(*) total, max(event_id) largest from events) group by event_type""",
+)
 def tap(spark: Spark, sf: str) -> Rows:
-    rows, _ = sinks.tap(table(spark, sf, "events"), "events", F.count(F.lit(1)).alias("rows"), F.sum("value").alias("value"))
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """What passed on the way to the stored counts is read from the observation, not counted again."""
+    rows, seen = sinks.tap(table(spark, sf, "events"), "events", F.count(F.lit(1)).alias("rows"), F.max("event_id").alias("largest"))
+    counts = materialize(rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+    told = seen.get
+    return counts.withColumns({"seen": F.lit(told["rows"]).cast("bigint"), "largest": F.lit(told["largest"])})
 
 
 # --- D: dataflow steps ------------------------------------------------------------------------------------------------
@@ -413,7 +447,8 @@ def branches(spark: Spark, sf: str) -> Rows:
 
 @query("d7_redistribute", "select event_id, user_id from events")
 def redistribute(spark: Spark, sf: str) -> Rows:
-    return table(spark, sf, "events").select("event_id", "user_id").repartition(16)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf, "events").select("event_id", "user_id").repartition(tasks)
 
 
 @query(

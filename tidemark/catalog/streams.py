@@ -13,20 +13,28 @@ from tidemark.catalog.history import FILINGS, ENRICHED, filing_feeds, filing_tex
 from tidemark.catalog.sources import POLLS, polls
 from tidemark.catalog.texts import buckets_sql, chunks_sql, clean_sql, counts_sql
 from tidemark.operators import feeds, ingest, ranking
-from tidemark.plans.filings import filings_writer
+from tidemark.plans.filings import drain_filings
 from tidemark.plans.search import process_queries
 from tidemark.sources import news, ranges
 from tidemark.sources.sinks import read_collection, upsert
+from tidemark.session import filesystem
 from tidemark.streaming import jobs
 
 Spark, Rows = SparkSession, DataFrame
 
 
-def landed(spark: Spark, rows: Rows, files: int = 4):
-    """A landing folder with the rows in several files, and a stream that reads it a file at a time."""
+def landing(spark: Spark, rows: Rows, batches: int = 4) -> tuple[str, int]:
+    """A landing folder that every task of the scan writes some files to, and the number of files that makes ``batches``."""
     path = scratch(spark, "landing")
-    rows.repartition(files).write.parquet(path)
-    return jobs.read_landing(spark, path, rows.schema, max_files=1)
+    rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(batches))).write.partitionBy("part").parquet(path)
+    fs, found = filesystem(spark, f"{path}/part=*/*.parquet")
+    return f"{path}/part=*", max(1, -(-len(fs.globStatus(found)) // batches))
+
+
+def landed(spark: Spark, rows: Rows):
+    """A stream that reads the rows in about four micro-batches."""
+    path, files = landing(spark, rows)
+    return jobs.read_landing(spark, path, rows.schema, max_files=files)
 
 
 def drained(spark: Spark, stream: Rows, write=None) -> Rows:
@@ -39,9 +47,8 @@ def drained(spark: Spark, stream: Rows, write=None) -> Rows:
 @query("s8_news_stream", "select event_id, user_id, event_type from events where event_type in ('click', 'view')")
 def news_stream(spark: Spark, sf: str) -> Rows:
     rows = table(spark, sf, "events").withColumn("symbols", F.array("event_type"))
-    path = scratch(spark, "landing")
-    rows.repartition(4).write.parquet(path)
-    stream = news.read_news(spark, "stream", path, symbols=["click", "view"], fmt="parquet", schema=rows.schema, max_files=1)
+    path, files = landing(spark, rows)
+    stream = news.read_news(spark, "stream", path, symbols=["click", "view"], fmt="parquet", schema=rows.schema, max_files=files)
     return drained(spark, stream).select("event_id", "user_id", "event_type")
 
 
@@ -53,14 +60,13 @@ def polled_feeds(spark: Spark, sf: str) -> Rows:
 
 @query("s13_poll_stream", f"with {POLLS} select max_id, unnest(range(low, max_id)) item_id from r where max_id > low")
 def poll_stream(spark: Spark, sf: str) -> Rows:
-    path, state, out = scratch(spark, "landing"), scratch(spark, "state"), scratch(spark, "out")
+    path, state, out, progress = (scratch(spark, name) for name in ("landing", "state", "out", "progress"))
     asked = polls(spark, sf)
     edges = ["2024-01-01", "2024-01-11", "2024-01-21", "2025-01-01"]
     for low, high in zip(edges, edges[1:]):  # polls land in the order of time
         part = asked.where((F.col("poll_ts") >= at(f"{low} 00:00:00")) & (F.col("poll_ts") < at(f"{high} 00:00:00")))
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.read_landing(spark, path, asked.schema, max_files=1)
-    jobs.drain(stream, jobs.poll_range_writer(state, out), scratch(spark, "progress"))
+        part.write.mode("append").parquet(path)
+        jobs.drain(jobs.read_landing(spark, path, asked.schema), jobs.poll_range_writer(state, out), progress)  # goes on
     return ranges.unfold_ranges(spark.read.parquet(out), ["max_id"])
 
 
@@ -75,12 +81,17 @@ def ingest_stream(spark: Spark, sf: str) -> Rows:
     return read_collection(spark, path).select("chunk_id", F.length("text").cast("bigint").alias("size"))
 
 
-@query("m2_seen_set", "select distinct user_id from events")
+@query("m2_seen_set", "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id) = 1")
 def seen_set(spark: Spark, sf: str) -> Rows:
-    seen, out = scratch(spark, "seen"), scratch(spark, "out")
-    stream = landed(spark, table(spark, sf, "events").select("user_id", "event_id"))
-    jobs.drain(stream, jobs.exact_dedupe_writer("user_id", F.col("event_id"), seen, out), scratch(spark, "progress"))
-    return spark.read.parquet(out).select("user_id")
+    """The first event of every user, with what it holds; users of earlier batches are known by Spark's state."""
+    events = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    path, out, progress = scratch(spark, "landing"), scratch(spark, "out"), scratch(spark, "progress")
+    for low, high in ((0, 0.3), (0.3, 0.6), (0.6, 1.1)):  # events land in the order of their numbers, in three deliveries
+        total = events.agg(F.max("event_id")).first()[0] or 0
+        events.where((F.col("event_id") >= low * total) & (F.col("event_id") < high * total)).write.mode("append").parquet(path)
+        fresh = jobs.first_rows(jobs.read_landing(spark, path, events.schema), ["user_id"], ["event_id"])
+        jobs.drain_updates(fresh, lambda batch, n: jobs.put_batch(batch, out, n), progress)
+    return spark.read.parquet(out).select("user_id", "event_id", "event_type")
 
 
 @query("m2_within_watermark", "select distinct user_id, event_type from events")
@@ -105,16 +116,19 @@ def running_count_stream(spark: Spark, sf: str) -> Rows:
 
 @query("m4_replayed_batches", "select md5(text) chunk_id, count(*) copies from documents group by 1")
 def replayed_batches(spark: Spark, sf: str) -> Rows:
+    """Every batch is delivered twice; a copy that was counted twice would show in the sums."""
     path = scratch(spark, "collection")
-    docs = table(spark, sf, "documents").select(F.md5("text").alias("chunk_id"), "doc_id")
-    copies = docs.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("copies"))
+    docs = table(spark, sf, "documents").select(F.md5("text").alias("digest"), "doc_id")
 
     def write(batch: Rows, batch_id: int) -> None:
-        for _ in range(2):  # a batch that is delivered again
-            upsert(batch, path, batch_id, order=["doc_id"])
+        counts = batch.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+        counts = counts.withColumn("chunk_id", F.concat("digest", F.lit(f"-{batch_id}")))
+        for _ in range(2):
+            upsert(counts, path, batch_id, order=["copies"], writer="stream")
 
     jobs.drain(landed(spark, docs), write, scratch(spark, "progress"))
-    return read_collection(spark, path).select("chunk_id").join(copies, "chunk_id")
+    stored = read_collection(spark, path)
+    return stored.groupBy(F.col("digest").alias("chunk_id")).agg(F.sum("copies").alias("copies"))
 
 
 @query("m5_timed_batches", "select event_id, value from events")
@@ -129,9 +143,9 @@ def timed_batches(spark: Spark, sf: str) -> Rows:
 
 @query("g8_filings_stream", f"with {FILINGS}{ENRICHED} select ticker as key, id, form_type from e where ticker is not null")
 def filings_stream(spark: Spark, sf: str) -> Rows:
-    seen, out = scratch(spark, "seen"), scratch(spark, "out")
-    write = filings_writer(tickers(spark, sf), filing_texts(spark, sf), seen, out, order="feed_id")
-    jobs.drain(landed(spark, filing_feeds(spark, sf), 2), write, scratch(spark, "progress"))
+    out = scratch(spark, "out")
+    feed = landed(spark, filing_feeds(spark, sf))
+    drain_filings(feed, tickers(spark, sf), filing_texts(spark, sf), out, scratch(spark, "progress"), order="feed_id")
     back = spark.read.parquet(out)
     parsed = F.from_json("value", "id string, form_type string")
     return back.select("key", parsed.alias("v")).select("key", "v.id", "v.form_type")
@@ -157,11 +171,13 @@ def keyed_state(spark: Spark, sf: str) -> Rows:
     def step(state, frame):
         n, ids = state or (0, 0)
         n, ids = n + len(frame), ids + int(frame["event_id"].sum())
-        return (n, ids), pd.DataFrame({"event_type": [frame["event_type"].iloc[0]], "n": [n], "ids": [ids]})
+        return (n, ids), pd.DataFrame({"event_type": [frame["event_type"].iloc[0]], "salt": [frame["salt"].iloc[0]], "n": [n], "ids": [ids]})
 
-    stream = landed(spark, table(spark, sf, "events").select("event_type", "event_id"))
-    counted = jobs.keyed_state(stream, ["event_type"], step, "event_type string, n bigint, ids bigint", "n bigint, ids bigint")
-    return drained(spark, counted).groupBy("event_type").agg(F.max("n").alias("n"), F.max("ids").alias("ids"))
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(16)).cast("int").alias("salt")  # no task holds all rows of a type
+    stream = landed(spark, table(spark, sf, "events").select("event_type", salt, "event_id"))
+    counted = jobs.keyed_state(stream, ["event_type", "salt"], step, "event_type string, salt int, n bigint, ids bigint", "n bigint, ids bigint")
+    ends = drained(spark, counted).groupBy("event_type", "salt").agg(F.max("n").alias("n"), F.max("ids").alias("ids"))
+    return ends.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
 
 
 def _model():

@@ -6,8 +6,9 @@ keeps only the best ``k`` per query, so what reaches the shuffle is ``k`` rows p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,6 @@ from tidemark.functions.vectors import cosine
 from tidemark.session import materialize
 
 MAX_QUERY_VECTORS = 4096  # query vectors shipped to every task; 4096 x 384 doubles are 12 MB
-ROWS_PER_CELL = 200_000  # chunk rows one cell of the two-sided plan holds
 TASKS_PER_MERGE = 256  # scoring tasks whose hits are merged before the last step
 BROADCAST_HITS = 200_000  # hit rows (ids and scores) that may be broadcast
 SCORES_AT_ONCE = 2_000_000  # scores a task holds while it works through a batch, 16 MB
@@ -64,7 +64,7 @@ def _make_scorer(k: int):
 
 @dataclass(frozen=True)
 class QueryVectors:
-    """Query vectors with, when they fit a task, their rows at hand; else they are met ``block`` at a time."""
+    """Query vectors with, when they fit a task, their rows at hand; else they are sent about ``block`` at a time."""
 
     frame: DataFrame
     keys: tuple[str, ...]
@@ -101,7 +101,8 @@ def nearest(
     """The ``k`` best chunks of every query vector by cosine, ties broken by id: query keys, id, ``score``, ``rank``.
 
     ``chunks`` holds one row per id; filter it first, filters belong below the top-k. Rows without a usable vector match
-    nothing. Up to ``MAX_QUERY_VECTORS`` vectors are sent to the tasks; a longer query table is met block by block.
+    nothing. Up to ``MAX_QUERY_VECTORS`` vectors are sent to the tasks; of a longer query table one block after the other
+    is, and each block meets the chunks where they lie.
     """
     asked = queries if isinstance(queries, QueryVectors) else query_vectors(queries, query_keys, vector_col)
     keys = list(asked.keys)
@@ -115,16 +116,31 @@ def nearest(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    if asked.rows is not None:
-        hits = _against_matrix(pool, asked.rows, keys, k, out)
-    else:
-        hits = _two_sided(pool, asked.frame, keys, k, out, asked.block)
+    found = [best_hits(_against_matrix(pool, rows, keys, k, out), keys, id_col, k) for rows in blocks_of(asked)]
+    if len(found) > 1:
+        found = [materialize(hits) for hits in found]  # k rows per query
+    return reduce(DataFrame.unionByName, found)
+
+
+def best_hits(hits: DataFrame, keys: Sequence[str], id_col: str, k: int) -> DataFrame:
+    """The ``k`` best of every query, merged for some tasks first, so that no task takes the hits of all others."""
     best = [F.col("score").desc(), F.col(id_col)]
     merged = hits.withColumn("_part", F.floor(F.spark_partition_id() / F.lit(TASKS_PER_MERGE)))
-    merged = top_k(merged, [*keys, "_part"], best, k).drop("_part", "rank")  # no task takes the hits of all others
+    merged = top_k(merged, [*keys, "_part"], best, k).drop("_part", "rank")
     return top_k(merged, keys, best, k)
 
 
+def blocks_of(asked: QueryVectors) -> Iterator[pa.Table]:
+    """The query vectors as Arrow tables of about ``block`` rows, one at a time on the driver."""
+    if asked.rows is not None:
+        yield asked.rows
+        return
+    blocks = max(1, -(-asked.frame.count() // asked.block))
+    number = F.pmod(F.xxhash64(*asked.keys), F.lit(blocks))
+    for block in range(blocks):
+        yield asked.frame.where(number == block).toArrow()
+
+
 def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, out: T.StructType) -> DataFrame:
     import numpy as np
 
@@ -159,42 +175,6 @@ def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, ou
     return pool.where(F.size("_vec") == matrix.shape[1]).mapInArrow(score, out)
 
 
-def _two_sided(
-    pool: DataFrame, asked: DataFrame, keys: list[str], k: int, out: T.StructType, block: int
-) -> DataFrame:
-    """More query vectors than fit a task: cells of chunks meet blocks of queries, each of bounded size."""
-    dim = asked.select(F.size("_qvec")).first()[0]
-    pool = pool.where(F.size("_vec") == dim)
-    cells = max(1, -(-pool.count() // ROWS_PER_CELL))
-    blocks = max(1, -(-asked.count() // block))
-    left = pool.withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(cells))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = asked.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")).withColumn(
-        "_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint")))
-    )
-    start, merge = _make_scorer(k)
-    names = out.names
-
-    def score(chunk_part, query_part):
-        import numpy as np
-        import pandas as pd
-
-        if len(chunk_part) == 0 or len(query_part) == 0:
-            return pd.DataFrame({n: [] for n in names})
-        matrix = np.stack(query_part["_qvec"].to_numpy())
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        state = start(len(query_part))
-        merge(state, matrix, chunk_part["_id"].tolist(), np.stack(chunk_part["_vec"].to_numpy()).astype(float))
-        key_rows = list(query_part[list(names[:-2])].itertuples(index=False, name=None))
-        return pd.DataFrame(
-            [(*key_rows[q], i, -s) for q, kept in enumerate(state[0]) for s, i in kept], columns=list(names)
-        )
-
-    cell = ["_cell", "_block"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(score, out)
-
-
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per group. Spark cuts each map task to ``k`` rows per group before the shuffle."""
     window = Window.partitionBy(*group).orderBy(*order)
@@ -235,31 +215,30 @@ def diversified(
     """Maximal marginal relevance over a bounded candidate set per query (``nearest`` with ``fetch_k``).
 
     Each round takes the candidate with the best ``weight * score - (1 - weight) * similarity to the taken``. The rounds
-    are one fold over an array of the query's ``fetch_k`` candidates.
+    are one fold over an array of the query's ``fetch_k`` candidates; each candidate keeps its largest similarity to what
+    has been taken, so a round compares it with the last one taken only: ``k * fetch_k`` similarities in all.
     """
-    packed = candidates.groupBy(query).agg(
-        F.collect_list(F.struct(F.col("score").alias("score"), F.col(id_col).alias("id"), F.col(vector_col).alias("vec"))).alias("_all")
+    item = F.struct(
+        F.col("score").alias("score"), F.col(id_col).alias("id"), F.col(vector_col).alias("vec"), F.lit(None).cast("double").alias("near")
     )
+    packed = candidates.groupBy(query).agg(F.collect_list(item).alias("_all"))
 
-    def similarity(a: Column, b: Column) -> Column:
-        return F.round(cosine(a["vec"], b["vec"]), SCORE_DIGITS)
+    def value(x: Column) -> Column:
+        return F.round(F.lit(weight) * x["score"] - F.lit(1 - weight) * F.coalesce(x["near"], F.lit(0.0)), SCORE_DIGITS)
 
-    def value(x: Column, taken: Column) -> Column:
-        closest = F.coalesce(F.array_max(F.transform(taken, lambda t: similarity(t, x))), F.lit(0.0))
-        return F.round(F.lit(weight) * x["score"] - F.lit(1 - weight) * closest, SCORE_DIGITS)
+    def nearer(x: Column, last: Column) -> Column:
+        similarity = F.round(cosine(last["vec"], x["vec"]), SCORE_DIGITS)
+        return F.struct(x["score"].alias("score"), x["id"].alias("id"), x["vec"].alias("vec"), F.greatest(x["near"], similarity).alias("near"))
 
     def take_best(state: Column, _: Column) -> Column:
-        ranked = F.array_sort(
-            F.transform(
-                state["rest"],
-                lambda x: F.struct((-value(x, state["taken"])).alias("order"), x["id"].alias("id"), x.alias("item")),
-            )
-        )
+        order = F.transform(state["rest"], lambda x: F.struct((-value(x)).alias("order"), x["id"].alias("id")))
         return let(
-            F.slice(ranked, 1, 1),
+            F.filter(state["rest"], lambda x: x["id"] == F.array_min(order)["id"]),
             lambda best: F.struct(
-                F.concat(state["taken"], F.transform(best, lambda b: b["item"])).alias("taken"),
-                F.filter(state["rest"], lambda x: ~F.exists(best, lambda b: b["id"] == x["id"])).alias("rest"),
+                F.concat(state["taken"], best).alias("taken"),
+                F.transform(
+                    F.filter(state["rest"], lambda x: ~F.exists(best, lambda b: b["id"] == x["id"])), lambda x: nearer(x, F.get(best, 0))
+                ).alias("rest"),
             ),
         )
 

@@ -1,7 +1,8 @@
 """Streaming twins of the batch operators.
 
-State that a key shares lives in small per-batch tables keyed by ``batch_id``, not in one task: a batch reads what
-earlier batches wrote and overwrites its own part, so replays change nothing and no key is bound to one worker.
+What a key shares over the life of a stream is either state of Spark's own operators, kept on disk and dealt by key after
+the map tasks have aggregated, or a table of totals that is folded every few batches. A batch therefore reads a bounded
+number of files, however many came before it, no key is bound to one worker, and a replayed batch changes nothing.
 """
 
 from __future__ import annotations
@@ -13,15 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.feeds import first_occurrences
 from tidemark.operators.ordered import with_position, with_row_number
-from tidemark.session import filesystem, materialize, widen
+from tidemark.session import widen
 from tidemark.sources.ranges import poll_ranges
 from tidemark.sources.sinks import upsert
 
 POLL_FILINGS = "10 seconds"
 POLL_ITEMS = "15 seconds"
 NEWS_BATCH = "500 milliseconds"
+FOLD = 16  # batches whose totals are added up into one table
+STATE_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_landing(
@@ -43,23 +45,35 @@ def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
     start(stream, write, checkpoint).awaitTermination()
 
 
-def batches_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """What earlier batches stored under ``path``; an empty table before the first one."""
-    fs, folder = filesystem(spark, path)
-    if not fs.exists(folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, batch_id bigint").parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
-
-
 def put_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def ingest_writer(transform: Callable[[DataFrame], DataFrame], path: str, order: Sequence[str], dim: int | None = None):
-    """Endless ingest: transform the micro-batch to points and upsert them, the last of an id in ``order``."""
+def put_totals(rows: DataFrame, path: str, batch_id: int, key: str) -> None:
+    """Store what a batch adds per key (``key, n``), and every ``FOLD`` batches the totals so far."""
+    rows.write.mode("overwrite").parquet(f"{path}/added/{batch_id}")
+    if (batch_id + 1) % FOLD == 0:
+        sums = totals_before(rows.sparkSession, path, batch_id + 1, rows.schema, fold=False).groupBy(key).agg(F.sum("n").alias("n"))
+        sums.write.mode("overwrite").parquet(f"{path}/whole/{batch_id}")
+
+
+def totals_before(spark: SparkSession, path: str, batch_id: int, schema: T.StructType, fold: bool = True) -> DataFrame:
+    """Rows ``key, n`` whose sums per key are the totals of all batches before: the last fold and at most ``FOLD`` batches
+    after it, by their numbers, without a look at the folder."""
+    last = (batch_id if fold else batch_id - 1) // FOLD * FOLD
+    paths = [f"{path}/whole/{last - 1}"] if last else []
+    paths += [f"{path}/added/{n}" for n in range(last, batch_id)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def ingest_writer(
+    transform: Callable[[DataFrame], DataFrame], path: str, order: Sequence[str], dim: int | None = None, writer: str = "stream"
+):
+    """Endless ingest: transform the micro-batch to points and upsert them, the last of an id in ``order``. Streams into
+    one collection differ in ``writer``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert(transform(widen(batch)), path, batch_id, order, dim=dim)
+        upsert(transform(widen(batch)), path, batch_id, order, dim=dim, writer=writer)
 
     return write
 
@@ -75,39 +89,45 @@ def only_keys_of(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return stored.join(asked, F.col(key).eqNullSafe(F.col("_asked")), "left_semi")
 
 
-def fresh_rows(batch: DataFrame, batch_id: int, key: str, arrival: Column, seen_path: str) -> DataFrame:
-    """First row per key that no earlier batch has stored; stores the new keys."""
-    key_type = batch.schema[key].dataType.simpleString()
-    first = first_occurrences(batch, key, arrival)
-    seen = only_keys_of(batches_before(batch.sparkSession, seen_path, batch_id, f"{key} {key_type}"), first, key)
-    known = seen.select(F.col(key).alias("_known"))
-    fresh = materialize(first.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti"))
-    put_batch(fresh.select(key), seen_path, batch_id)
-    return fresh
-
+def first_rows(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row per key over the whole stream, however late a copy comes: of the batch that first holds the key the
+    row that is first in ``order``. Run it in ``update`` mode, as ``drain_updates`` does.
 
-def exact_dedupe_writer(key: str, arrival: Column, seen_path: str, out_path: str):
-    """First row per key over the whole stream, however late a copy comes."""
+    Spark keeps one row per key as state, dealt by key; map tasks send one row per key and batch. The time of a batch, which
+    a replay keeps, tells the keys that it has brought.
+    """
+    rest = [c for c in stream.columns if c not in keys]
+    stamped = stream.withColumn("_batch", F.current_timestamp())
+    first = F.min_by(F.struct(*rest, F.lit(1).alias("_")), F.struct("_batch", *order))
+    state = stamped.groupBy(*keys).agg(first.alias("_first"), F.min("_batch").alias("_born"))
+    return state.where(F.col("_born") == F.current_timestamp()).select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        put_batch(fresh_rows(batch, batch_id, key, arrival, seen_path), out_path, batch_id)
 
-    return write
+def drain_updates(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """``drain`` for aggregated state, which is kept on disk."""
+    key, spark = "spark.sql.streaming.stateStore.providerClass", stream.sparkSession
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_ON_DISK)
+    try:
+        writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
 
 
 def running_count_writer(key: str, order: Sequence[str], state_path: str, out_path: str):
     """Running count per key across batches: the stored counts of earlier batches plus the count inside this one."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        key_type = batch.schema[key].dataType.simpleString()
-        before = batches_before(batch.sparkSession, state_path, batch_id, f"{key} {key_type}, n bigint")
+        schema = T.StructType([batch.schema[key], T.StructField("n", T.LongType())])
+        before = totals_before(batch.sparkSession, state_path, batch_id, schema)
         base = only_keys_of(before, batch, key).groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("_base"))
         inside = with_row_number(with_position(batch, [key, *order]), [key], "_here")
         counted = inside.join(base, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
             "running_count", F.coalesce("_base", F.lit(0)) + F.col("_here")
         )
         put_batch(counted.select(*batch.columns, "running_count"), out_path, batch_id)
-        put_batch(batch.groupBy(key).agg(F.count(F.lit(1)).alias("n")), state_path, batch_id)
+        put_totals(batch.groupBy(key).agg(F.count(F.lit(1)).alias("n")), state_path, batch_id, key)
 
     return write
 
@@ -116,10 +136,11 @@ def poll_range_writer(state_path: str, out_path: str):
     """Max-id polls to id ranges: each batch continues at the largest id of the batches before it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = batches_before(batch.sparkSession, state_path, batch_id, "max_id bigint")
-        before = stored.agg(F.max("max_id")).first()[0]
+        path = f"{state_path}/{batch_id - 1}"  # the batch before holds the largest id of all
+        before = batch.sparkSession.read.schema("max_id bigint").parquet(path).first()[0] if batch_id else None
         put_batch(poll_ranges(batch, before=before), out_path, batch_id)
-        put_batch(batch.agg(F.max("max_id").alias("max_id")), state_path, batch_id)
+        largest = F.greatest(F.max("max_id"), F.lit(before).cast("bigint")).alias("max_id")
+        batch.agg(largest).write.mode("overwrite").parquet(f"{state_path}/{batch_id}")
 
     return write
 
@@ -132,7 +153,8 @@ def keyed_state(
     state: str | T.StructType,
 ) -> DataFrame:
     """Extension point for ``step(state_tuple | None, frame) -> (state_tuple, frame)``, called with bounded Arrow frames
-    of one key. The work of one key is sequential by contract; prefer the writers above where they fit."""
+    of one key. The work of one key is sequential by contract: where a key may be hot, add a salt to the keys and merge what
+    the salts give, or use the writers above."""
 
     def run(key, frames, group):
         kept = group.get if group.exists else None
