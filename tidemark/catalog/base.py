@@ -194,7 +194,6 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 def collection(spark: SparkSession, sf: str) -> DataFrame:
     """Every document chunked, embedded and stored once; equal chunks keep the newest article."""
     from tidemark.operators.ingest import ingest
-    from tidemark.operators.versions import latest_by
 
-    points, _ = ingest(articles(spark, sf), DIM, budget=BUDGET)
-    return materialize(latest_by(points, ["chunk_id"], ["updated_at", "article_id"]))
+    points, _ = ingest(articles(spark, sf), DIM, order=["updated_at", "article_id"], budget=BUDGET)
+    return materialize(points)

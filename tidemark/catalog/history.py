@@ -522,7 +522,22 @@ ROOTS = f"""{ITEMS}, walk as (
 
 @query("j9_thread_roots", f"with recursive {ROOTS} select id, root_id, is_orphan from walk")
 def thread_roots(spark: Spark, sf: str) -> Rows:
-    return threads.thread_roots(items(spark, sf))
+    return threads.thread_roots(items(spark, sf)).drop("in_circle")
+
+
+@query(
+    "j9_circles",
+    """with g as (select event_id // 7 g, min(event_id) lo, max(event_id) hi from events group by 1)
+    select event_id id, case when g % 5 = 0 then lo else hi end root_id, g % 5 = 0 in_circle, false is_orphan
+    from events join g on event_id // 7 = g""",
+)
+def circles(spark: Spark, sf: str) -> Rows:
+    """Chains of seven events; every fifth chain is closed to a circle, and ends at its smallest id."""
+    events = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.expr("event_id div 7").alias("g"))
+    ends = events.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    last = F.when(F.col("g") % 5 == 0, F.col("lo"))
+    chained = events.join(ends, "g").select("id", F.when(F.col("id") == F.col("hi"), last).otherwise(F.col("id") + 1).alias("parent"))
+    return threads.thread_roots(chained)
 
 
 @query(

@@ -76,7 +76,8 @@ def poll_stream(spark: Spark, sf: str) -> Rows:
 )
 def ingest_stream(spark: Spark, sf: str) -> Rows:
     path = scratch(spark, "collection")
-    write = jobs.ingest_writer(lambda batch: ingest.ingest(batch, DIM, budget=BUDGET)[0], path, ["updated_at", "article_id"], DIM)
+    order = ["updated_at", "article_id"]
+    write = jobs.ingest_writer(lambda batch: ingest.ingest(batch, DIM, order=order, budget=BUDGET)[0], path, order, DIM)
     jobs.drain(landed(spark, articles(spark, sf)), write, scratch(spark, "progress"))
     return read_collection(spark, path).select("chunk_id", F.length("text").cast("bigint").alias("size"))
 

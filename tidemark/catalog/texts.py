@@ -488,6 +488,7 @@ def ingest_to_collection(spark: Spark, sf: str) -> Rows:
     from tidemark.sources.sinks import read_collection, upsert
 
     path = scratch(spark, "collection")
-    points, _ = ingest.ingest(articles(spark, sf), DIM, budget=BUDGET)
-    upsert(points, path, 0, dim=DIM, order=["updated_at", "article_id"])
+    order = ["updated_at", "article_id"]
+    points, _ = ingest.ingest(articles(spark, sf), DIM, order=order, budget=BUDGET)
+    upsert(points, path, 0, dim=DIM, order=order)
     return read_collection(spark, path).select("chunk_id", "article_id")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.records import accession_id, cik_of_title, filing_text_url, is_ownership_form, issuer_symbol
 from tidemark.schemas import FEED
+from tidemark.session import materialize
 
-NO_TICKER = "no_ticker"
+NO_TICKER = "no_ticker"  # fixed value
 SPREAD = 1024  # rows without a join key are spread over this many keys that match nothing
 
 
@@ -62,19 +63,17 @@ def lookup_tickers(filings: DataFrame, tickers: DataFrame) -> DataFrame:
 def enrich(filings: DataFrame, tickers: DataFrame, filing_texts: DataFrame | None = None) -> DataFrame:
     """Filings with ``ticker``: from the table, for ownership forms from the filing's own text, else ``no_ticker``.
 
-    An ownership form whose text is missing or names no symbol is dropped. ``filing_texts`` has ``url, text``; of
+    Only ownership forms without a ticker ask the texts; one whose text is missing or names no symbol is dropped. ``filing_texts`` has ``url, text``; of
     several texts of an address the smallest symbol counts.
     """
     found = lookup_tickers(filings, tickers)
     if filing_texts is None:
         return found.withColumn("ticker", F.coalesce("ticker", F.lit(NO_TICKER)))
-    asks = F.col("ticker").isNull() & is_ownership_form(F.col("form_type"))
-    nowhere = F.concat(F.lit("-"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("string"))
-    keyed = found.withColumn("_asks", asks).withColumn(
-        "_url", F.coalesce(F.when(F.col("_asks"), filing_text_url(F.col("link"))), nowhere)
-    )
+    asks = F.col("ticker").isNull() & F.coalesce(is_ownership_form(F.col("form_type")), F.lit(False))
+    found = materialize(found.withColumn("_asks", asks))  # read twice; what does not ask is not moved again
+    settled = found.where("not _asks").withColumn("ticker", F.coalesce("ticker", F.lit(NO_TICKER)))
+    asking = found.where("_asks").withColumn("_url", filing_text_url(F.col("link"))).where("_url is not null")
     symbols = filing_texts.select(F.col("url").alias("_url"), issuer_symbol(F.col("text")).alias("_symbol"))
-    symbols = symbols.groupBy("_url").agg(F.min("_symbol").alias("_symbol"))
-    joined = keyed.join(symbols.where(F.col("_symbol").isNotNull()), "_url", "left")
-    label = F.coalesce("ticker", F.when(F.col("_asks"), F.col("_symbol")).otherwise(F.lit(NO_TICKER)))
-    return joined.withColumn("ticker", label).where(F.col("ticker").isNotNull()).drop("_asks", "_url", "_symbol")
+    symbols = symbols.groupBy("_url").agg(F.min("_symbol").alias("_symbol")).where("_symbol is not null")
+    told = asking.join(symbols, "_url").withColumn("ticker", F.col("_symbol"))
+    return settled.drop("_asks").unionByName(told.select(settled.drop("_asks").columns))

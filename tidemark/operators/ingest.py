@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.records import content_id, parse_rfc3339
 from tidemark.functions.text import clean_all, let
 from tidemark.functions.vectors import has_dimension, hash_embedding
+from tidemark.operators.versions import latest_by
 from tidemark.schemas import METADATA
 
 REQUIRED_TEXT = ("headline", "summary", "author", "content", "source")
@@ -194,9 +195,18 @@ def zip_points(ids: Column, vectors: Column, payloads: Column) -> Column:
     return F.slice(zipped, F.lit(1), shortest)
 
 
-def ingest(articles: DataFrame, dim: int = 64, embed=None, **chunking) -> tuple[DataFrame, DataFrame]:
-    """Article rows to (points, rejects), one narrow plan without an exchange."""
-    return to_points(compute_embeddings(compute_chunks(to_documents(articles), **chunking), embed, dim), dim)
+def ingest(
+    articles: DataFrame, dim: int = 64, embed=None, order: Sequence[str] | None = None, **chunking
+) -> tuple[DataFrame, DataFrame]:
+    """Article rows to (points, rejects), one narrow plan without an exchange.
+
+    With ``order`` equal chunks are merged before they are embedded, the last in that order stays: each text is embedded
+    once, and vectors are not moved. A store that merges by ``chunk_id`` finds the rows dealt as it needs them.
+    """
+    chunks = compute_chunks(to_documents(articles), **chunking)
+    if order is not None:
+        chunks = latest_by(chunks.drop("full_raw_text"), ["chunk_id"], order)
+    return to_points(compute_embeddings(chunks, embed, dim), dim)
 
 
 def ingest_counters(chunks: DataFrame) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-MAX_ROUNDS = 40  # each round doubles the known path, so this covers chains of 2**40 items
-
 
 def thread_roots(items: DataFrame, item: str = "id", parent: str = "parent") -> DataFrame:
-    """``id, root_id, is_orphan``. An item whose parent is unknown ends at its topmost known ancestor.
+    """``id, root_id, is_orphan, in_circle``. An item whose parent is unknown ends at its topmost known ancestor; one whose
+    parents run in a circle, or lead into one, ends at the circle's smallest id.
 
     Pointer doubling: a chain of n items needs log2(n) joins. Finished items leave the loop, and every round is written
-    out once, so the lineage stays one join long.
+    out once, so the lineage stays one join long. What is left after as many rounds as the longest possible chain takes
+    runs in circles: its pointers lie on the circle by then, and the smallest id on the way from there is the circle's.
     """
     nodes = items.select(F.col(item).alias("id"), F.col(parent).alias("parent"))
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
@@ -22,18 +22,21 @@ def thread_roots(items: DataFrame, item: str = "id", parent: str = "parent") ->
     tops = nodes.where("parent is null").select("id", F.col("id").alias("up"), F.lit(False).alias("is_orphan"))
     orphans = linked.where("_known is null").select("id", F.col("id").alias("up"), F.lit(True).alias("is_orphan"))
     finished = tops.unionByName(orphans)
-    moving = linked.where("_known").select("id", F.col("parent").alias("up"))
-    for _ in range(MAX_ROUNDS):
-        pointers = finished.select("*", F.lit(True).alias("done")).unionByName(
+    moving = linked.where("_known").select("id", F.col("parent").alias("up"), F.col("id").alias("low"))
+    for _ in range(moving.count().bit_length() + 1):
+        if moving.isEmpty():
+            break
+        pointers = finished.select("*", F.lit(None).cast("bigint").alias("low"), F.lit(True).alias("done")).unionByName(
             moving.select("*", F.lit(False).alias("is_orphan"), F.lit(False).alias("done"))
         )
-        ahead = pointers.select(F.col("id").alias("up"), F.col("up").alias("_next"), "is_orphan", "done")
-        step = materialize(moving.join(ahead, "up").select("id", F.col("_next").alias("up"), "is_orphan", "done"))
-        finished = finished.unionByName(step.where("done").drop("done"))
-        moving = step.where("not done").select("id", "up")
-        if moving.isEmpty():
-            return finished.select("id", F.col("up").alias("root_id"), "is_orphan")
-    raise ValueError("parent pointers run in a circle")
+        ahead = pointers.select(F.col("id").alias("up"), F.col("up").alias("_next"), F.col("low").alias("_low"), "is_orphan", "done")
+        step = moving.join(ahead, "up").select("id", F.col("_next").alias("up"), F.least("low", "_low").alias("low"), "is_orphan", "done")
+        step = materialize(step)
+        finished = finished.unionByName(step.where("done").select("id", "up", "is_orphan"))
+        moving = step.where("not done").select("id", "up", "low")
+    on_circle = moving.select(F.col("id").alias("up"), F.col("low").alias("root_id"))
+    circles = moving.join(on_circle, "up").select("id", "root_id", F.lit(False).alias("is_orphan"), F.lit(True).alias("in_circle"))
+    return finished.select("id", F.col("up").alias("root_id"), "is_orphan", F.lit(False).alias("in_circle")).unionByName(circles)
 
 
 def branch(df: DataFrame, predicate) -> tuple[DataFrame, DataFrame]:
