@@ -1,6 +1,11 @@
 """Nearest vectors and WARC derivatives."""
 
 import gzip
+import html.parser
+import os
+import re
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -159,3 +164,94 @@ def test_head_and_custom_elements():
     assert text("<head><script>var s='</head>'; code()</script><title>t</title></head><body>words") == "words"
     assert text("<script>a</script-x>b</script >words") == "words" and text("<style/>p{}</style\n>words") == "words"
     assert warc.TITLE.search("<title-bar>no</title-bar><title lang=en>yes</title >")[1] == "yes"
+
+
+def response(payload: bytes, *heads: str, kind="text/html; charset=utf-8"):
+    head = "\r\n".join(["HTTP/1.1 200 OK", f"Content-Type: {kind}", *heads]).encode()
+    return warc.record("response", "<urn:uuid:9>", head + b"\r\n\r\n" + payload, "application/http", {})
+
+
+def chunked(data: bytes, size=7) -> bytes:
+    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    return b"".join(f"{len(p):x};note=1\r\n".encode() + p + b"\r\n" for p in parts) + b"0\r\nTrailer: x\r\n\r\n"
+
+
+def test_encodings_are_undone():
+    page = "<html><title>Tïtle</title><body><p>größe 日本</p>" + "<p>more</p>" * 3000
+    plain, data = warc.html_to_text(page), page.encode()
+    raw = zlib.compressobj(wbits=-15)
+    cases = [
+        (gzip.compress(data), ["Content-Encoding: gzip"]),
+        (gzip.compress(data[:99]) + gzip.compress(data[99:]), ["Content-Encoding: X-GZIP"]),
+        (zlib.compress(data), ["Content-Encoding: deflate"]),
+        (raw.compress(data) + raw.flush(), ["Content-Encoding: deflate"]),
+        (chunked(data), ["Transfer-Encoding: chunked"]),
+        (chunked(gzip.compress(data)), ["Transfer-Encoding: chunked", "Content-Encoding: gzip"]),
+        (chunked(zlib.compress(gzip.compress(data))), ["Content-Encoding: gzip, deflate", "transfer-encoding: Chunked"]),
+        (data, ["Content-Encoding: gzip"]),  # undone by the crawler already
+        (data, ["Transfer-Encoding: chunked"]),
+        (data, ["Content-Encoding: identity"]),
+    ]
+    for payload, heads in cases:
+        r = response(payload, *heads)
+        meta, text = warc.derived(*r[6:])
+        assert text[7].decode() == plain, heads
+        notes = meta[7].decode()
+        assert "title: Tïtle\r\n" in notes and f"source-payload-digest: {warc.digest(payload)}\r\n" in notes
+        assert f"source-content-length: {len(payload)}\r\n" in notes
+    assert [r[1] for r in warc.derived(*response(data, "Content-Encoding: br")[6:])] == ["metadata"]
+    short = warc.derived(*response(gzip.compress(data)[:-500], "Content-Encoding: gzip")[6:])
+    assert plain.startswith(short[1][7].decode()[:20]) and len(short) == 2
+    assert warc.dechunked(b"5\r\nab") == b"ab" and warc.dechunked(b"") == warc.dechunked(b"zz\r\nab") == b""
+
+
+def test_reader_is_linear():
+    rows = [warc.serialise("WARC-Type: response\nContent-Length: 3000", bytes([i % 251]) * 1000 + os.urandom(2000)) for i in range(2000)]
+    data = b"".join(rows * 4)  # about 16 MB
+    began = time.process_time()
+    assert sum(len(b) for _, b in warc.parse(data)) == 8000 * 3000
+    assert time.process_time() - began < 3
+    with pytest.raises(ValueError):
+        list(warc.parse(data[:-100]))
+
+
+def plain_text(page):
+    """Text of a page by the standard library's parser, in the test's own words."""
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.silent = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.silent += tag in ("script", "style", "title", "template", "noscript")
+            self.out.append("\n" if tag in BREAKING else "")
+
+        def handle_endtag(self, tag):
+            self.silent -= tag in ("script", "style", "title", "template", "noscript")
+            self.out.append("\n" if tag in BREAKING else "")
+
+        def handle_data(self, data):
+            if not self.silent:
+                self.out.append(" ".join(data.split()) and re.sub(r"\s+", " ", data) or (" " if data else ""))
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = "".join(reader.out).split("\n")
+    return "\n".join(" ".join(line.split()) for line in lines if line.split())
+
+
+BREAKING = {
+    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
+}
+
+
+def test_query_against_a_parser(spark):
+    sf = "/root/testdata/sf0.01"
+    source = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = [r for r in QUERIES["op8_warc_derivatives"](spark, sf).collect() if r.warc_type == "conversion"]
+    assert {r.page_id for r in rows} == source.keys()
+    for r in rows:
+        assert r.block == plain_text(source[r.page_id]), r.page_id

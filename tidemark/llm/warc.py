@@ -32,6 +32,7 @@ RECORD = "record_id string, warc_type string, refers_to string, target_uri strin
 FIELDS = tuple(f.split()[0] for f in RECORD.split(", "))
 NAMED = ("WARC-Record-ID", "WARC-Type", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type")
 FILE_BYTES = 1 << 24
+STEP = 1 << 13  # compressed bytes that a reader looks at at a time
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tidemark:warc")
 
 # Fixed values of HTML: elements whose content is no text, and elements that start a new line.
@@ -44,6 +45,7 @@ MARKUP = re.compile(  # begins with one plain character, which lets the search s
 )
 BROKEN = re.compile(r"\r[^\n]*\n")
 TITLE = re.compile(rf"<title{NAMED_SO}[^>]*>(.*?)(?:</title{NAMED_SO}[^>]*>|\Z)", re.S | re.I)
+CHUNK = re.compile(rb"\s*[0-9a-fA-F]+\s*(?:;[^\r\n]*)?\r\n")  # the size line of a chunk
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 TEXTS = ("text/html", "application/xhtml+xml", "text/plain")
 
@@ -126,6 +128,56 @@ def as_columns(rows: list[tuple]) -> dict[str, list]:
     return dict(zip(FIELDS, map(list, zip(*rows, strict=True)), strict=True)) if rows else {f: [] for f in FIELDS}
 
 
+def dechunked(payload: bytes) -> bytes:
+    """Body of a chunked transfer; what lies behind the last whole chunk of a body that was cut short is left out."""
+    parts, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        if end < 0:
+            break
+        try:
+            size = int(payload[at:end].partition(b";")[0].strip() or b"0", 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        parts.append(payload[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(parts)
+
+
+def inflated(payload: bytes, gzipped: bool) -> bytes:
+    """Content of gzip members or of a deflate stream, with or without its wrapper; as far as it can be read."""
+    parts, rest = [], memoryview(payload)
+    bits = 31 if gzipped else 15 if payload[:1] and payload[0] & 15 == 8 and int.from_bytes(payload[:2]) % 31 == 0 else -15
+    while len(rest):
+        unpack, at = zlib.decompressobj(bits), 0
+        try:
+            while not unpack.eof and at < len(rest):
+                parts.append(unpack.decompress(rest[at : at + STEP]))
+                at += STEP
+        except zlib.error:
+            break
+        rest = rest[min(at, len(rest)) - len(unpack.unused_data) :] if unpack.eof and gzipped else rest[:0]
+    return b"".join(parts)
+
+
+def decoded_body(payload: bytes, http: dict[str, str]) -> bytes | None:
+    """The payload without its transfer and content encodings, the outermost (last named) first; None where one of them is
+    not known. A body that is not in the encoding that its head names, as some crawlers store it, is taken as it is."""
+    names = [n.strip().lower() for field in ("content-encoding", "transfer-encoding") for n in http.get(field, "").split(",")]
+    for name in reversed([n for n in names if n and n != "identity"]):
+        if name == "chunked":
+            payload = dechunked(payload) if CHUNK.match(payload) else payload
+        elif name in ("gzip", "x-gzip"):
+            payload = inflated(payload, True) if payload[:2] == b"\x1f\x8b" else payload
+        elif name == "deflate":
+            payload = inflated(payload, False) or payload
+        else:
+            return None
+    return payload
+
+
 def derived(headers: str, block: bytes) -> list[tuple]:
     """Metadata record and, for texts, conversion record of a response; nothing for other records."""
     by = fields_of(headers)
@@ -147,14 +199,15 @@ def derived(headers: str, block: bytes) -> list[tuple]:
         "WARC-Page-ID": by.get("warc-page-id"),
     }
     meta_id, text_id = record_urn("metadata", source), record_urn("conversion", source)
-    is_text = kind.partition(";")[0].strip().lower() in TEXTS
+    body = decoded_body(payload, http) if kind.partition(";")[0].strip().lower() in TEXTS else None
+    is_text = body is not None
     text = title = None
     if is_text:
         charset = CHARSET.search(kind)
         try:
-            page = payload.decode(charset[1] if charset else "utf-8", "replace")
+            page = body.decode(charset[1] if charset else "utf-8", "replace")
         except LookupError:  # an encoding of that name does not exist
-            page = payload.decode("utf-8", "replace")
+            page = body.decode("utf-8", "replace")
         plain = kind.lower().startswith("text/plain")
         text = page if plain else html_to_text(page)
         found = None if plain else TITLE.search(page)
@@ -168,9 +221,9 @@ def derived(headers: str, block: bytes) -> list[tuple]:
         ("conversion-record", text_id if is_text else None),
         ("text-digest", digest(text.encode()) if is_text else None),
     ]
-    body = "".join(f"{name}: {value}\r\n" for name, value in notes if value)
-    body += "".join(f"source-header: {line}\r\n" for line in lines.split("\n") if line)
-    rows = [record("metadata", meta_id, body.encode(), "application/warc-fields", shared)]
+    told = "".join(f"{name}: {value}\r\n" for name, value in notes if value)
+    told += "".join(f"source-header: {line}\r\n" for line in lines.split("\n") if line)
+    rows = [record("metadata", meta_id, told.encode(), "application/warc-fields", shared)]
     if is_text:
         rows.append(record("conversion", text_id, text.encode(), "text/plain; charset=utf-8", shared | {"WARC-Concurrent-To": meta_id}))
     return rows
@@ -179,7 +232,9 @@ def derived(headers: str, block: bytes) -> list[tuple]:
 def derive(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of all responses among ``records``; each record is worked on by itself.
 
-    Records without an id or of another type give nothing. A response that is no text has a metadata record only. An empty
+    Records without an id or of another type give nothing. A response that is no text has a metadata record only, and so has
+    one in an encoding other than chunked, gzip and deflate; those are undone for the text, while digests, lengths and
+    source headers are those of the stored bytes. An empty
     payload has an empty conversion. Repeated responses give repeated records with equal ids.
     """
 
@@ -222,7 +277,7 @@ def write_records(records: DataFrame, path: str) -> DataFrame:
     return materialize(arrow_map(records.select("headers", "block"), run, "file string, records long, bytes long"))
 
 
-def parse(data: bytes) -> Iterator[tuple[str, bytes]]:
+def parse(data: bytes | memoryview) -> Iterator[tuple[str, bytes]]:
     """Header lines and block of every record of a file, whether or not it is compressed."""
     for part in members(data):
         at = 0
@@ -240,14 +295,22 @@ def parse(data: bytes) -> Iterator[tuple[str, bytes]]:
             at = end + 4 + size
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    if data[:2] != b"\x1f\x8b":
-        yield data
+def members(data: bytes | memoryview) -> Iterator[bytes]:
+    """Content of a plain file, or of each gzip member. Members are fed in short steps: what lies beyond the end of one is
+    at most a step, so the cost grows with the file and not with its number of records."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield bytes(data)
         return
-    while data:
-        unpack = zlib.decompressobj(31)
-        yield unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if at >= len(view):
+                raise ValueError("cut short")
+            parts.append(unpack.decompress(view[at : at + STEP]))
+            at += STEP
+        at = min(at, len(view)) - len(unpack.unused_data)
+        yield b"".join(parts)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -258,7 +321,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, size = [], 0
-                for headers, block in parse(batch.column(0)[i].as_buffer().to_pybytes()):
+                for headers, block in parse(memoryview(batch.column(0)[i].as_buffer())):
                     rows.append(of_headers(headers, block))
                     size += len(block)
                     if size > 1 << 22:
