@@ -27,6 +27,41 @@ class Units(dict):
         return b"".join(map(self.__getitem__, UNIT.findall(text)))
 
 
+class Irregular(Exception):
+    """A blank beside other white space, where a blank is no border of units."""
+
+
+class Pieces(dict):
+    """What follows a single blank, up to the next one, to the ids of the blank and itself.
+
+    A blank between two characters that are no white space begins a unit, so a text without other blanks is cut by a plain
+    search for blanks. A piece of several units is not kept, as lines rarely meet the same way twice.
+    """
+
+    def __init__(self, units: Units):
+        super().__init__()
+        self.units = units
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise Irregular
+        found = UNIT.findall(" " + piece)
+        if len(found) > 1:
+            return b"".join(map(self.units.__getitem__, found))
+        value = self[piece] = self.units.encoded(found[0])
+        return value
+
+    def ids(self, text: str) -> bytes:
+        if len(self) > self.units.limit:
+            self.clear()
+        first, blank, rest = text.partition(" ")
+        if not blank:
+            return self.units.plain_ids(text)
+        if first and first[-1].isspace():
+            raise Irregular
+        return self.units.plain_ids(first) + b"".join(map(self.__getitem__, rest.split(" ")))
+
+
 def byte_characters() -> dict[int, str]:
     """How byte-level vocabularies write bytes as characters: printable ones as themselves, the others, in order, from 256
     on. Keys are the code points of a text whose bytes were read as Latin-1."""
@@ -53,7 +88,7 @@ class LibraryUnits(Units):
         if whole.normalizer is not None or "ByteLevel(add_prefix_space=False" not in repr(whole.pre_tokenizer):
             raise ValueError("units are independent for byte-level vocabularies without a normalizer only")
         self._split, self._model, self._words = regex.compile(pattern).findall, whole.model, {}
-        self._characters = byte_characters()
+        self._characters, self._pieces = byte_characters(), Pieces(self)
         self._added, self._added_ids = None, {}
         added = whole.get_added_tokens_decoder()
         if added and not encode_special_tokens:
@@ -64,16 +99,28 @@ class LibraryUnits(Units):
             self._added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split
 
     def ids(self, text: str) -> bytes:
-        if self._added is None:
-            return super().ids(text)
+        if not any(token in text for token in self._added_ids):
+            return self.ordinary(text)
         parts = self._added(text)  # texts and added tokens by turns
-        found = [super().ids(parts[0])]
+        found = [self.ordinary(parts[0])]
         for token, rest in zip(parts[1::2], parts[2::2], strict=True):
-            found += self._added_ids[token], super().ids(rest)
+            found += self._added_ids[token], self.ordinary(rest)
         return b"".join(found)
 
+    def ordinary(self, text: str) -> bytes:
+        try:
+            return self._pieces.ids(text)
+        except Irregular:
+            return self.plain_ids(text)
+
+    def plain_ids(self, text: str) -> bytes:
+        return super().ids(text)
+
+    def encoded(self, unit: str) -> bytes:
+        return b"".join([self._words.get(w) or self._word(w) for w in self._split(unit)])
+
     def __missing__(self, unit: str) -> bytes:
-        value = self[unit] = b"".join(self._words.get(w) or self._word(w) for w in self._split(unit))
+        value = self[unit] = self.encoded(unit)
         return value
 
     def _word(self, word: str) -> bytes:
