@@ -50,6 +50,13 @@ def test_units_equal_whole_texts(library):
         assert units.ids(text) == raw(library(text)), text
 
 
+@pytest.mark.parametrize("text", ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n b c", "x\ty z\n\nw v", " \t ", "a\u3000 b", "a \x1cb c", "it's 12 34\r\nok then", "w " * 50])
+def test_pieces_between_blanks(library, text):
+    units = LibraryUnits(JSON)
+    for _ in range(2):  # unknown, then known
+        assert units.ids(text) == raw(library(text)), text
+
+
 def test_segment_tree_equals_library(reference):
     units = bpe.RankUnits(RANKS, P.PATTERN)
     units.limit = 500
@@ -117,6 +124,15 @@ def test_packing_of_edge_cases(edge, empty, library):
     assert packing.pack(empty, JSON, 1).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_nulls(spark, library):
+    big = 1152921504606846977
+    rows = [(big, "a b"), (big + 2, "c d"), (None, "e f"), (-big, "g"), (2**63 - 1, "h i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pieces = packing.pack(docs, JSON, 1, 64, tasks_per_merge=2).collect()
+    assert sorted((r.doc_id for r in pieces), key=str) == sorted((d for d, _ in rows), key=str)
+    check_packing(pieces, docs.collect(), library, 64, 1)
+
+
 def test_packing_query(spark, sf, documents, library):
     assert check_packing(QUERIES["op1_packing"](spark, sf).collect(), documents.collect(), library, 2048, 1) < 0.03
 

@@ -136,15 +136,15 @@ def pack(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialize(arrow_map(rows, run, f"{PIECES}, done boolean, group long"))
 
-    def merge(key, left):
-        windows = Windows(size, open_windows * tasks_per_merge, MERGED + (int(key[0]) << TASK_BITS))
-        left = left.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True])
-        for piece in left[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].astype(object).itertuples(index=False):
-            windows.put(tuple(piece))
-        import pandas as pd
+    names = [f.split()[0] for f in PIECES.split(", ")]
 
-        rows = windows.done + windows.leftovers()
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in PIECES.split(", ")])
+    def merge(left: pa.Table) -> pa.Table:  # Arrow keeps whole numbers whole beside nulls
+        windows = Windows(size, open_windows * tasks_per_merge, MERGED + (left["group"][0].as_py() << TASK_BITS))
+        left = left.sort_by([("length", "descending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        for piece in zip(*[left[c].to_pylist() for c in names[:5]], strict=True):
+            windows.put(piece)
+        rows = list(zip(*(windows.done + windows.leftovers()), strict=True))
+        return pa.table({c: pa.array(column, left.schema.field(c).type) for c, column in zip(names, rows, strict=True)})
 
-    merged = pieces.filter("not done").groupBy("group").applyInPandas(merge, PIECES)
+    merged = pieces.filter("not done").groupBy("group").applyInArrow(merge, PIECES)
     return pieces.filter("done").drop("done", "group").unionByName(merged)
