@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SLICE, WordIds, arrow_map, held_out, mix, slices, worker_cache
+from tidemark.session import materialize
 
 WORD = re.compile(r"[^\W_]+")
 BITS = 20
@@ -108,16 +109,19 @@ def fit(
 ) -> Weights:
     """Weights from rows of ``id, text, label`` (0 or 1; others are left out).
 
-    FTRL is sequential, so it is fitted on a bounded sample: the ``fit_rows`` rows whose hashed id is smallest, in that
-    order, ``epochs`` times, in one task. Features of fewer than ``least`` rows are left out. Label 1 weighs ``positive``
+    FTRL is sequential, so it is fitted on a bounded sample: the ``fit_rows`` different (id, text) whose hashed id is
+    smallest, in that order, ``epochs`` times, in one task; rows that repeat count once, with the highest label. Features of fewer than ``least`` rows are left out. Label 1 weighs ``positive``
     times as much as label 0. A first training without every fifth row finds the cut of the best F1 on these; it is taken
     off the bias of the second, over all rows, so that 0.5 is that cut. Without a usable row all weights are zero and
     every score is 0.5; with rows but no label 1 the bias keeps every score below 0.5.
     """
     usable = rows.filter("label in (0, 1)").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"))
+    usable = usable.withColumn("text_key", F.md5("text"))
     order = F.xxhash64(F.lit("toxicity"), "id")
-    chosen = usable.select("id").orderBy(order, "id").limit(fit_rows).distinct()
-    sample = usable.join(F.broadcast(chosen), "id", "left_semi")  # at most fit_rows ids
+    different = usable.groupBy("id", "text_key").agg(F.max("label").alias("label"))
+    chosen = materialize(different.orderBy(order, "id", "text_key").limit(fit_rows))
+    sample = usable.drop("label").join(F.broadcast(chosen), ["id", "text_key"])  # at most fit_rows
+    sample = sample.dropDuplicates(["id", "text_key"]).select("id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         numbers, seen = TextIds(), []
@@ -182,7 +186,8 @@ def _dense(held, _kept: dict = {}) -> np.ndarray:  # noqa: B006
 
 def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> Weights:
     """Weights from the ``toxic`` labels of documents outside the held-out fold; a document with several labels counts
-    as toxic if one of them says so. Labels of other documents do not count towards ``fit_rows``."""
+    as toxic if one of them says so. Labels of other documents do not count towards ``fit_rows``. Of an id with several texts
+    each counts; an empty table gives weights that tell nothing."""
     marks = labels.filter(f"{id_col} is not null").groupBy(id_col).agg(F.max("toxic").alias("label"))
     marks = marks.filter(~held_out(id_col)).withColumnRenamed(id_col, "id")
     order = F.xxhash64(F.lit("toxicity"), "id")
