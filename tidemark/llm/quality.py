@@ -113,7 +113,7 @@ def log_binomial_tail(k: int, n: int, p: float) -> float:
     if k >= n:
         return 0.0
     i = np.arange(k + 1, dtype=np.float64)
-    log_choose = np.array([math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) for j in range(k + 1)])
+    log_choose = np.concatenate([[0.0], np.cumsum(np.log(np.arange(n, n - k, -1.0)) - np.log(i[1:]))])
     terms = log_choose + i * math.log(p) + (n - i) * math.log1p(-p)
     top = terms.max()
     return float(min(0.0, top + math.log(np.exp(terms - top).sum())))
@@ -138,36 +138,58 @@ def pick(cutoffs: list[float], good: list[int], bad: list[int], n_good: int, ris
     return None if best is None else (cutoffs[best[1]], good[best[1]], bad[best[1]])
 
 
+DECIDED = "rule string, cutoff double, n_good long, good_rejected long, bad_rejected long"
+POOL = "\0pooled"  # no name of a stratum
+FEW = 20_000  # rows of strata or cutoffs that are broadcast; a cutoff list has less than 100 numbers
+
+
+def least_rows(risk: float, level: float) -> int:
+    """Good holdout rows below which not even a cutoff that rejects none of them can be certified."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
 def thresholds(
     rows: DataFrame, risk: float = 0.05, level: float = 0.05, price: float = 20.0, grid: int = 64, stratum: str = "stratum"
 ) -> DataFrame:
-    """``stratum, rule, cutoff, n_good, good_rejected, bad_rejected`` from labelled rows.
+    """``stratum, rule, cutoff, n_good, good_rejected, bad_rejected, pooled`` from labelled rows.
 
     ``rows``: stratum, stats, quality (1 good, 0 bad), propose (which half). Rows that fail the base rules or have no
-    label take no part. A stratum whose good holdout rows are too few to certify anything has no row: its texts are kept.
-    Each rule may spend ``risk`` divided by the number of rules, so all rules of a stratum together stay below ``risk``.
+    label take no part. Strata whose good holdout rows are too few to certify anything form one pooled stratum: its cutoffs
+    hold for each of them, and the guarantee is over all their rows together. A stratum without labelled rows has no cutoff,
+    nor has the pool if it is too small itself: their texts are kept. Each rule may spend ``risk`` divided by the number of
+    rules, so all rules of a stratum together stay below ``risk``; ``level`` is divided by rules times strata.
     """
     s = F.col("stats")
+    rules = len(measures(s))
     usable = rows.filter(~base_failed(s) & F.col("quality").isin(0, 1))
     named = F.array(*[F.struct(F.lit(n).alias("rule"), m.cast("double").alias("value")) for n, m in measures(s).items()])
-    long = usable.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "quality", "propose", F.explode(named).alias("m"))
-    long = materialize(long.select("stratum", "quality", "propose", "m.rule", "m.value"))
+    long = usable.select(F.coalesce(F.col(stratum), F.lit("")).alias("own"), "quality", "propose", F.explode(named).alias("m"))
+    long = materialize(long.select("own", "quality", "propose", "m.rule", "m.value"))
+    proving = F.count(F.when(~F.col("propose") & (F.col("quality") == 1), 1))  # each row stands here once per rule
+    sizes = materialize(long.groupBy("own").agg(F.floor(proving / rules).alias("n")))
+    strata = sizes.count()
+    if strata == 0:
+        return rows.sparkSession.createDataFrame([], "stratum string, " + DECIDED + ", pooled boolean")
+    tests = rules * strata
+    pooled = F.col("n") < least_rows(risk / rules, level / tests)
+    groups = sizes.select("own", pooled.alias("pooled"), F.when(pooled, POOL).otherwise(F.col("own")).alias("stratum"))
+    few = lambda df, n: F.broadcast(df) if n <= FEW else df  # noqa: E731  strata and their cutoffs are counted
+    long = long.join(few(groups, strata), "own")
     shares = F.array(*[F.lit(i / grid) for i in range(grid)])
-    cuts = (
-        long.filter("propose")
-        .groupBy("stratum", "rule")
-        .agg(F.percentile_approx("value", shares, 10_000).alias("all"), F.percentile_approx(F.when(F.col("quality") == 1, F.col("value")), F.array(*[F.lit(1 - 2.0**-i) for i in range(1, 17)]), 10_000).alias("good"))
-        .select("stratum", "rule", F.array_distinct(F.array_sort(F.concat(F.coalesce("all", F.array()), F.coalesce("good", F.array())))).alias("cuts"))
-    )
+    tail = F.array(*[F.lit(1 - 2.0**-i) for i in range(1, 17)])
+    good_value = F.when(F.col("quality") == 1, F.col("value"))
+    cuts = long.filter("propose").groupBy("stratum", "rule")
+    cuts = cuts.agg(F.percentile_approx("value", shares, 10_000).alias("all"), F.percentile_approx(good_value, tail, 10_000).alias("good"))
+    both = F.concat(F.coalesce("all", F.array()), F.coalesce("good", F.array()))
+    cuts = materialize(cuts.select("stratum", "rule", F.array_distinct(F.array_sort(both)).alias("cuts")))
     counted = (
         long.filter("not propose")
-        .join(cuts, ["stratum", "rule"])  # one row per stratum and rule
-        .select("stratum", "rule", "quality", "cuts", F.aggregate("cuts", F.lit(0), lambda n, c: n + (F.col("value") > c).cast("int")).alias("above"))
+        .join(few(cuts, tests), ["stratum", "rule"])
+        .select("stratum", "rule", "quality", F.aggregate("cuts", F.lit(0), lambda n, c: n + (F.col("value") > c).cast("int")).alias("above"))
         .groupBy("stratum", "rule", "above", "quality")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("cuts").alias("cuts"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(few(cuts, tests), ["stratum", "rule"])
     )
-    tests = cuts.count()
-    rules = len(measures(s))
 
     def decide(key, part):
         import pandas as pd
@@ -178,26 +200,32 @@ def thresholds(
             (good if quality == 1 else bad)[above] += n
         # a value above ``a`` cutoffs of the ascending list is rejected by cutoffs 0 .. a-1 of it
         rejected_good, rejected_bad = (x[::-1].cumsum()[:-1].astype(int).tolist() for x in (good, bad))
-        found = pick(cutoffs, rejected_good, rejected_bad, int(good.sum()), risk / rules, level / max(1, tests), price)
+        found = pick(cutoffs, rejected_good, rejected_bad, int(good.sum()), risk / rules, level / tests, price)
         rows = [] if found is None else [(*key, found[0], int(good.sum()), found[1], found[2])]
         return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "good_rejected", "bad_rejected"])
 
-    return counted.groupBy("stratum", "rule").applyInPandas(
-        decide, "stratum string, rule string, cutoff double, n_good long, good_rejected long, bad_rejected long"
-    )
+    decided = counted.groupBy("stratum", "rule").applyInPandas(decide, "stratum string, " + DECIDED)
+    each = decided.join(few(groups, strata), "stratum").withColumn("stratum", F.col("own"))
+    return each.select("stratum", "rule", "cutoff", "n_good", "good_rejected", "bad_rejected", "pooled")
 
 
-def judge(docs: DataFrame, stats: str, stratum: str, limits: DataFrame) -> DataFrame:
-    """Adds boolean ``_base_failed`` and ``_kept``. ``limits`` is one small row per stratum."""
-    s = F.col(stats)
-    by_rule = limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_limits"))
-    found = docs.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    found = found.join(by_rule.withColumnRenamed("stratum", "_stratum"), "_stratum", "left").drop("_stratum")
-    rejected = F.lit(False)
-    for rule, measure in measures(s).items():
-        rejected = rejected | F.coalesce(measure > F.col("_limits")[rule], F.lit(False))
-    failed = base_failed(s)
-    return found.withColumn("_base_failed", failed).withColumn("_kept", ~failed & ~rejected).drop("_limits")
+def judged(
+    docs: DataFrame, labels: DataFrame, stratum: str, id_col: str, text_col: str, columns: list[str] | None, **options
+) -> DataFrame:
+    """``row`` (a struct of the wanted columns, so that no name can clash), ``stats``, ``base_failed``, ``kept``."""
+    name = lambda c: F.col(f"`{c}`")
+    row = F.struct(*[name(c) for c in (docs.columns if columns is None else columns)])
+    own = F.coalesce(name(stratum).cast("string"), F.lit(""))
+    measured = materialize(docs.select(row.alias("row"), name(id_col).alias("id"), own.alias("stratum"), stats_of(name(text_col)).alias("stats")))
+    marks = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
+    rows = measured.select("id", "stratum", "stats").join(marks, "id").dropDuplicates(["id"])
+    limits = materialize(thresholds(rows.withColumn("propose", F.xxhash64(F.lit("propose"), "id") % 2 == 0), **options))
+    by_rule = limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
+    s, rejected = F.col("stats"), F.lit(False)
+    for rule_name, measure in measures(s).items():
+        rejected = rejected | F.coalesce(measure > F.col("limits")[rule_name], F.lit(False))
+    found = measured.join(by_rule, "stratum", "left").withColumn("base_failed", base_failed(s))
+    return found.select("row", "stats", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
 def rule(
@@ -214,15 +242,14 @@ def rule(
 
     A null text has no words and fails the base rules, as an empty one does. Repeated rows get the same verdict. Null
     strata form a stratum. Labels of unknown documents, null labels and repeated labels of a document (the lower counts)
-    do no harm. Texts are measured once; the rows with their counts are stored and joined to one small row per stratum.
+    do no harm; of a document's several texts one is measured for its label. Texts are measured once; the rows with their
+    counts are stored and joined to one small row per stratum.
     """
-    wanted = dict.fromkeys([*(docs.columns if columns is None else columns), id_col, stratum])
-    measured = materialize(docs.select(*[F.col(c) for c in wanted if c != "_stats"], stats_of(F.col(text_col)).alias("_stats")))
-    marks = labels.filter(f"{id_col} is not null").groupBy(id_col).agg(F.min("quality").alias("quality"))
-    rows = (
-        measured.select(id_col, F.col(stratum).cast("string").alias("stratum"), F.col("_stats").alias("stats"))
-        .join(marks, id_col)
-        .dropDuplicates([id_col])
-        .withColumn("propose", F.xxhash64(F.lit("propose"), id_col) % 2 == 0)
-    )
-    return judge(measured, "_stats", stratum, materialize(thresholds(rows, **options)))
+    wanted = [c for c in (docs.columns if columns is None else columns) if c not in ("_stats", "_base_failed", "_kept")]
+    found = judged(docs, labels, stratum, id_col, text_col, wanted, **options)
+    return found.select("row.*", F.col("stats").alias("_stats"), F.col("base_failed").alias("_base_failed"), F.col("kept").alias("_kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and all cutoffs of their stratum, with the columns they had."""
+    return judged(docs, labels, stratum, id_col, text_col, None, **options).filter("kept").select("row.*")
