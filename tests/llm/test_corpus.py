@@ -124,7 +124,7 @@ def test_thresholds_find_bad_rows_and_spare_small_strata(spark):
 
 def test_rule_on_edge_cases(edge, empty, no_labels):
     rows = quality.rule(edge, no_labels).collect()
-    assert len(rows) == edge.count() and set(edge.columns) < set(rows[0].__fields__)
+    assert len(rows) == edge.count() and set(edge.columns) <= set(rows[0].__fields__)
     for r in rows:
         assert tuple(r._stats) == plain_stats(r.text)
         failed = r._stats.n_words < 50 or 100 * r._stats.n_repeat_words > 50 * r._stats.n_words
@@ -140,6 +140,53 @@ def test_quality_query(spark, sf, documents):
         assert r.base_failed == (want[0] < 50 or 100 * want[5] > 50 * want[0]) and not (r.kept and r.base_failed)
 
 
+def test_verdict_against_a_plain_version(spark):
+    """Every cutoff is certified by a plain count and a plain binomial sum, and decides as it says."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    propose = {r.doc_id: r.p for r in docs.select("doc_id", (F.xxhash64(F.lit("propose"), "doc_id") % 2 == 0).alias("p")).collect()}
+    found = {r.doc_id: r for r in QUERIES["op4_quality_rules"](spark, sf).collect()}
+    rows = quality.judged(docs, labels, "lang", "doc_id", "text", ["doc_id", "lang"])
+    stats = rows.select("row.doc_id", F.col("row.lang").alias("stratum"), "stats")
+    marked = stats.join(labels.select("doc_id", "quality"), "doc_id").withColumn("propose", F.xxhash64(F.lit("propose"), "doc_id") % 2 == 0)
+    limits = quality.thresholds(marked).collect()
+    plain, holdout = {}, defaultdict(list)
+    for d in docs.collect():
+        s = plain_stats(d.text)
+        words, lines = max(s[0], 1), max(s[3], 1)
+        failed = s[0] < 50 or 100 * s[5] > 50 * s[0]
+        by = {"symbols": s[2] / words, "repeats": s[5] / words, "copied lines": s[4] / lines, "long words": s[1] / words, "short words": -s[1] / words}
+        plain[d.doc_id] = (d.lang or "", failed, by)
+        if not failed and marks.get(d.doc_id) in (0, 1) and not propose[d.doc_id]:
+            holdout[d.lang or ""].append((marks[d.doc_id], by))
+    least = next(n for n in range(1, 10_000) if 0.99**n <= 0.05 / (5 * len(holdout)))
+    small = {s for s, part in holdout.items() if sum(q for q, _ in part) < least}
+    assert {"de", "es", "fr"} <= small and "en" not in small
+    pool = [x for s in small for x in holdout[s]]
+    assert {r.stratum for r in limits} == set(holdout) and all(r.pooled == (r.stratum in small) for r in limits)
+    cutoffs = defaultdict(dict)
+    for r in limits:
+        part = pool if r.pooled else holdout[r.stratum]
+        n = sum(q for q, _ in part)
+        k = sum(1 for q, by in part if q and by[r.rule] > r.cutoff)
+        assert (r.n_good, r.good_rejected) == (n, k) and r.bad_rejected == sum(1 for q, by in part if not q and by[r.rule] > r.cutoff)
+        assert sum(math.comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1)) <= 0.05 / (5 * len(holdout)) * (1 + 1e-9)
+        cutoffs[r.stratum][r.rule] = r.cutoff
+    for doc_id, (stratum, failed, by) in plain.items():
+        assert found[doc_id].kept == (not failed and all(by[name] <= c for name, c in cutoffs[stratum].items()))
+
+
+def test_pooled_strata_are_certified_together(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i % 9}", (200, 1000, 300 if i % 10 == 0 else int(rng.integers(0, 5)), 10, 0, 0), int(i % 10 > 0), bool(i // 9 % 2)) for i in range(4000)]
+    rows += [("lone", (200, 1000, 5, 10, 0, 0), 0, True)]
+    frame = spark.createDataFrame(rows, f"stratum string, stats {quality.STATS_TYPE}, quality int, propose boolean")
+    found = quality.thresholds(frame).collect()
+    assert {r.stratum for r in found if r.rule == "symbols"} == {*(f"s{i}" for i in range(9)), "lone"} and all(r.pooled for r in found)
+    assert quality.thresholds(frame.limit(0)).count() == 0
+
+
 # --- language ---------------------------------------------------------------------------------------------------------
 
 
@@ -305,14 +352,102 @@ def test_open_members_of_a_bucket_are_all_compared(spark, monkeypatch):
     """One bucket holds everything, in blocks and chunks of a few rows: the links must find what all pairs find."""
     rows = variants(1, 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    buckets = docs.select(F.lit(1).cast("long").alias("key"), "doc_id")
+    buckets = docs.select(F.lit(1).cast("long").alias("key"), "doc_id", minhash.copy_key("text").alias("copy_key"))
     for block, chunk in ((5, 7), (1000, 1000)):
         monkeypatch.setattr(minhash, "OPEN_BLOCK", block)
         monkeypatch.setattr(minhash, "MEMBER_CHUNK", chunk)
-        labels = {r.doc_id: r.class_id for r in minhash.components(minhash.links(buckets, docs, 0.8, "doc_id", "text")).collect()}
+        labels = {r.doc_id: r.class_id for r in minhash.linked(buckets, docs, 0.8, "doc_id", "text").collect()}
         assert {d: labels.get(d, d) for d, _ in rows} == plain_classes(rows)
 
 
+def family(n, words=120, edits=2, seed=5):
+    """Near copies of a text that is itself not among them, each with its own changed words."""
+    rng = np.random.default_rng(seed)
+    origin, rows = [f"o{i}" for i in range(words)], []
+    for d in range(n):
+        own = list(origin)
+        for at in rng.choice(words, edits, replace=False):
+            own[at] = f"n{d}_{at}"
+        rows.append((d, " ".join(own)))
+    return rows
+
+
+def set_classes(rows, threshold=0.8):
+    """Classes of all pairs of texts in which no shingle repeats."""
+    bags, parent = [], {d: d for d, _ in rows}
+    for _, text in rows:
+        words = text.split()
+        bags.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+        assert len(bags[-1]) == len(words) - 4
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for j in range(i):
+            common = len(bags[i] & bags[j])
+            if common >= threshold * (len(bags[i]) + len(bags[j]) - common):
+                low, high = sorted((find(a), find(rows[j][0])))
+                parent[high] = low
+    return {d: find(d) for d in parent}
+
+
+def test_links_grow_with_the_family(spark, monkeypatch):
+    """Without the origin in the table many copies are open. What leaves the tasks are links, fewer than documents per cell,
+    and what the join verifies are the pairs with a centre."""
+    verify, links, counted = minhash.verify, minhash.open_links, {"pairs": 0, "links": 0}
+
+    def verifying(pairs, texts):
+        found = verify(pairs, texts)
+        counted["pairs"] += found.count()
+        return found
+
+    def linking(members, threshold, whole):
+        found = links(members, threshold, whole)
+        counted["links"] += found.count()
+        return found
+
+    monkeypatch.setattr(minhash, "verify", verifying)
+    monkeypatch.setattr(minhash, "open_links", linking)
+    totals = []
+    for n, words, edits in ((200, 120, 2), (400, 120, 2), (300, 50, 1)):
+        counted.update(pairs=0, links=0)
+        rows = family(n, words, edits)
+        got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == set_classes(rows)
+        totals.append((counted["pairs"], counted["links"]))
+    assert all(0 < links < 20 * n and pairs < 10 * n for (pairs, links), n in zip(totals, (200, 400, 300), strict=True))
+
+
+def test_family_equals_all_pairs(spark):
+    rows = family(40, words=60, edits=1) + [(100 + d, t) for d, t in family(20, words=60, edits=3, seed=6)]
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set_classes(rows)
+
+
+def test_similar_to_many_at_once():
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(12)], rng.integers(1, 40))) for _ in range(40)]
+    texts += [" ".join(f"v{i}" for i in range(a, a + 30)) for a in range(12)]
+    n = len(texts)
+    part = minhash.Members(list(range(n)), [0] * n, [True] * n, [0.0] * n, [bytes(minhash.DEEP)] * n, texts)
+    for i in (0, 17, 45):
+        want = [minhash.similarity(part.shingles[i], part.shingles[j]) for j in range(n)]
+        assert np.allclose(part.similar(np.arange(n), part.shingles[i], bool(part.plain[i])), want, atol=1e-12)
+
+
+def test_one_id_with_several_texts_loses_only_copies(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "z"), (2, b, "x"), (3, c, "x"), (4, c + " more", "x"), (1, None, "x"), (1, "", "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id_0 string").repartition(4)
+    for _ in range(2):
+        kept = sorted(((r.doc_id, r.text) for r in minhash.keep_one(docs).collect()), key=str)
+        assert kept == sorted([(1, a), (1, b), (3, c), (1, None), (1, ""), (None, a), (None, a)], key=str)
+    assert {r.doc_id for r in minhash.classes(docs).collect()} == {1, 2, 3, 4, None}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.class_id for r in minhash.components(edges).collect()} == {0}
@@ -325,7 +460,7 @@ def test_classes_of_edge_cases(edge, empty):
     assert got.pop(None) is None and got == {d: (4 if d == 5 else d) for d in got}
     assert minhash.classes(empty).count() == 0
     kept = minhash.keep_one(edge)
-    assert kept.columns == edge.columns and kept.count() == 10
+    assert kept.columns == edge.columns and kept.count() == 12
 
 
 def test_near_duplicate_query(spark, sf, documents):
@@ -362,8 +497,11 @@ def test_pipeline_stages_on_edge_cases(spark, edge, empty, sf):
     import corpus_pipeline
 
     for docs in (edge, empty):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, sf).collect()
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, docs, sf).collect()
+            if name != "packing":  # what stays is as it was
+                before = Counter(docs.collect())
+                assert not Counter(rows) - before and all(r.__fields__ == docs.columns for r in rows)
 
 
 # --- toxicity with few or no usable labels ----------------------------------------------------------------------------

@@ -49,6 +49,18 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[lis
             yield [c.to_pylist() for c in part.columns]
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not use, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        number = 0
+        while f"_{name}_{number}" in taken:
+            number += 1
+        out.append(f"_{name}_{number}")
+        taken.add(out[-1])
+    return out
+
+
 def held_out(doc_id: Column | str, folds: int = 5) -> Column:
     """True for the fold that nothing may learn from."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds == 0
