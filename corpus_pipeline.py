@@ -14,16 +14,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5. It learns from the labels outside the held-out fold. Null and empty
     texts score as texts without words; repeated rows share their fate. With too few labels to tell texts apart all stay."""
     weights = toxicity.fit_labels(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", toxicity.score(weights, "text", unknown=0.0)).filter("_score < 0.5").select(docs.columns)
+    return docs.filter(toxicity.score(weights, "text", unknown=0.0) < 0.5)
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and every certified cutoff of their language. Null texts fail the base rules."""
-    return quality.rule(docs, table(spark, sf_dir, "labels")).filter("_kept").select(docs.columns)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every near-duplicate class; null ids stay."""
+    """The document of the smallest id of every near-duplicate class; null ids stay, and of an id with several texts only
+    those go that are copies of another document."""
     return minhash.keep_one(docs)
 
 
