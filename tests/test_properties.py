@@ -327,3 +327,25 @@ def test_totals_are_folded(spark, tmp_path, monkeypatch):
             jobs.put_totals(rows, path, n, "k")
         for k, v in ((None, 1), (n % 3, n)):
             want[k] = want.get(k, 0) + v
+
+
+def test_days_are_pruned(spark, tmp_path):
+    """A collection that is stored by day is read between the dates only, after compaction too."""
+    from tidemark.plans.search import search_by_filters
+
+    path, folded = str(tmp_path / "a"), str(tmp_path / "b")
+    points = spark.range(60).select(
+        F.col("id").alias("chunk_id"), F.concat(F.lit("text "), "id").alias("text"), F.array(F.lit("s")).alias("symbols"),
+        F.when(F.col("id") > 2, F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 43_200)).alias("created_at"),
+        F.array(F.cos("id"), F.sin("id")).alias("embedding"), F.current_timestamp().alias("updated_at"), F.lit("s").alias("source"),
+    )
+    for batch in range(2):
+        sinks.upsert(points, path, batch, ["created_at"], by_day="created_at")
+    sinks.compact(spark, path, folded)
+    asked = spark.createDataFrame([(1, "text")], "query_id long, query string")
+    for stored in (path, folded):
+        rows = sinks.read_collection(spark, stored)
+        assert rows.count() == 60 and "created_day" in rows.columns
+        found = search_by_filters(rows, asked, date_from=at("2024-01-05 06:00:00"), date_to=at("2024-01-07 00:00:00"), limit=99, dim=2)
+        assert {r["chunk_id"] for r in found.collect()} == {9, 10, 11, 12}
+    assert "PartitionFilters: [isnotnull(created_day" in found._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
     AS_OF, CANDIDATES, CONFIDENCE, PAYLOAD, age_sql, at, candidates, centroids, collection, hits_sql, payload,
-    query, questions, r6, scored_candidates, share_sql, stamp_sql, table, vectors,
+    query, questions, r6, scored_candidates, scratch, share_sql, stamp_sql, table, vectors, DIM,
 )
 from tidemark.catalog.texts import chunks_sql, clean_sql, counts_sql, buckets_sql
 from tidemark.functions.freshness import Freshness, age_hours, boost, freshness_columns
@@ -15,6 +15,7 @@ from tidemark.functions.fusion import Fusion, variance
 from tidemark.operators import clusters, knn, ranking, reports
 from tidemark.operators.ordered import with_position
 from tidemark.plans.search import search, search_by_filters
+from tidemark.sources.sinks import read_collection, upsert
 
 Spark, Rows = SparkSession, DataFrame
 LIFE = Freshness()
@@ -432,9 +433,9 @@ def whole_search(spark: Spark, sf: str) -> Rows:
     return _shown(search(collection(spark, sf), questions(spark, sf), 3, True, as_of=at(SEARCH_AS_OF)))
 
 
-def filtered(spark: Spark, sf: str, **options) -> Rows:
+def filtered(spark: Spark, sf: str, stored: Rows | None = None, **options) -> Rows:
     return search_by_filters(
-        collection(spark, sf),
+        collection(spark, sf) if stored is None else stored,
         questions(spark, sf),
         ["src1", "src2", "src3", "src4", "src7"],
         at("2024-01-01 01:00:00"),
@@ -450,6 +451,14 @@ def filtered_search(spark: Spark, sf: str) -> Rows:
     return _shown(filtered(spark, sf))
 
 
+@query("b10_stored_by_day", search_sql(FILTER, 3, True, "weighted", SEARCH_AS_OF, _SHOWN))
+def stored_by_day(spark: Spark, sf: str) -> Rows:
+    """The same search over a collection on disk, of which only the days asked for are read."""
+    path = scratch(spark, "collection")
+    upsert(collection(spark, sf), path, 0, ["updated_at", "article_id"], dim=DIM, by_day="created_at")
+    return _shown(filtered(spark, sf, read_collection(spark, path)))
+
+
 @query("b10_min_score", search_sql(FILTER, 3, True, "weighted", SEARCH_AS_OF, _SHOWN + " where score >= 0.7"))
 def filtered_min_score(spark: Spark, sf: str) -> Rows:
     return _shown(filtered(spark, sf, min_score=0.7))

@@ -192,17 +192,16 @@ def _model():
         import numpy as np
 
         known: dict[str, int] = {}
-
-        def vector(text):
-            out = np.zeros(64)
-            for word in re.findall("[a-z0-9]+", text.lower()):
-                if word not in known:
-                    known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64
-                out[known[word]] += 1
-            return (out / np.linalg.norm(out)).tolist() if out.any() else None
-
-        for texts in batches:
-            yield pd.Series([vector(t) for t in texts])
+        for texts in batches:  # the words of a whole batch go into one matrix
+            words = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+            for word in set().union(*words) - known.keys():
+                known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64
+            slots = np.array([known[w] for part in words for w in part], np.int64)
+            counts = np.zeros((len(texts), 64))
+            np.add.at(counts, (np.repeat(np.arange(len(texts)), [len(part) for part in words]), slots), 1)
+            length = np.sqrt((counts * counts).sum(axis=1))
+            vectors = counts / np.where(length == 0, 1, length)[:, None]
+            yield pd.Series([v.tolist() if n else None for v, n in zip(vectors, length, strict=True)])
 
     return embed
 

@@ -467,12 +467,13 @@ def exact_duplicates(spark: Spark, sf: str) -> Rows:
     "j7_positional_zip",
     """select vec_id, i, id, round(x, 6) x, piece from (
       select vec_id, unnest(range(0, n)) i, unnest(range(0, n)) + 100 id, unnest(list_slice(embedding, 1, n))::double x,
-        unnest(list_slice(string_split('a-b-c-d-e-f', '-'), 1, n)) piece
-      from (select *, least(label + 2, 6, len(embedding)) n from embeddings))""",
+        list_transform(range(0, n), lambda k: 'p' || (k * 7 + vec_id)) pieces, unnest(pieces) piece
+      from (select *, least(70 - label, 61 + label, len(embedding)) n from embeddings))""",
 )
 def positional_zip(spark: Spark, sf: str) -> Rows:
-    ids = F.sequence(F.lit(100), F.col("label") + 101).cast("array<bigint>")
-    payloads_ = F.split(F.lit("a-b-c-d-e-f"), "-")
+    """Whole vectors with as many ids and payloads, or a few more or less, as the row's label says."""
+    ids = F.sequence(F.lit(100), F.lit(169) - F.col("label")).cast("array<bigint>")
+    payloads_ = F.transform(F.sequence(F.lit(0), F.lit(60) + F.col("label")), lambda k: F.concat(F.lit("p"), (k * 7 + F.col("vec_id")).cast("string")))
     zipped = ingest.zip_points(ids, F.col("embedding"), payloads_)
     rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(zipped).alias("i", "z"))
     return rows.select(

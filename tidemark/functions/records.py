@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The label of a title without a number, and the address of filings.
 NO_CIK = "No CIK found"
 ARCHIVE = "https://www.sec.gov/Archives/edgar/data"
 OWNERSHIP_FORMS = ("3", "4", "5")

@@ -14,6 +14,7 @@ from tidemark.operators.ingest import chunk_text
 from tidemark.operators.knn import attach_payload, nearest, query_vectors, union_hits
 from tidemark.operators.ranking import rank_articles, word_share
 from tidemark.sources.news import match_any, time_range, where_all
+from tidemark.sources.sinks import DAY
 
 OVER_FETCH = 10
 
@@ -75,8 +76,11 @@ def search_by_filters(
     **options,
 ) -> DataFrame:
     """Search over the chunks that meet all conditions. ``min_score`` cuts the result after the limit; with
-    ``prefilter`` the limit counts only hits that reach it."""
+    ``prefilter`` the limit counts only hits that reach it. Of a collection that is stored by day only the days between
+    the dates are read."""
     kept = time_range(collection, "created_at", date_from, date_to)
+    if DAY in collection.columns:
+        kept = time_range(kept, DAY, *[None if d is None else F.to_date(d) for d in (date_from, date_to)]).drop(DAY)
     kept = where_all(kept, [match_any(F.col("symbols"), symbols), *conditions])
     if prefilter:
         return search(kept, queries, limit, floor=min_score, **options)

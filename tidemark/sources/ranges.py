@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import page_of, with_neighbour, with_position, with_running
 
 PAGE_SIZE = 20
-FIRST_POLL_ITEMS = 150
+FIRST_POLL_ITEMS = 150  # fixed value
 RANGE_STEP = 10_000  # ids one row holds while a range is unfolded
 
 

@@ -24,6 +24,7 @@ from tidemark.session import filesystem, materialize
 LOG = "_commits"  # a folder that Spark's readers of the collection pass over
 SNAPSHOT = "_snapshot"  # writer of a compacted collection
 WRITER = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]*")
+DAY = "created_day"  # partition of collections that are stored by day
 COMMIT = "writer string, batch_id long, place long, folded boolean"
 
 
@@ -56,6 +57,11 @@ def commits(spark: SparkSession, path: str) -> Commits:
     return Commits(places, {r["writer"]: r["batch_id"] for r in rows if r["folded"]})
 
 
+def _write(rows: DataFrame, folder: str) -> None:
+    out = rows.write.mode("overwrite")
+    (out.partitionBy(DAY) if DAY in rows.columns else out).parquet(folder)
+
+
 def _note(spark: SparkSession, path: str, name: str, lines: Sequence[dict], replace: bool = False) -> None:
     """One file of the log, as a whole; without ``replace`` a file that is there stays."""
     fs, file = filesystem(spark, f"{path}/{LOG}/{name}.json")
@@ -74,9 +80,11 @@ def upsert(
     key: str = "chunk_id",
     dim: int | None = None,
     writer: str = "main",
+    by_day: str | None = None,
 ) -> None:
     """Store one batch of a writer; the folder is created on first use. Within the batch the last row per ``key`` in
-    ``order`` stays; the order must tell rows of a key apart, so that a replayed batch stores the same rows.
+    ``order`` stays; the order must tell rows of a key apart, so that a replayed batch stores the same rows. ``by_day`` names
+    a time column by whose days the batch is partitioned, in ``created_day``; all batches of a collection or none.
 
     Each stream into a collection is a ``writer`` of its own, whose batches come in ascending order; several may write at a
     time. Of batches that meet the same place in the log, the one of the greater writer name counts as the later.
@@ -90,7 +98,8 @@ def upsert(
     if batch_id <= before.folded.get(writer, -1):
         return  # delivered again after compaction has folded it
     rows = (checked(points, dim) if dim is not None else points).drop("part")
-    latest_by(rows, [key], order).write.mode("overwrite").parquet(f"{path}/part={_part(writer, batch_id)}")
+    rows = latest_by(rows, [key], order)
+    _write(rows if by_day is None else rows.withColumn(DAY, F.to_date(by_day)), f"{path}/part={_part(writer, batch_id)}")
     place = before.places.get((writer, batch_id), before.next_place())
     _note(spark, path, f"{writer}.{batch_id}", [{"writer": writer, "batch_id": batch_id, "place": place, "folded": False}])
 
@@ -120,7 +129,7 @@ def compact(spark: SparkSession, path: str, target: str, key: str = "chunk_id")
     """The collection as one batch at ``target``, which replaces ``path`` for readers and writers once it is complete.
     Writers go on at ``target`` where they were."""
     known = commits(spark, path)
-    read_collection(spark, path, key).write.mode("overwrite").parquet(f"{target}/part={_part(SNAPSHOT, 0)}")
+    _write(read_collection(spark, path, key), f"{target}/part={_part(SNAPSHOT, 0)}")
     folded = dict(known.folded)
     for writer, batch_id in known.places:
         if writer != SNAPSHOT:
