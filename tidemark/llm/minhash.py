@@ -370,13 +370,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     the smallest MD5.
 
     Each (id, text) is a document of its own here, so rows that share an id lose only copies. Rows with a null id stay, as
-    they are. Null, empty and blank texts are near no text: they stay, one row for each id and text.
+    they are. Null, empty and blank texts are near no text: they stay, one row for each id and text. Where no id has several
+    texts, ids stand for them; otherwise all are numbered, in order of id and text, which moves the texts once more.
     """
     text_key = F.coalesce(F.md5(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key.alias("text_key"))
-    units = keyed.filter("doc_id is not null").select("doc_id", "text_key").distinct()
-    units = materialize(with_position(units, ["doc_id", "text_key"], "unit").select("unit", "doc_id", "text_key"))
-    found = classes(keyed.join(units, ["doc_id", "text_key"]).select("unit", "text"), id_col="unit", text_col="text", **options)
+    keyed = keyed.filter("doc_id is not null")
+    ids = keyed.groupBy("doc_id").agg(F.min("text_key").alias("text_key"), F.max("text_key").alias("last"))
+    if ids.filter("text_key < last").isEmpty():
+        units = ids.select(F.col("doc_id").alias("unit"), "doc_id", "text_key")
+        texts = keyed.withColumnRenamed("doc_id", "unit")
+    else:
+        units = with_position(keyed.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "unit")
+        units = materialize(units.select("unit", "doc_id", "text_key"))
+        texts = keyed.join(units, ["doc_id", "text_key"])
+    found = classes(texts.select("unit", "text"), id_col="unit", text_col="text", **options)
     left = materialize(units.join(found.filter("doc_id = class_id").select(F.col("doc_id").alias("unit")).distinct(), "unit", "left_semi"))
     inside = fresh_names(docs, "id", "text")
     named = docs.filter(F.col(id_col).isNotNull()).withColumns({inside[0]: F.col(id_col).cast("long"), inside[1]: text_key})
