@@ -19,7 +19,7 @@ UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 class Units(dict):
     """Unit to its ids as little-endian unsigned 32-bit bytes; emptied once it holds ``limit`` units."""
 
-    limit = 1_000_000  # about 200 MB
+    limit = 700_000  # about 140 MB
 
     def ids(self, text: str) -> bytes:
         if len(self) > self.limit:
@@ -117,7 +117,10 @@ class LibraryUnits(Units):
         return super().ids(text)
 
     def encoded(self, unit: str) -> bytes:
-        return b"".join([self._words.get(w) or self._word(w) for w in self._split(unit)])
+        words = self._split(unit)
+        if len(words) == 1:  # kept as a unit, so not as a word too
+            return self._tokenized(words[0])
+        return b"".join([self._words.get(w) or self._word(w) for w in words])
 
     def __missing__(self, unit: str) -> bytes:
         value = self[unit] = self.encoded(unit)
@@ -126,10 +129,13 @@ class LibraryUnits(Units):
     def _word(self, word: str) -> bytes:
         if len(self._words) > self.limit // 2:
             self._words.clear()
-        found = [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._characters))]
-        value = self._words[word] = struct.pack(f"<{len(found)}I", *found)
+        value = self._words[word] = self._tokenized(word)
         return value
 
+    def _tokenized(self, word: str) -> bytes:
+        found = [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._characters))]
+        return struct.pack(f"<{len(found)}I", *found)
+
 
 def library_units(path: str, encode_special_tokens: bool = True) -> LibraryUnits:
     name = f"units:{path}:{encode_special_tokens}"
