@@ -122,7 +122,10 @@ def encode_words(words: list[bytes], merges: Merges) -> list[bytes]:
 
 
 class RankUnits(Units):
-    """Ids of white-space delimited units by a rank file; each match of ``pattern`` is encoded on its own."""
+    """Ids of white-space delimited units by a rank file; each match of ``pattern`` is encoded on its own. Units and words
+    are forgotten once ``limit`` of them are held."""
+
+    limit = 700_000  # about 140 MB
 
     def __init__(self, path: str, pattern: str):
         import regex

@@ -101,12 +101,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def worker_cache(name: str, make: Callable[[], object], _held: dict = {}) -> object:  # noqa: B006
-    """What a worker process builds once and keeps for its tasks, such as a loaded vocabulary; the last two are kept, so that
-    the stages of a pipeline do not add up."""
-    if name in _held:
-        _held[name] = _held.pop(name)  # now the last one used
-    else:
-        while len(_held) > 1:
-            del _held[next(iter(_held))]
+    """What a worker process builds once and keeps for its tasks, such as a loaded vocabulary; only the last one is kept, so
+    that the stages of a pipeline do not add up."""
+    if name not in _held:
+        _held.clear()
         _held[name] = make()
     return _held[name]

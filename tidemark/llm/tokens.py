@@ -16,14 +16,27 @@ SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
-class Units(dict):
-    """Unit to its ids as little-endian unsigned 32-bit bytes; emptied once it holds ``limit`` units."""
+class Recent(dict):
+    """A cache in two generations: once the young one holds ``limit`` entries it becomes the old one, whose entries come
+    back as they are asked for again. So what is frequent stays, and at most about twice the limit is held."""
 
-    limit = 700_000  # about 140 MB
+    limit = 250_000
 
-    def ids(self, text: str) -> bytes:
-        if len(self) > self.limit:
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def age(self, limit: int) -> None:
+        if len(self) > limit:
+            self.old = dict(self)
             self.clear()
+
+
+class Units(Recent):
+    """Unit to its ids as little-endian unsigned 32-bit bytes."""
+
+    def ids(self, text: str) -> bytes:
+        self.age(self.limit)
         return b"".join(map(self.__getitem__, UNIT.findall(text)))
 
 
@@ -31,7 +44,7 @@ class Irregular(Exception):
     """A blank beside other white space, where a blank is no border of units."""
 
 
-class Pieces(dict):
+class Pieces(Recent):
     """What follows a single blank, up to the next one, to the ids of the blank and itself.
 
     A blank between two characters that are no white space begins a unit, so a text without other blanks is cut by a plain
@@ -43,6 +56,10 @@ class Pieces(dict):
         self.units = units
 
     def __missing__(self, piece: str) -> bytes:
+        value = self.old.get(piece)
+        if value is not None:
+            self[piece] = value
+            return value
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise Irregular
         found = UNIT.findall(" " + piece)
@@ -52,8 +69,7 @@ class Pieces(dict):
         return value
 
     def ids(self, text: str) -> bytes:
-        if len(self) > self.units.limit:
-            self.clear()
+        self.age(self.units.limit)
         first, blank, rest = text.partition(" ")
         if not blank:
             return self.units.plain_ids(text)
@@ -87,7 +103,7 @@ class LibraryUnits(Units):
         whole = Tokenizer.from_file(path)
         if whole.normalizer is not None or "ByteLevel(add_prefix_space=False" not in repr(whole.pre_tokenizer):
             raise ValueError("units are independent for byte-level vocabularies without a normalizer only")
-        self._split, self._model, self._words = regex.compile(pattern).findall, whole.model, {}
+        self._split, self._model, self._words = regex.compile(pattern).findall, whole.model, Recent()
         self._characters, self._pieces = byte_characters(), Pieces(self)
         self._added, self._added_ids = None, {}
         added = whole.get_added_tokens_decoder()
@@ -123,13 +139,12 @@ class LibraryUnits(Units):
         return b"".join([self._words.get(w) or self._word(w) for w in words])
 
     def __missing__(self, unit: str) -> bytes:
-        value = self[unit] = self.encoded(unit)
+        value = self[unit] = self.old.get(unit) or self.encoded(unit)
         return value
 
     def _word(self, word: str) -> bytes:
-        if len(self._words) > self.limit // 2:
-            self._words.clear()
-        value = self._words[word] = self._tokenized(word)
+        self._words.age(self.limit)
+        value = self._words[word] = self._words.old.get(word) or self._tokenized(word)
         return value
 
     def _tokenized(self, word: str) -> bytes:
