@@ -155,6 +155,24 @@ def test_many_query_vectors_meet_the_chunks_block_by_block(spark, sf, monkeypatc
     assert sorted(map(tuple, knn.nearest(vectors(spark, sf), asked, 5).collect())) == expected
 
 
+def test_long_query_tables_do_not_pass_the_driver(spark, monkeypatch):
+    def through_the_driver(asked):
+        raise AssertionError("blocks of queries passed the driver")
+
+    rng = random.Random(3)
+    vecs = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)]
+    vecs += [(1000 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(150)] + [(2000, [0.0] * 4), (2001, None), (2002, [1.0]), (2003, [float("inf"), 1.0, 1.0, 1.0])]
+    chunks = spark.createDataFrame(vecs, "chunk_id int, embedding array<double>").repartition(5)
+    asks = [(i, v) for i, v in vecs[:40]] + [(7, [4.0, 3.0, 2.0, 1.0]), (None, [1.0, 2.0, 3.0, 4.1]), (50, [0.0] * 4), (51, None)]
+    asked = spark.createDataFrame(asks, "query_id int, embedding array<double>")
+    expected = sorted(map(str, knn.nearest(chunks.where("chunk_id < 2003"), asked, 6).collect()))
+    monkeypatch.setattr(knn, "blocks_of", through_the_driver)
+    monkeypatch.setattr(knn, "TILE_VALUES", 4 * 60)
+    monkeypatch.setattr(knn, "SCORES_AT_ONCE", 500)
+    found = knn.nearest(chunks, knn.query_vectors(asked, at_most=3), 6)
+    assert sorted(map(str, found.collect())) == expected and len(expected) == 41 * 6
+
+
 def test_scores_are_held_in_bounded_blocks(spark, sf, monkeypatch):
     expected = sorted(map(tuple, knn.nearest(vectors(spark, sf), centroids(spark, sf), 5).collect()))
     monkeypatch.setattr(knn, "SCORES_AT_ONCE", 40)

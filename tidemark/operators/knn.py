@@ -2,13 +2,13 @@
 
 The chunk table is streamed once where it lies. Each task scores its Arrow batches against the whole query matrix and
 keeps only the best ``k`` per query, so what reaches the shuffle is ``k`` rows per query and task, never the pairs.
+A query table that is too long for that is cut into blocks like the chunks; every pair of blocks is one bounded group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,8 @@ MAX_QUERY_VECTORS = 4096  # query vectors shipped to every task; 4096 x 384 doub
 TASKS_PER_MERGE = 256  # scoring tasks whose hits are merged before the last step
 BROADCAST_HITS = 200_000  # hit rows (ids and scores) that may be broadcast
 SCORES_AT_ONCE = 2_000_000  # scores a task holds while it works through a batch, 16 MB
+TILE_VALUES = 1 << 20  # vector components of a block of queries or of chunks, 8 MB as doubles
+TILE_GROUP = 32  # neighbouring scores of which the best is looked at first
 SCORE_DIGITS = 9  # equal vectors tie whichever batch they were scored in
 
 
@@ -64,7 +66,7 @@ def _make_scorer(k: int):
 
 @dataclass(frozen=True)
 class QueryVectors:
-    """Query vectors with, when they fit a task, their rows at hand; else they are sent about ``block`` at a time."""
+    """Query vectors with, when they fit a task, their rows at hand; else a search by groups takes about ``block`` at a time."""
 
     frame: DataFrame
     keys: tuple[str, ...]
@@ -101,8 +103,8 @@ def nearest(
     """The ``k`` best chunks of every query vector by cosine, ties broken by id: query keys, id, ``score``, ``rank``.
 
     ``chunks`` holds one row per id; filter it first, filters belong below the top-k. Rows without a usable vector match
-    nothing. Up to ``MAX_QUERY_VECTORS`` vectors are sent to the tasks; of a longer query table one block after the other
-    is, and each block meets the chunks where they lie.
+    nothing. Up to ``MAX_QUERY_VECTORS`` vectors are sent to the tasks; blocks of a longer query table meet blocks of chunks
+    in one job, without a pass through the driver.
     """
     asked = queries if isinstance(queries, QueryVectors) else query_vectors(queries, query_keys, vector_col)
     keys = list(asked.keys)
@@ -116,10 +118,9 @@ def nearest(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    found = [best_hits(_against_matrix(pool, rows, keys, k, out), keys, id_col, k) for rows in blocks_of(asked)]
-    if len(found) > 1:
-        found = [materialize(hits) for hits in found]  # k rows per query
-    return reduce(DataFrame.unionByName, found)
+    if asked.rows is None:
+        return best_hits(_against_blocks(pool, asked.frame, keys, k, out), keys, id_col, k)
+    return best_hits(_against_matrix(pool, asked.rows, keys, k, out), keys, id_col, k)
 
 
 def best_hits(hits: DataFrame, keys: Sequence[str], id_col: str, k: int) -> DataFrame:
@@ -175,6 +176,95 @@ def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, ou
     return pool.where(F.size("_vec") == matrix.shape[1]).mapInArrow(score, out)
 
 
+def _against_blocks(pool: DataFrame, asked: DataFrame, keys: list[str], k: int, out: T.StructType) -> DataFrame:
+    """Hits of every block of queries in every block of chunks, each pair of blocks in one call; blocks are of equal size,
+    whatever the keys are, and vectors of different lengths do not meet."""
+    pool, asked = materialize(pool), materialize(asked)
+    width = max(1, asked.agg(F.max(F.size("_qvec"))).first()[0] or 1)
+    rows = max(1, TILE_VALUES // width)
+    of_queries, of_chunks = (max(1, -(-df.count() // rows)) for df in (asked, pool))
+
+    def numbered(df: DataFrame, own: str, count: int, other: str, others: int, vector: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint")))
+        dealt = df.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.lit(count))).withColumn("_dim", F.size(vector))
+        return dealt.withColumn(other, every).groupBy("_q", "_c", "_dim")
+
+    score = _make_block_scorer(k, keys, out.names)
+    left = numbered(asked, "_q", of_queries, "_c", of_chunks, "_qvec")
+    return left.cogroup(numbered(pool, "_c", of_chunks, "_q", of_queries, "_vec")).applyInArrow(score, out)
+
+
+def _make_block_scorer(k: int, keys: list[str], names: list[str]):
+    """Closure over plain values only, as ``_make_scorer``: the ``k`` best of a block of chunks for each query of a block."""
+    digits, scores_at_once, group = SCORE_DIGITS, SCORES_AT_ONCE, TILE_GROUP
+
+    def unit_rows(column):
+        """Rows of usable vectors and their vectors at length one."""
+        import numpy as np
+
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        vectors = np.asarray(flat, dtype=float).reshape(len(column), -1)
+        lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        rows = np.nonzero((lengths > 0) & np.isfinite(lengths))[0]
+        return rows, vectors[rows] / lengths[rows, None]
+
+    def first_copies(vectors):
+        """Of equal vectors the first ``k``: what follows them ties and has a larger id."""
+        import numpy as np
+
+        same = np.unique(vectors, axis=0, return_inverse=True)[1].ravel()
+        order = np.argsort(same, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(same[order]) != 0])
+        nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        return np.sort(order[nth < k])
+
+    def best(scores):
+        """(row, column, score) of the ``k`` best of every row, in order; ties go to the smaller column."""
+        import numpy as np
+
+        n, width = scores.shape
+        whole = width // group * group
+        edge = np.full(n, -np.inf)
+        if whole // group >= k:  # as many groups hold a score at least as good as the k-th best of the groups' best
+            tops = scores[:, :whole].reshape(n, -1, group).max(axis=2)
+            edge = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] - 2 * 10.0**-digits
+        row, column = np.nonzero(scores >= edge[:, None])
+        value = np.round(scores[row, column], digits)
+        order = np.lexsort((column, -value, row))
+        row, column, value = row[order], column[order], value[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(row) != 0])
+        nth = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        return row[nth < k], column[nth < k], value[nth < k]
+
+    def score(asked, chunks):
+        import numpy as np
+        import pyarrow as pa
+
+        key_table = asked.select(keys)
+        hit = [pa.field(names[-2], chunks.schema.field("_id").type), pa.field(names[-1], pa.float64())]
+        schema = pa.schema([*key_table.schema, *hit])
+        if not asked.num_rows or not chunks.num_rows or not asked["_dim"][0].as_py():
+            return schema.empty_table()
+        chunks = chunks.sort_by("_id")
+        query_rows, matrix = unit_rows(asked["_qvec"])
+        chunk_rows, vectors = unit_rows(chunks["_vec"])
+        if not len(query_rows) or not len(chunk_rows):
+            return schema.empty_table()
+        kept = first_copies(vectors)
+        chunk_rows, vectors = chunk_rows[kept], np.ascontiguousarray(vectors[kept].T)
+        step = max(1, scores_at_once // len(chunk_rows))
+        parts = []
+        for low in range(0, len(query_rows), step):
+            row, column, value = best(matrix[low : low + step] @ vectors)
+            parts.append((query_rows[low + row], chunk_rows[column], value))
+        row, column, value = (np.concatenate(p) for p in zip(*parts))
+        picked = key_table.take(pa.array(row))
+        columns = [*picked.columns, chunks["_id"].take(pa.array(column)), pa.array(value)]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    return score
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per group. Spark cuts each map task to ``k`` rows per group before the shuffle."""
     window = Window.partitionBy(*group).orderBy(*order)
