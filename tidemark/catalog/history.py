@@ -10,7 +10,7 @@ from tidemark.operators import conflicts, feeds, threads, versions
 from tidemark.operators.ordered import with_neighbour, with_position
 from tidemark.operators.versions import latest_by
 from tidemark.catalog.sources import POLLS, polls
-from tidemark.session import widen
+from tidemark.session import spread
 from tidemark.sources.ranges import poll_ranges
 
 Spark, Rows = SparkSession, DataFrame
@@ -423,7 +423,7 @@ def resolution_records(spark: Spark, sf: str) -> Rows:
 
 def filing_feeds(spark: Spark, sf: str) -> Rows:
     """One feed document per order: its filing twice, and one more without a customer number."""
-    orders = widen(table(spark, sf, "orders"))
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
     number, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     form = F.substring("o_orderpriority", 1, 1)
 

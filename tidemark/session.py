@@ -8,8 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+ROWS_PER_TASK = 50_000  # rows that ``spread`` gives a task
 
 
 def build_session(app: str = "tidemark", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -77,3 +79,14 @@ def widen(scan: DataFrame) -> DataFrame:
     """Spread a scan of fewer splits than cores before heavy per-row work; a scan with enough splits is left alone."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan evenly to tasks of at most about ``ROWS_PER_TASK`` rows, before work that makes rows long or keeps them in memory.
+
+    Splits tell nothing about rows: a row group as long as the table gives one full split and many empty ones. The number of
+    a row decides and not a key, and nothing is sorted.
+    """
+    tasks = max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // ROWS_PER_TASK))
+    numbered = scan.withColumn("_row_no", F.monotonically_increasing_id())
+    return numbered.repartition(tasks, "_row_no").drop("_row_no")
