@@ -199,6 +199,45 @@ def test_long_threads(spark):
     assert got[10_000] == got[10_001] == (10_000, True)
 
 
+def test_circles_end_when_nothing_changes(spark, monkeypatch):
+    rows, expected = [], {}
+    for start, tail, size, step in ((0, 0, 7, 1), (1000, 40, 1, 1), (2000, 13, 5, -1), (3000, 0, 64, 1), (4000, 9, 33, -1), (5000, 3, 2, 1)):
+        ring = [start + 500 + step * i for i in range(size)]
+        rows += [(a, b) for a, b in zip(ring, ring[1:] + ring[:1])]
+        way = [start + i if step > 0 else start + 900 - i for i in range(tail)]
+        rows += list(zip(way, [*way[1:], ring[0]])) if way else []
+        expected |= {i: (min(ring), False, True) for i in ring + way}
+    rows += [(7000 + i, 7000 + i - 1 if i else None) for i in range(900)]
+    expected |= {7000 + i: (7000, False, False) for i in range(900)}
+    random.Random(2).shuffle(rows)
+    stored, store = [], threads.materialize
+    monkeypatch.setattr(threads, "materialize", lambda df: stored.append(1) or store(df))
+    found = threads.thread_roots(spark.createDataFrame(rows, "id bigint, parent bigint")).collect()
+    assert {r["id"]: (r["root_id"], r["is_orphan"], r["in_circle"]) for r in found} == expected and len(found) == len(rows)
+    stored.clear()
+    ring = [(7 * c + i, 7 * c + (i + 1) % 7) for c in range(200) for i in range(7)]
+    found = threads.thread_roots(spark.createDataFrame(ring, "id bigint, parent bigint")).collect()
+    assert all(r["root_id"] == r["id"] // 7 * 7 and r["in_circle"] for r in found) and len(found) == 1400
+    assert len(stored) <= 6  # the rounds that seven need, not those that 1,400 would
+
+
+def test_tasks_hold_bounded_rows(spark, tmp_path, monkeypatch):
+    from tidemark import session
+    from tidemark.catalog.history import filing_feeds
+    from tidemark.operators import ordered
+
+    orders = "id o_orderkey, id % 7 o_custkey, timestamp_ntz '2024-01-01' o_orderdate, '3-MEDIUM' o_orderpriority"
+    spark.range(3000).selectExpr(*orders.split(", ")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")  # one row group
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 200, raising=False)
+    held = [r["count"] for r in filing_feeds(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 3000 and max(held) < 300
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 100, raising=False)
+    placed = ordered.with_position(spark.read.parquet(f"{tmp_path}/orders.parquet"), ["o_custkey", "o_orderkey"])
+    held = [r["count"] for r in placed.groupBy("_slice").count().collect()]
+    assert sum(held) == 3000 and max(held) < 200
+    assert sorted((r["o_custkey"], r["o_orderkey"]) for r in placed.collect()) == [(r["o_custkey"], r["o_orderkey"]) for r in placed.orderBy("pos").collect()]
+
+
 def test_long_ranges_are_dealt_out(spark):
     one = spark.createDataFrame([(1, 0, 45_000), (2, 9, 9), (3, 9, 2)], "p int, low bigint, high bigint")
     rows = ranges.unfold_ranges(one, ["p"])

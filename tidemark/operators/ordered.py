@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 SLICE = "_slice"
+SLICE_ROWS = 100_000  # a slice holds about as many rows, however long the table is
 _LOW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits, the partition above
 _COUNT, _DEALT = "slices", "dealt"  # metadata of the slice column: how many there are, whether each has its task
 
@@ -28,7 +29,9 @@ def _slice(**notes) -> Column:
 
 def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos") -> DataFrame:
     """Add the dense 0-based position in ``order``, which must be total (end it with a unique column)."""
-    stored = materialize(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    slices = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SLICE_ROWS))
+    ordered = df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    stored = materialize(ordered.withColumn("_mid", F.monotonically_increasing_id()))
     sliced = stored.withColumn(SLICE, F.shiftright("_mid", _LOW_BITS).cast("int"))
     sizes = sorted(tuple(r) for r in sliced.groupBy(SLICE).count().collect())  # one row per sort partition
     starts = accumulate((n for _, n in sizes), initial=0)
