@@ -238,6 +238,27 @@ def test_tasks_hold_bounded_rows(spark, tmp_path, monkeypatch):
     assert sorted((r["o_custkey"], r["o_orderkey"]) for r in placed.collect()) == [(r["o_custkey"], r["o_orderkey"]) for r in placed.orderBy("pos").collect()]
 
 
+def test_words_are_counted_in_batches(spark, monkeypatch):
+    import hashlib
+    import re
+
+    from tidemark.functions import vectors as module
+
+    monkeypatch.setattr(module, "EMBED_ROWS", 7, raising=False)
+    texts = [None, "", " - ", "A a b", "Zo\u00eb's 3,4\nK\u212a \u0130x"] + [f"word{i % 13} other{i} word{i % 5}" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    made = rows.select("id", module.hash_embedding(F.col("text"), 16).alias("v"))
+    assert "array_remove" not in plan_of(made)
+    found = {r["id"]: r["v"] for r in made.collect()}
+    cut = {r["id"]: r["w"] for r in rows.select("id", F.array_join(F.split(F.lower("text"), "[^a-z0-9]+"), " ").alias("w")).collect()}
+    for i, text in enumerate(texts):
+        counts = np.zeros(16)
+        for word in re.findall("[a-z0-9]+", cut[i] or ""):
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
+        length = np.sqrt((counts * counts).sum())
+        assert found[i] == (list(counts / length) if length else None)
+
+
 def test_long_ranges_are_dealt_out(spark):
     one = spark.createDataFrame([(1, 0, 45_000), (2, 9, 9), (3, 9, 2)], "p int, low bigint, high bigint")
     rows = ranges.unfold_ranges(one, ["p"])
