@@ -8,14 +8,15 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tidemark.llm import bitplane, bpe, packing
+from tidemark.llm import bitplane, bpe, packing, tokens
 from tidemark.llm.common import scratch
 from tidemark.llm.queries import QUERIES
-from tidemark.llm.tokens import LibraryUnits
+from tidemark.llm.tokens import LibraryUnits, WordStore
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 PARTS = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", "'s", "'", "é", "ß", "日", "١", "²", "\x1c", "\x85", " ", "!", "..", "12", "\U0001f600", "<|endoftext|>"]
@@ -232,3 +233,39 @@ def test_queries_match_added_tokens(spark, unmodified):
         ids = unmodified(rows[r.doc_id - 1][1]) + [2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(raw(ids)))
         start += len(ids)
+
+
+def test_new_words_are_encoded_once(library):
+    units, texts = LibraryUnits(JSON), [t for t in odd_texts(300)]
+    texts += [None, "the ant, the bee.\nthe ant, the bee.", "the ant  the bee", " the ant", "bee", "the <|endoftext|> bee"]
+    array = pa.array(["skipped", *texts], pa.large_string()).slice(1)
+    assert units.texts(array) == [raw(library(t)) for t in texts]
+    asked = []
+    encode, units._tokenized = units._tokenized, lambda word: asked.append(word) or encode(word)
+    assert units.texts(array) == [raw(library(t)) for t in texts]
+    assert not asked
+    lines = [f"the ant, gnat{i % 7}.\nbee the" for i in range(50)]
+    assert units.texts(pa.array(lines)) == [raw(library(t)) for t in lines]
+    assert len(asked) == len(set(asked)) <= 16
+
+
+def test_word_store_forgets_what_was_not_asked_for():
+    store, asked = WordStore(), []
+    encode = lambda word: asked.append(word) or raw([len(word)] * len(word))
+    for turn in range(30):
+        words = ["often", *[f"w{turn}-{i}" for i in range(20)]]
+        rows = store.rows(pa.array(words), encode, 50)
+        for word, row in zip(words, rows, strict=True):
+            assert store.ids[store.starts[row] : store.starts[row] + store.lengths[row]].tolist() == [len(word)] * len(word)
+        assert len(store.words) == len(store.lengths) == len(store.used) <= 50 + 21
+    assert asked.count("often") == 1
+
+
+def test_rows_are_encoded_a_bounded_number_of_bytes_at_a_time(library, monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 40)
+    texts = ["a bee " * 30, None, "ant", "", "the bee", "x" * 39, "y", "an ant " * 9]
+    batch = pa.record_batch({"doc_id": pa.array([5, None, 7, 8, 9, 10, 11, 12]), "text": texts})
+    parts = list(tokens.encoded_rows(iter([batch, batch.slice(2, 3), batch.slice(0, 0)]), LibraryUnits(JSON)))
+    assert [d for ids, _ in parts for d in ids] == [5, None, 7, 8, 9, 10, 11, 12, 7, 8, 9]
+    assert [t for _, found in parts for t in found] == [raw(library(t)) for t in [*texts, *texts[2:5]]]
+    assert len(parts) > 4

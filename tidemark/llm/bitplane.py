@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, crc, slices
-from tidemark.llm.tokens import library_units
+from tidemark.llm.common import arrow_map, crc
+from tidemark.llm.tokens import encoded_rows, library_units
 from tidemark.session import materialize
 
 MAGIC = b"TMPLANE1"
@@ -179,9 +179,9 @@ def write_ids(
             write_file(path, name, out.finish())
             return {"file": [name], "docs": [len(out.doc_ids)], "ids": [out.ids]}
 
-        for ids, texts in slices(batches):
-            for doc_id, text in zip(ids, texts, strict=True):
-                out.add(doc_id, units.ids(text or "") + end)
+        for doc_ids, found in encoded_rows(batches, units):
+            for doc_id, ids in zip(doc_ids, found, strict=True):
+                out.add(doc_id, ids + end)
                 if out.ids >= FILE_IDS:
                     yield close()
                     number, out = number + 1, PlaneFile(mode)
