@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, crc, slices
-from tidemark.llm.tokens import library_units
+from tidemark.llm.common import arrow_map, crc
+from tidemark.llm.tokens import encoded_rows, library_units
 from tidemark.session import materialize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,9 +126,9 @@ def pack(
 
         task = TaskContext.get().partitionId()
         units, windows = library_units(tokenizer, encode_special_tokens), Windows(size, open_windows, task << TASK_BITS)
-        for ids, texts in slices(batches):
-            for doc_id, text in zip(ids, texts, strict=True):
-                place_document(windows, doc_id, units.ids(text or "") + end, least)
+        for doc_ids, found in encoded_rows(batches, units):
+            for doc_id, ids in zip(doc_ids, found, strict=True):
+                place_document(windows, doc_id, ids + end, least)
             yield columns(windows.done, True, -1)
             windows.done = []
         yield columns(windows.leftovers(), False, task // tasks_per_merge)
