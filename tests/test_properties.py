@@ -173,6 +173,58 @@ def test_long_query_tables_do_not_pass_the_driver(spark, monkeypatch):
     assert sorted(map(str, found.collect())) == expected and len(expected) == 41 * 6
 
 
+def exchanged_rows(df):
+    """Rows that the exchanges of a query that has run have written."""
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "ShuffleExchangeExec":
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_long_query_tables_exchange_no_pairs(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    vecs = [(i, v.tolist()) for i, v in enumerate(draw.standard_normal((600, 4)))]
+    rows = spark.createDataFrame(vecs, "chunk_id int, embedding array<double>").repartition(5)
+    chunks, asked = rows.where("chunk_id < 400"), rows.withColumnRenamed("chunk_id", "query_id")
+    expected = sorted(map(tuple, knn.nearest(chunks, asked, 3).collect()))
+    monkeypatch.setattr(knn, "TILE_VALUES", 4 * 60)
+    monkeypatch.setattr(knn, "SHORT_BLOCK", 20, raising=False)
+    monkeypatch.setattr(knn, "TASKS_PER_CORE", 1, raising=False)
+    found = knn.nearest(chunks, knn.query_vectors(spark.createDataFrame(asked.collect(), asked.schema), at_most=3), 3)
+    assert sorted(map(tuple, found.collect())) == expected and len(expected) == 1800
+    assert exchanged_rows(found) <= 600 + 1800  # every query once and its hits, however many blocks there are
+
+
+@pytest.mark.parametrize("k", [1, 7, 70])
+def test_long_query_tables_in_small_tiles(spark, monkeypatch, k):
+    draw = np.random.default_rng(6)
+    plain = np.round(draw.standard_normal((500, 3)), 1)
+    vecs = [(f"n{i:04}", v.tolist()) for i, v in enumerate(plain)] + [(f"c{i:04}", plain[i % 4].tolist()) for i in range(300)]
+    vecs += [("z1", [1.0] * 5), ("z2", [2.0, 2.0, 2.0, 2.0, 1.0]), ("z3", [0.0] * 3), ("z4", None), (None, [1.0] * 3), ("z5", [])]
+    chunks = spark.createDataFrame(vecs, "chunk_id string, embedding array<float>").repartition(4)
+    asks = [(i, (plain[i] + 0.01).tolist()) for i in range(90)] + [(i % 2, plain[i].tolist()) for i in range(20)]
+    by_length = {3: asks, 5: [(900, [1.0] * 5), (901, [5.0, 4.0, 3.0, 2.0, 1.0])]}
+    kinds = "query_id int, embedding array<double>"
+    expected = [r for rows in by_length.values() for r in knn.nearest(chunks, spark.createDataFrame(rows, kinds), k).collect()]
+    for name, size in (("TILE_VALUES", 300), ("TILE_CHUNKS", 40), ("TILE_QUERIES", 8), ("TILE_GROUP", 4), ("SHORT_BLOCK", 10)):
+        monkeypatch.setattr(knn, name, size, raising=False)
+    asked = spark.createDataFrame(sum(by_length.values(), []) + [(5, []), (6, None), (7, [0.0] * 3)], kinds).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        found = knn.nearest(chunks, knn.query_vectors(asked, at_most=3), k).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, found)) == sorted(map(tuple, expected)) and len(found) > 90 * k
+
+
 def test_scores_are_held_in_bounded_blocks(spark, sf, monkeypatch):
     expected = sorted(map(tuple, knn.nearest(vectors(spark, sf), centroids(spark, sf), 5).collect()))
     monkeypatch.setattr(knn, "SCORES_AT_ONCE", 40)

@@ -2,7 +2,7 @@
 
 The chunk table is streamed once where it lies. Each task scores its Arrow batches against the whole query matrix and
 keeps only the best ``k`` per query, so what reaches the shuffle is ``k`` rows per query and task, never the pairs.
-A query table that is too long for that is cut into blocks like the chunks; every pair of blocks is one bounded group.
+A query table that is too long for that is cut into blocks; a task holds one block and reads all chunks past it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,12 @@ MAX_QUERY_VECTORS = 4096  # query vectors shipped to every task; 4096 x 384 doub
 TASKS_PER_MERGE = 256  # scoring tasks whose hits are merged before the last step
 BROADCAST_HITS = 200_000  # hit rows (ids and scores) that may be broadcast
 SCORES_AT_ONCE = 2_000_000  # scores a task holds while it works through a batch, 16 MB
-TILE_VALUES = 1 << 20  # vector components of a block of queries or of chunks, 8 MB as doubles
+TILE_VALUES = 1 << 20  # vector components of a block of queries, 8 MB as doubles
 TILE_GROUP = 32  # neighbouring scores of which the best is looked at first
+TASKS_PER_CORE = 4  # tasks that a long query table is dealt to at least,
+SHORT_BLOCK = 2048  # unless their blocks had fewer queries
+TILE_CHUNKS = 1024  # chunks that are scored at a time, against
+TILE_QUERIES = 256  # queries: the scores stay in a core's cache
 SCORE_DIGITS = 9  # equal vectors tie whichever batch they were scored in
 
 
@@ -103,8 +107,8 @@ def nearest(
     """The ``k`` best chunks of every query vector by cosine, ties broken by id: query keys, id, ``score``, ``rank``.
 
     ``chunks`` holds one row per id; filter it first, filters belong below the top-k. Rows without a usable vector match
-    nothing. Up to ``MAX_QUERY_VECTORS`` vectors are sent to the tasks; blocks of a longer query table meet blocks of chunks
-    in one job, without a pass through the driver.
+    nothing. Up to ``MAX_QUERY_VECTORS`` vectors are sent to the tasks; a longer query table, which is read twice, is dealt to
+    tasks in blocks, and each task reads the chunks, without a pass through the driver.
     """
     asked = queries if isinstance(queries, QueryVectors) else query_vectors(queries, query_keys, vector_col)
     keys = list(asked.keys)
@@ -119,7 +123,8 @@ def nearest(
         ]
     )
     if asked.rows is None:
-        return best_hits(_against_blocks(pool, asked.frame, keys, k, out), keys, id_col, k)
+        hits = _against_blocks(pool, asked.frame, keys, k, out)  # a query's hits are one task's or a few tasks'
+        return top_k(hits, keys, [F.col("score").desc(), F.col(id_col)], k)
     return best_hits(_against_matrix(pool, asked.rows, keys, k, out), keys, id_col, k)
 
 
@@ -177,32 +182,49 @@ def _against_matrix(pool: DataFrame, head: pa.Table, keys: list[str], k: int, ou
 
 
 def _against_blocks(pool: DataFrame, asked: DataFrame, keys: list[str], k: int, out: T.StructType) -> DataFrame:
-    """Hits of every block of queries in every block of chunks, each pair of blocks in one call; blocks are of equal size,
-    whatever the keys are, and vectors of different lengths do not meet."""
-    pool, asked = materialize(pool), materialize(asked)
-    width = max(1, asked.agg(F.max(F.size("_qvec"))).first()[0] or 1)
-    rows = max(1, TILE_VALUES // width)
-    of_queries, of_chunks = (max(1, -(-df.count() // rows)) for df in (asked, pool))
+    """Hits of a long query table. The queries are dealt once to blocks of equal size, whatever the keys are; a task holds one
+    block, reads all chunks where they are stored, and keeps ``k`` rows per query. So neither pairs nor hits of parts are
+    exchanged. Only with fewer blocks than tasks the chunks are cut too. Vectors of different lengths do not meet.
 
-    def numbered(df: DataFrame, own: str, count: int, other: str, others: int, vector: str) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint")))
-        dealt = df.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.lit(count))).withColumn("_dim", F.size(vector))
-        return dealt.withColumn(other, every).groupBy("_q", "_c", "_dim")
-
-    score = _make_block_scorer(k, keys, out.names)
-    left = numbered(asked, "_q", of_queries, "_c", of_chunks, "_qvec")
-    return left.cogroup(numbered(pool, "_c", of_chunks, "_q", of_queries, "_vec")).applyInArrow(score, out)
+    A task gets its block as one row, which only the first row of its chunks meets; the others meet a row without it.
+    """
+    pool = materialize(pool).withColumn("_dim", F.size("_vec")).where("_dim > 0")
+    size = asked.agg(F.count(F.lit(1)), F.max(F.size("_qvec"))).first()
+    longest = max(1, TILE_VALUES // max(k, size[1] or 1))
+    tasks = TASKS_PER_CORE * pool.sparkSession.sparkContext.defaultParallelism
+    rows = min(longest, max(SHORT_BLOCK, -(-size[0] // tasks)))
+    blocks = max(1, -(-size[0] // rows))
+
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    dealt = asked.withColumn("_q", number).repartitionById(blocks, "_q").withColumn("_dim", F.size("_qvec"))
+    block = dealt.groupBy("_q", "_dim").agg(F.collect_list(F.struct(*keys, "_qvec")).alias("_asked"))
+    nothing = F.array().cast(block.schema["_asked"].dataType)  # not null: Arrow writers go back over all nulls at every row
+    kinds = [F.struct(F.lit(kind).alias("_kind"), held.alias("_asked")) for kind, held in ((0, F.col("_asked")), (1, nothing))]
+    right = block.select("_q", "_dim", F.inline(F.array(*kinds))).alias("q")
+
+    part = pool.coalesce(-(-tasks // blocks))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # the low 33 bits number a task's rows
+    opened = F.when(first, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    left = part.withColumn("_kinds", opened).select("_id", "_vec", "_dim", F.explode("_kinds").alias("_kind")).alias("c")
+
+    meet = (F.col("c._kind") == F.col("q._kind")) & ((F.col("c._kind") == 0) | (F.col("c._dim") == F.col("q._dim")))
+    met = left.join(right.hint("shuffle_replicate_nl"), meet).select("_q", "q._dim", "_asked", "_id", "_vec")
+    return met.mapInArrow(_make_block_scorer(k, keys, out.names), out)
 
 
 def _make_block_scorer(k: int, keys: list[str], names: list[str]):
-    """Closure over plain values only, as ``_make_scorer``: the ``k`` best of a block of chunks for each query of a block."""
-    digits, scores_at_once, group = SCORE_DIGITS, SCORES_AT_ONCE, TILE_GROUP
+    """Closure over plain values only, as ``_make_scorer``: the ``k`` best of a task's chunks for each query of its block.
+
+    Scores in single precision, with a bound on their error, choose the pairs that are scored in double precision.
+    """
+    digits, group, values = SCORE_DIGITS, TILE_GROUP, TILE_VALUES
+    tile, step = TILE_CHUNKS, max(1, min(TILE_QUERIES, SCORES_AT_ONCE // TILE_CHUNKS))
 
     def unit_rows(column):
         """Rows of usable vectors and their vectors at length one."""
         import numpy as np
 
-        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
         vectors = np.asarray(flat, dtype=float).reshape(len(column), -1)
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
         rows = np.nonzero((lengths > 0) & np.isfinite(lengths))[0]
@@ -212,55 +234,126 @@ def _make_block_scorer(k: int, keys: list[str], names: list[str]):
         """Of equal vectors the first ``k``: what follows them ties and has a larger id."""
         import numpy as np
 
-        same = np.unique(vectors, axis=0, return_inverse=True)[1].ravel()
+        bits = np.ascontiguousarray(vectors).view(np.uint64)
+        mixed = (bits ^ (bits >> np.uint64(29))) @ np.random.default_rng(0).integers(1 << 63, size=bits.shape[1], dtype=np.uint64)
+        _, at, times = np.unique(mixed, return_inverse=True, return_counts=True)
+        alike = np.flatnonzero(times[at] > k)  # equal vectors have equal sums, so only these can have more than k copies
+        if not len(alike):
+            return np.arange(len(vectors))
+        same = np.unique(vectors[alike], axis=0, return_inverse=True)[1].ravel()
         order = np.argsort(same, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(same[order]) != 0])
         nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-        return np.sort(order[nth < k])
+        return np.delete(np.arange(len(vectors)), alike[order[nth >= k]])
 
-    def best(scores):
-        """(row, column, score) of the ``k`` best of every row, in order; ties go to the smaller column."""
+    def start(block):
+        """A block's keys and unit vectors; per query the score a newcomer has to have, and to have in single precision; the hits."""
         import numpy as np
+        import pyarrow as pa
+
+        rows, matrix = unit_rows(block.column("_qvec"))
+        edge = np.full(len(rows), -np.inf)
+        held = (np.zeros(0, np.int64), np.zeros(0), None)
+        return [block.select(keys).take(pa.array(rows)), matrix, matrix.astype(np.float32), edge, edge.astype(np.float32), held]
 
-        n, width = scores.shape
-        whole = width // group * group
-        edge = np.full(n, -np.inf)
-        if whole // group >= k:  # as many groups hold a score at least as good as the k-th best of the groups' best
-            tops = scores[:, :whole].reshape(n, -1, group).max(axis=2)
-            edge = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] - 2 * 10.0**-digits
-        row, column = np.nonzero(scores >= edge[:, None])
-        value = np.round(scores[row, column], digits)
-        order = np.lexsort((column, -value, row))
-        row, column, value = row[order], column[order], value[order]
-        starts = np.flatnonzero(np.r_[True, np.diff(row) != 0])
-        nth = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
-        return row[nth < k], column[nth < k], value[nth < k]
-
-    def score(asked, chunks):
+    def merged(held, row, ids, value, queries):
+        """Hits with the new ones taken in; of the queries that have ``k`` now and of the new hits, the score of the last."""
         import numpy as np
         import pyarrow as pa
-
-        key_table = asked.select(keys)
-        hit = [pa.field(names[-2], chunks.schema.field("_id").type), pa.field(names[-1], pa.float64())]
-        schema = pa.schema([*key_table.schema, *hit])
-        if not asked.num_rows or not chunks.num_rows or not asked["_dim"][0].as_py():
-            return schema.empty_table()
-        chunks = chunks.sort_by("_id")
-        query_rows, matrix = unit_rows(asked["_qvec"])
-        chunk_rows, vectors = unit_rows(chunks["_vec"])
-        if not len(query_rows) or not len(chunk_rows):
-            return schema.empty_table()
+        import pyarrow.compute as pc
+
+        new = np.zeros(queries, bool)
+        new[row] = True
+        touched = new[held[0]]
+        some = [held[2].filter(pa.array(touched)), ids] if held[2] is not None else [ids]
+        row, value, ids = np.r_[held[0][touched], row], np.r_[held[1][touched], value], pa.concat_arrays(some)
+        by = [("row", "ascending"), ("value", "descending"), ("id", "ascending")]
+        order = pc.sort_indices(pa.table({"row": row, "value": value, "id": ids}), sort_keys=by).to_numpy()
+        starts = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0])
+        nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        last, order = order[nth == k - 1], order[nth < k]
+        kept = (row[order], value[order], ids.take(pa.array(order)))
+        if held[2] is not None:
+            rest = ~touched
+            kept = (np.r_[held[0][rest], kept[0]], np.r_[held[1][rest], kept[1]], pa.concat_arrays([held[2].filter(pa.array(rest)), kept[2]]))
+        return kept, row[last], value[last]
+
+    def take_in(state, ids, column):
+        """Take a batch of chunks into the state of a block; the scores and pairs held at a time are bounded."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        _, matrix, short, edge, reach, _ = state
+        by_id = pc.sort_indices(ids)
+        ids, column = ids.take(by_id), column.take(by_id)
+        rows, vectors = unit_rows(column)
+        if not len(rows) or not len(matrix):
+            return
         kept = first_copies(vectors)
-        chunk_rows, vectors = chunk_rows[kept], np.ascontiguousarray(vectors[kept].T)
-        step = max(1, scores_at_once // len(chunk_rows))
-        parts = []
-        for low in range(0, len(query_rows), step):
-            row, column, value = best(matrix[low : low + step] @ vectors)
-            parts.append((query_rows[low + row], chunk_rows[column], value))
-        row, column, value = (np.concatenate(p) for p in zip(*parts))
-        picked = key_table.take(pa.array(row))
-        columns = [*picked.columns, chunks["_id"].take(pa.array(column)), pa.array(value)]
-        return pa.Table.from_arrays(columns, schema=schema)
+        rows, vectors = rows[kept], vectors[kept]
+        dim = vectors.shape[1]
+        most = max(1, values // dim)
+        slack = (dim + 8) * 2.0**-24 + 10.0**-digits  # of a product of unit vectors in single precision, and of rounding
+        pairs, waiting = [], 0
+
+        def lower(bound):
+            return np.nextafter(bound.astype(np.float32), np.float32(-np.inf))
+
+        def settle():
+            row, at = (np.concatenate(p) for p in zip(*pairs))
+            for low in range(0, len(row), most):
+                r, c = row[low : low + most], at[low : low + most]
+                value = np.round(np.einsum("ij,ij->i", matrix[r], vectors[c]), digits)
+                close = value >= edge[r]
+                if close.any():
+                    found = ids.take(pa.array(rows[c[close]]))
+                    state[5], full, last = merged(state[5], r[close], found, value[close], len(matrix))
+                    edge[full] = last
+                    reach[full] = np.maximum(reach[full], lower(last - slack))
+
+        for first in range(0, len(rows), tile):
+            narrow = np.ascontiguousarray(vectors[first : first + tile].T, dtype=np.float32)
+            whole = narrow.shape[1] // group * group
+            for low in range(0, len(matrix), step):
+                scores = short[low : low + step] @ narrow
+                limit = reach[low : low + step]
+                new = np.flatnonzero(np.isneginf(limit))
+                if len(new) and whole // group >= k:  # as many groups hold a score at least as good as the k-th best of their bests
+                    tops = scores[new, :whole].reshape(len(new), -1, group).max(axis=2)
+                    limit[new] = lower(np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] - 2 * slack)
+                near = np.flatnonzero(scores.max(axis=1) >= limit)
+                if not len(near):
+                    continue
+                row, at = np.nonzero(scores[near] >= limit[near, None])
+                pairs.append((near[row] + low, at + first))
+                waiting += len(row)
+                if waiting >= most:
+                    settle()
+                    pairs, waiting = [], 0
+        if pairs:
+            settle()
+
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        blocks = {}
+        for batch in batches:
+            number, dim, asked, ids, vectors = batch.columns
+            chunks = pc.list_value_length(asked).to_numpy() == 0
+            for at in np.flatnonzero(~chunks):
+                block = pa.RecordBatch.from_struct_array(asked[int(at)].values)
+                blocks[number[int(at)].as_py(), dim[int(at)].as_py()] = start(block)
+            of = np.stack([number.to_numpy(), dim.to_numpy()], axis=1)
+            for block in np.unique(of[chunks], axis=0):
+                rows = pa.array(np.flatnonzero(chunks & (of == block).all(axis=1)))
+                take_in(blocks[tuple(block.tolist())], ids.take(rows), vectors.take(rows))
+        for key_rows, *_, (row, value, ids) in blocks.values():
+            if len(row):
+                picked = key_rows.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*picked.columns, ids, pa.array(value)], names=names)
 
     return score
 
